@@ -55,18 +55,23 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     t = targets.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
-    state = t.select(F.col("source").alias("s"), F.col("left"), F.lit(0).cast("long").alias("prefix"))
+    t = written(t, "targets")
+    state = None
     for level in range(LEVELS):
         rest = BITS * (LEVELS - level - 1)
-        here = sized.join(state, sized["source"].eqNullSafe(state["s"]) & (F.shiftright("h", rest + BITS) == F.col("prefix")))
-        sums = here.groupBy("s", "left", "prefix", F.shiftright("h", rest).alias("bucket")).agg(F.sum("size").alias("sum"))
-        upto = F.sum("sum").over(W.partitionBy("s").orderBy("bucket"))
-        sums = sums.withColumn("upto", upto)
+        bucket = F.shiftright("h", rest).alias("bucket")
+        if state is None:
+            sums = sized.groupBy("source", bucket).agg(F.sum("size").alias("sum"))
+            state = t.select(F.col("source").alias("s"), "left")
+            sums = sums.join(state, sums["source"].eqNullSafe(state["s"]))
+        else:
+            here = sized.join(state, sized["source"].eqNullSafe(state["s"]) & (F.shiftright("h", rest + BITS) == F.col("prefix")))
+            sums = here.groupBy("s", "left", bucket).agg(F.sum("size").alias("sum"))
+        sums = sums.withColumn("upto", F.sum("sum").over(W.partitionBy("s").orderBy("bucket")))
         found = F.struct("bucket", "upto", "sum", "left")
         end = sums.groupBy("s").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("left"), found)), F.max(found)).alias("e"))
-        state = end.select(
-            "s", (F.col("e.left") - (F.col("e.upto") - F.col("e.sum"))).alias("left"), F.col("e.bucket").alias("prefix"), F.col("e.sum").alias("last")
-        )
+        left = F.col("e.left") - (F.col("e.upto") - F.col("e.sum"))
+        state = written(end.select("s", left.alias("left"), F.col("e.bucket").alias("prefix"), F.col("e.sum").alias("last")), "boundary")
     near = F.col("last") - F.col("left") < F.col("left")
     most = state.select("s", F.when(near, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("h_most"))
     return t.join(most, t["source"].eqNullSafe(most["s"]), "left").drop("s", "left")
@@ -92,14 +97,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Only the thresholds are joined to the texts, one row a source.
     """
-    sized = docs.select("source", n_words("text").alias("size"), hash60(F.col("doc_id")).alias("h"))
-    sized = written(sized, "mix")
+    h = hash60(F.col("doc_id"))
+    sized = written(docs.select("source", n_words("text").alias("size"), h.alias("h")), "mix")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cut = thresholds(sized, weighted_targets(sizes, **how)).select(F.col("source").alias("mix_s"), "epochs", "h_most")
-    copies = F.col("epochs") + (hash60(F.col("doc_id")) <= F.coalesce("h_most", F.lit(-1))).cast("long")
-    joined = docs.join(cut, docs["source"].eqNullSafe(F.col("mix_s"))).withColumn("mix_n", copies.cast("int"))
-    again = joined.withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), F.col("mix_n"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    cut = thresholds(sized, weighted_targets(sizes, **how)).withColumnRenamed("source", "s")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("of"), h.alias("h"))
+    copies = F.col("epochs") + (F.col("h") <= F.coalesce("h_most", F.lit(-1))).cast("long")
+    joined = rows.join(cut, rows["of"].eqNullSafe(cut["s"])).select("row", copies.cast("int").alias("n"))
+    return joined.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")
 
 
 SQL = r"""

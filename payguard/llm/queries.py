@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, quality
 from .common import table
 
 
@@ -12,5 +12,9 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op4_source_mixing": op4_source_mixing}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_source_mixing": op4_source_mixing, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL = {"op4_source_mixing": mixing.SQL}
