@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import linededup, mixing, quality, simhash
 from .common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    hex16 = F.lower(F.lpad(F.hex("f"), 16, "0"))
+    return found.select("doc_id", hex16.alias("fingerprint"), "component_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -16,5 +23,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_source_mixing": op4_source_mixing, "op8_quality_rules": op8_quality_rules}
-ORACLE_SQL = {"op4_source_mixing": mixing.SQL}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_source_mixing": op4_source_mixing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
+}
+ORACLE_SQL = {"op4_source_mixing": mixing.SQL, "op9_line_dedup": linededup.SQL}
