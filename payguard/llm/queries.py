@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality, simhash
+from . import fingerprint, linededup, mixing, quality, simhash
 from .common import table
 
 
@@ -19,6 +19,19 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprint.compare(table(spark, sf_dir, "documents"))
+    return f.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.printed(F.col("sketch")).alias("fingerprint"),
+        fingerprint.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -30,6 +43,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
