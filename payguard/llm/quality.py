@@ -106,7 +106,7 @@ def estimates(v: DataFrame, steps: int = 3, part: float = 0.75, min_rows: int =
     median = lambda c: F.percentile_approx(c, 0.5, 10000)
     keys = [F.col("lang").alias("g_lang"), F.col("source").alias("g_source")]
     mid = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[median(x).alias(f"m{i}") for i, x in enumerate(X)])
-    mid = mid.filter(F.col("n") >= min_rows)
+    mid = written(mid.filter(F.col("n") >= min_rows), "medians")
     near = _grouped(v, mid).filter("n is not null")
     mad = near.groupBy("g_lang", "g_source", "n", *[f"m{i}" for i in range(len(X))]).agg(
         *[median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(X)]
@@ -115,8 +115,9 @@ def estimates(v: DataFrame, steps: int = 3, part: float = 0.75, min_rows: int =
         "g_lang", "g_source", "n", *[f"m{i}" for i in range(len(X))],
         *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(X)) for j in range(i + 1)],
     )
+    g = written(g, "start")
     for _ in range(steps):
-        g = _factor(_moments(_nearest(v, g, part)))
+        g = written(_factor(_moments(_nearest(v, g, part))), "step")  # a small table, so that plans stay short
     near = distance(_grouped(v, g).filter("n is not null"), "d2")
     scale = near.groupBy("g_lang", "g_source").agg((median("d2") / CHI_MEDIAN).alias("scale"))
     scale = scale.withColumn("scale", F.greatest("scale", F.lit(1.0)))
@@ -127,6 +128,7 @@ def _nearest(v: DataFrame, g: DataFrame, part: float) -> DataFrame:
     """The rows within the group's quantile of distance: a concentration step."""
     near = distance(_grouped(v, g).filter("n is not null"), "d2")
     limit = near.groupBy(F.col("lang").alias("q_lang"), F.col("source").alias("q_source")).agg(F.percentile_approx("d2", part, 10000).alias("q"))
+    limit = written(limit, "limits")
     both = near.join(limit, near["lang"].eqNullSafe(limit["q_lang"]) & near["source"].eqNullSafe(limit["q_source"]))
     return both.filter(F.col("d2") <= F.col("q")).select("lang", "source", *X)
 
