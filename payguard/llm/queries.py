@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, linededup, mixing, quality, secrets, simhash, toxicity, urls
+from . import fingerprint, linededup, mixing, packing, quality, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fingerprint.compare(table(spark, sf_dir, "documents"))
     return f.select(
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_url_filters": op7_url_filters,
     "op8_quality_rules": op8_quality_rules,

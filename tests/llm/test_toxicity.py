@@ -4,7 +4,7 @@ import numpy as np
 from payguard.llm import toxicity
 from payguard.llm.common import table
 
-DIR = "/root/testdata/sf0.01"
+DIR = "/root/testdata/sf0.1"
 
 
 def test_marginals_equal_enumeration():
@@ -32,8 +32,8 @@ def test_held_out_documents(spark):
     rows = toxicity.score(docs.select("doc_id", "text").union(odd), chain).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
-    assert sum(a == b for a, b in held) >= 0.95 * len(held)
-    assert sum(b for a, b in held if a == 1) >= 0.7 * sum(a for a, _ in held)
+    assert sum(a == b for a, b in held) >= 0.98 * len(held)
+    assert sum(b for a, b in held if a == 1) >= 0.88 * sum(a for a, _ in held)
     empty = [r for r in rows if r.doc_id in (None, -1)]
     assert all(r.predicted == 0 and r.spans == "" for r in empty)
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
