@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, linededup, mixing, packing, quality, secrets, simhash, toxicity, urls
+from . import fingerprint, linededup, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -68,5 +72,6 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {"op4_source_mixing": mixing.SQL, "op9_line_dedup": linededup.SQL}
