@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import payguard.sources.views  # noqa: F401
+from payguard.operators import matching, screening, vendors  # noqa: F401
+from payguard.plans.catalog import JOBS, query, text
+
+QUERIES: dict = {name: query(name) for name in JOBS}
+ORACLE_SQL: dict[str, str] = {name: text(name, 1) for name in JOBS}
