@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import payguard.sources.views  # noqa: F401
-from payguard.operators import matching, screening, vendors  # noqa: F401
+from payguard.operators import duplicates, lifecycle, matching, screening, vendors  # noqa: F401
 from payguard.plans.catalog import JOBS, query, text
+from payguard.sources import documents
+from payguard.streaming import streams
 
-QUERIES: dict = {name: query(name) for name in JOBS}
-ORACLE_SQL: dict[str, str] = {name: text(name, 1) for name in JOBS}
+QUERIES: dict = {name: query(name) for name in JOBS} | documents.QUERIES | duplicates.QUERIES | streams.QUERIES
+ORACLE_SQL: dict[str, str] = {name: text(name, 1) for name in JOBS} | streams.ORACLE_SQL
