@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole, written
+from .common import discard, whole, written
 
 LEAST, GRAM = 200, 32
 SPAN = LEAST - GRAM  # how far a repeat may reach from its anchor, on either side
@@ -220,14 +220,19 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
 
 def _between_parts(split: DataFrame) -> DataFrame:
     """The same for buckets in several parts: windows that another part has as well, at the same
-    place from the gram (a window with two equal grams is one occurrence, not two)."""
+    place from the gram (a window with two equal grams is one occurrence, not two). A window
+    is looked for under its own least gram only."""
 
-    def windows(context: bytes, left: int) -> np.ndarray:
-        h = rolling(np.frombuffer(context, np.uint8), LEAST)
-        return h ^ ((left - np.arange(len(h))).astype(U64) * U64(BASE))
+    def windows(context: bytes, left: int) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(context, np.uint8)
+        if len(data) < LEAST:
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        grams = rolling(data, GRAM)
+        own = np.flatnonzero(_slide(grams, SPAN + 1, np.minimum) == grams[left])
+        return own, rolling(data, LEAST)[own] ^ ((left - own).astype(U64) * U64(BASE))
 
     def publish(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.unique(np.concatenate([windows(c, left) for c, left in zip(frame["context"], frame["left"])]))
+        hashes = np.unique(np.concatenate([windows(c, left)[1] for c, left in zip(frame["context"], frame["left"])]))
         block = hashes % U64(int(frame["parts"].iloc[0]))
         h, part = frame["h"].iloc[0], frame["part"].iloc[0]
         rows = [(h, int(b), part, hashes[block == b].tobytes()) for b in np.unique(block)]
@@ -245,7 +250,8 @@ def _between_parts(split: DataFrame) -> DataFrame:
         if len(contexts) and len(answers):
             again = np.concatenate([np.frombuffer(x, U64) for x in answers["hashes"]])
             for h, c, left, context in zip(contexts["h"], contexts["c"], contexts["left"], contexts["context"]):
-                hits = np.flatnonzero(np.isin(windows(context, left), again))
+                at, own = windows(context, left)
+                hits = at[np.isin(own, again)]
                 if len(hits):
                     rows.append((h, c, left - int(hits[0]), int(hits[-1]) + LEAST - left))
         return pd.DataFrame(rows, columns=["h", "c", "before", "onward"])
@@ -288,6 +294,7 @@ def removals(docs: DataFrame, most: int = 512) -> DataFrame:
     marked = found.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("p", "h")).alias("a"), F.count(F.lit(1)).alias("rows"), F.max("p").alias("far"))
     marked = marked.select(F.col("k").alias("mk"), F.col("a.p").alias("ps"), F.col("a.h").alias("hs"))
     texts = written(docs.join(marked, F.col("k") == F.col("mk")).select("k", "text", "ps", "hs"), "repeating")
+    discard(found)
     cut = texts.mapInArrow(_surroundings(True), "h long, c long, left int, context binary")
     different = cut.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("context").alias("context"))
     different = written(different, "contexts")
