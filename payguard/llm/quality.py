@@ -154,9 +154,13 @@ def judge(docs: DataFrame, cut: float = 120.0) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, cut: float = 120.0) -> DataFrame:
-    """The documents that ``judge`` keeps, with their columns. Only group estimates meet the texts."""
+    """The documents that ``judge`` keeps, with their columns.
+
+    Rows are written once with their vectors: the statistics are worked out once, no filter is
+    pushed into their expressions, and only the group estimates meet the texts.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
-    slim = statistics(frame=docs.select("lang", "source", "text")).drop("text")
-    v = written(with_vector(slim).filter(~base_failed()).select("lang", "source", *X), "quality")
     f = with_vector(statistics(frame=rows).drop("text")).withColumn("base_failed", base_failed())
-    return _verdict(f, estimates(v), cut).filter("kept").select("row.*")
+    v = written(f.select("row", "lang", "source", "base_failed", *X), "quality")
+    g = estimates(v.filter(~F.col("base_failed")).select("lang", "source", *X))
+    return _verdict(v, g, cut).filter("kept").select("row.*")
