@@ -60,6 +60,23 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def top(df: DataFrame, score: str, most: int) -> DataFrame:
+    """The rows of the greatest positive scores, at most ``most`` of them.
+
+    A histogram over eighths of powers of two finds the score from which on there are no more;
+    rows of the bucket in which the bound falls stay out. Nothing is sorted, and what reaches
+    the driver is the histogram.
+    """
+    bucket = F.floor(8 * F.log2(score))
+    sums = {r.b: r.n for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, least = 0, None
+    for b in sorted(sums, reverse=True):
+        if taken + sums[b] > most:
+            break
+        taken, least = taken + sums[b], b
+    return df.filter(bucket >= least) if least is not None else df.limit(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole, words
+from .common import top, whole, words, written
 
 #: Fixed values of the contract, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,7 +126,8 @@ def ranked_words(docs: DataFrame, most: int = 20000, least_docs: int = 3) -> lis
     word = F.explode(words(F.regexp_replace(F.lower(whole("text")), r"[^\p{L}\x20\x09-\x0D]+", " ")))
     counts = docs.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.filter((F.col("n") >= least_docs) & F.length("w").between(3, LONGEST_WORD))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+    rows = top(written(counts, "words"), "n", most).collect()
+    return [r.w for r in sorted(rows, key=lambda r: (-r.n, r.w))]
 
 
 def find_secrets(docs: DataFrame, least_bits: float = 50.0, lexicon: list[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole, words
+from .common import top, whole, words, written
 
 EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_"
 PREFIX = 4
@@ -55,8 +55,9 @@ def feature_table(docs: DataFrame, most: int = 4000, least_docs: int = 4, least_
     share = toxic / n
     odds = F.log((F.col("t") + 2 * share) / (F.col("n") - F.col("t") + 2 * (1 - share))) - math.log(share / (1 - share))
     z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    f = f.select("f", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= least_z)
-    return [(r.f, r.odds) for r in f.orderBy(F.desc(F.abs("z")), "f").limit(most).collect()]
+    f = f.select("f", odds.alias("odds"), F.abs(z).alias("z")).filter(F.col("z") >= least_z)
+    rows = top(written(f, "features"), "z", most).collect()
+    return [(r.f, r.odds) for r in sorted(rows, key=lambda r: (-r.z, r.f))]
 
 
 class Chain:
@@ -115,7 +116,7 @@ class Chain:
             g[len(self.weights) - 1] = gap.sum()
             t, after = np.exp(self.moves), np.exp(e[here + 1]) * backward[here + 1]
             pairs = np.stack([np.full(len(here), t[0, 0]), t[0, 1] * after, forward[here] * t[1, 0], forward[here] * t[1, 1] * after])
-            expected = (pairs / pairs.sum(0)).sum(1)
+            expected = pairs @ (1 / pairs.sum(0))
             observed = np.bincount((2 * tags[here] + tags[here + 1]).astype(int), minlength=4)
             g[-4:] = observed - expected
             g = g - ridge * theta * np.r_[np.ones(len(self.weights) - 1), np.zeros(5)]  # no prior on bias and moves
@@ -136,13 +137,13 @@ class Chain:
         self.calibration = b
 
 
-def tokens_of(texts: list[str], ids_of) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, list[list[str]]]:
+def tokens_of(texts: list[str], ids_of) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
     """Sparse features of all tokens of all lines, the lines' lengths, the documents' token counts."""
-    at, feature, lengths, counts, n, raws = [], [], [], [], 0, []
+    at, feature, lengths, counts, n = [], [], [], [], 0
     for text in texts:
         before = n
         for line in text.split("\n"):
-            raw = [x for x in line.split() if x] if line.isascii() else TOKEN.findall(line)
+            raw = TOKEN.findall(line)
             if not raw:
                 continue
             for i, ids in enumerate(map(ids_of, raw)):
@@ -152,7 +153,7 @@ def tokens_of(texts: list[str], ids_of) -> tuple[tuple[np.ndarray, np.ndarray],
             lengths.append(len(raw))
             n += len(raw)
         counts.append(n - before)
-    return (np.array(at, int), np.array(feature, int)), np.array(lengths, int), np.array(counts, int), raws
+    return (np.array(at, int), np.array(feature, int)), np.array(lengths, int), np.array(counts, int)
 
 
 def summed(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -167,8 +168,8 @@ def summed(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, broadcast_rows: int = 2_000_000) -> Chain:
     """A chain fitted on rows of ``labels`` whose crc32(doc_id) mod 5 is not 0.
 
-    Features are counted over all those rows; the fit takes up to ``most_docs`` documents, half
-    of them toxic where there are as many, those of the least hashed ids. Labels are broadcast
+    Features are counted over all those rows; the fit takes about ``most_docs`` documents, half
+    of them toxic where there are as many, those whose hashed ids are low. Labels are broadcast
     only up to ``broadcast_rows`` rows; beyond, the join is a shuffle.
     """
     taught = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0")
@@ -178,14 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, broadcast_r
     named = feature_table(rows)
     chain = Chain([f for f, _ in named])
     marks = {i for i, (_, odds) in enumerate(named) if odds > 2.0}
-    ids = rows.select("doc_id", "toxic").distinct()
-    pick = lambda kind: ids.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs // 2)
-    picked = pick(1).union(pick(0)).select(F.col("doc_id").alias("id"))
-    sample = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", F.left(whole("text"), F.lit(1 << 16)).alias("text"), "toxic")
+    kinds = {r.toxic: r.n for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = F.lit(0.0)
+    for kind, n in kinds.items():
+        part = F.when(F.col("toxic") == kind, min(1.0, most_docs / 2 / n)).otherwise(part)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
+    sample = sample.select("doc_id", whole("text").alias("text"), "toxic")
     sample = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
     if not named or not sample:
         return chain
-    sparse, lengths, counts, _ = tokens_of([r.text for r in sample], chain.ids)
+    sparse, lengths, counts = tokens_of([r.text for r in sample], chain.ids)
     toxic = np.array([r.toxic for r in sample], float)
     tags = np.zeros(int(counts.sum()))
     tags[[a for a, f in zip(*sparse) if f in marks]] = 1.0
@@ -225,7 +228,7 @@ def score(docs: DataFrame, chain: Chain, tag: float = 0.5, part: int = 1000, cac
             out = []
             for k in range(0, len(texts), part):
                 some = [t or "" for t in texts.iloc[k : k + part]]
-                sparse, lengths, counts, _ = tokens_of(some, ids_of)
+                sparse, lengths, counts = tokens_of(some, ids_of)
                 p, _, _ = c.marginals(c.odds(sparse, int(counts.sum())), lengths)
                 scores = 1 / (1 + np.exp(-np.clip(summed(p, counts) @ c.calibration, -30, 30)))
                 first = np.concatenate(([0], np.cumsum(counts)))
