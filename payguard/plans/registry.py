@@ -9,4 +9,4 @@ from payguard.sources import documents
 from payguard.streaming import streams
 
 QUERIES: dict = {name: query(name) for name in JOBS} | documents.QUERIES | duplicates.QUERIES | streams.QUERIES
-ORACLE_SQL: dict[str, str] = {name: text(name, 1) for name in JOBS} | streams.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = {name: text(name, 1) for name in JOBS} | documents.oracle_sql() | streams.ORACLE_SQL

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.plans.catalog import frame
+from payguard.plans.catalog import frame, text
 
 #: An order as an ERP sends it; numbers stay text until they are cast, never floats.
 ORDER = "DocNumber string, VendorRef string, Currency string, POStatus string, Line array<struct<DetailType:string, LineNum:string, Description:string, ItemRef:string, Qty:string, UnitPrice:string, Amount:string>>"
@@ -49,7 +49,9 @@ def orders_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_po_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_orders(orders_as_json(spark, sf_dir))
+    """The flattened orders; the exact decimals are shown as doubles, for engines that compare them so."""
+    lines = flatten_orders(orders_as_json(spark, sf_dir))
+    return lines.withColumns({c: F.col(c).cast("double") for c in ("qty", "unit_price", "extended")})
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -84,4 +86,15 @@ def index_files(spark: SparkSession, path: str) -> DataFrame:
     return slim.join(first, "sha256").withColumn("duplicate_of", F.when(F.col("path") != F.col("first_path"), F.col("first_path"))).drop("first_path")
 
 
+def oracle_sql() -> dict[str, str]:
+    """What the round trips through JSON must give back, from the views alone."""
+    order = f"""SELECT CAST(o.po AS VARCHAR) AS po_number, CAST(o.vendor AS VARCHAR) AS vendor, o.currency, CASE WHEN o.status = 'closed' THEN 'closed' ELSE 'open' END AS status, l.line_no, CASE WHEN l.line_no % 7 <> 0 THEN l.description END AS description,
+    CAST(l.qty AS DOUBLE) AS qty, CAST(l.price / 100.0 AS DOUBLE) AS unit_price, CAST(l.extended / 100.0 AS DOUBLE) AS extended FROM ({text("v_pol", 1)}) AS l JOIN ({text("v_po", 1)}) AS o ON o.po = l.po"""
+    return {
+        "src_po_json": order,
+        "src_readings_json": f'SELECT invoice_id, field, a AS "primary", b AS secondary FROM ({text("v_readings", 1)}) AS r',
+        "snk_audit_jsonl": f"SELECT invoice_id, seq, line, prev_hash FROM ({text('v_chain', 1)}) AS c",
+    }
+
+
 QUERIES = {"src_po_json": src_po_json, "src_readings_json": src_readings_json, "snk_audit_jsonl": snk_audit_jsonl}

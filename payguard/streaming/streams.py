@@ -110,14 +110,15 @@ def _lifecycle_sql() -> str:
 
 
 QUERIES = {
-    "st_arrival_dedup": lambda s, d: drain(s, d, arrival_dedup, "append"),
+    "st_arrival_dedup": lambda s, d: drain(s, d, arrival_dedup, "append").select("sha256"),
     "st_same_amount": lambda s, d: drain(s, d, same_amount, "append"),
     "st_cost_window": lambda s, d: drain(s, d, cost_window, "update"),
     "st_approval_quorum": lambda s, d: drain(s, d, approval_quorum, "update"),
     "st_lifecycle": lambda s, d: drain(s, d, lifecycle, "update"),
 }
-#: Over a table that one batch takes whole, the twins' results are plain SQL; digests of arrivals differ in which copy is first.
+#: Over a table that one batch takes whole, the twins' results are plain SQL.
 ORACLE_SQL = {
+    "st_arrival_dedup": "SELECT DISTINCT sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type, props)) AS sha256 FROM events",
     "st_same_amount": """SELECT a.event_id AS me_id, b.event_id AS other_id, a.user_id AS vendor, CAST(trunc(a.value * 100) AS BIGINT) AS amount FROM events AS a JOIN events AS b ON a.user_id = b.user_id AND CAST(trunc(a.value * 100) AS BIGINT) = CAST(trunc(b.value * 100) AS BIGINT)
         AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 30 DAY AND b.event_id < a.event_id WHERE a.event_type = 'purchase' AND b.event_type = 'purchase'""",
     "st_approval_quorum": _spelled_quorum(),
