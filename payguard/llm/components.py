@@ -13,17 +13,18 @@ def components(links: DataFrame) -> DataFrame:
 
     A round aggregates the least neighbour of every node and points neighbours there; it ends
     when no pointer moves. Sums over the links tell that, nothing is brought to the driver but
-    two numbers a round. A node with very many links has one row on the joins' right side.
+    two numbers a round. A node with very many links has one row on the joins' right side,
+    which is a table of its own, so that the links' side can be split where it is skewed.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     edges = checkpointed(edges)
     before = None
     while True:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        least = checkpointed(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
         large = both.filter("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         large = large.distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = checkpointed(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u")
         edges = checkpointed(small.union(low.select("v", F.col("m").alias("u"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()

@@ -34,6 +34,7 @@ def covered(docs: DataFrame) -> DataFrame:
     windows = written(lines.select("id", "k", F.posexplode(hashes).alias("p", "h")), "windows")
     at = F.struct("id", "k", "p")
     firsts = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).filter("n > 1").select("h", "first")
+    firsts = written(firsts, "firsts")  # a plain table on the right, so that a hot window's rows can be split
     later = windows.join(firsts, "h").filter(at > F.col("first")).select("id", "k", "p")
     gone = F.flatten(F.collect_set(F.array(*[F.col("p") + j for j in range(LINES)])))
     return later.groupBy("id", "k").agg(F.array_sort(F.array_distinct(gone)).alias("gone"))

@@ -291,6 +291,7 @@ def removals(docs: DataFrame, most: int = 512) -> DataFrame:
     """
     found = written(docs.select("k", "text").mapInArrow(_find, "k long, p int, h long"), "anchors")
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    again = written(again, "again")  # a plain table on the right, so that a hot gram's anchors can be split
     marked = found.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("p", "h")).alias("a"), F.count(F.lit(1)).alias("rows"), F.max("p").alias("far"))
     marked = marked.select(F.col("k").alias("mk"), F.col("a.p").alias("ps"), F.col("a.h").alias("hs"))
     texts = written(docs.join(marked, F.col("k") == F.col("mk")).select("k", "text", "ps", "hs"), "repeating")
