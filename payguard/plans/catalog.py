@@ -98,8 +98,8 @@ def _shared_dir(spark: SparkSession) -> str:
     return where or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-#: A view that a job would work out this often is written once instead, where it reads a table.
-OFTEN = 4
+#: Views that are costly and used in many places: where a job mentions one this often, all told, it is written once.
+SHARED, OFTEN = ("v_line", "v_rec", "v_honest", "v_inl", "v_inv", "v_pairs", "v_qty", "v_price", "v_entries", "v_ev"), 3
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +118,7 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(_spelled((f"WITH {', '.join(parts)} " if parts else "") + text, 0))
 
     for v in _needs(sql, {}):
-        again = counts[v] >= OFTEN and any(re.search(rf"\b{t}\b", t_sql) for t_sql in [VIEWS[v], *map(VIEWS.get, _needs(VIEWS[v], {}))] for t in TABLES)
+        again = v in SHARED and counts[v] >= OFTEN
         if again and v in _reach(sql, done):
             path = f"{_shared_dir(spark)}/{v}-{uuid.uuid4().hex}"
             df = ready(VIEWS[v])
