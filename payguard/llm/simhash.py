@@ -107,6 +107,12 @@ def one_of_each(docs: DataFrame, budget: int = 2) -> DataFrame:
     distinct = written(prints.select("f").distinct(), "distinct")
     found = components(links(distinct, budget))
     roots = prints.join(found, F.col("f") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "f").alias("root"))
+    return first_of_each(docs, roots)
+
+
+def first_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The documents that are first of their root; ``roots`` has doc_id, k (hash of doc_id and text), root by row."""
+    key = F.xxhash64(F.col("doc_id"), whole("text"))
     first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k")).alias("m"))
     keep = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.k").alias("keep_k"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), key.alias("k"))
