@@ -84,7 +84,7 @@ def _factor(moments: DataFrame) -> DataFrame:
             rest = F.col(f"c{i}{j}") - gone
             least = FLOORS[X[i]] ** 2
             f = f.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(least))) if i == j else rest / F.col(f"l{j}{j}"))
-    return f.select("g_lang", "g_source", "n", *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)])
+    return f.select("g", "n", *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)])
 
 
 def _grouped(v: DataFrame, g: DataFrame) -> DataFrame:
@@ -95,42 +95,59 @@ def _moments(v: DataFrame) -> DataFrame:
     p = range(len(X))
     aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(X[i]).alias(f"m{i}") for i in p]]
     aggs += [(F.covar_pop(X[i], X[j]) if i != j else F.var_pop(X[i])).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    return v.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(*aggs)
+    return v.groupBy("g").agg(*aggs)
+
+
+def _levels(v: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(g_lang, g_source, g): the estimate that each group takes; (g_lang, g_source, g): those it is a part of.
+
+    A group takes its own, that of its language where it has under ``min_rows`` rows, and that of
+    the whole table where the language has too. Estimates that no group takes are not made.
+    """
+    own = v.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(F.count(F.lit(1)).alias("n"))
+    own = written(own, "groups")
+    lang = own.groupBy(F.col("g_lang").alias("w_lang")).agg(F.sum("n").alias("n_lang"))
+    sized = own.join(lang, F.col("g_lang").eqNullSafe(F.col("w_lang"))).crossJoin(own.agg(F.sum("n").alias("n_all")))
+    keys = [F.to_json(F.struct(F.lit(i).alias("level"), *c)) for i, c in enumerate((["g_lang", "g_source"], ["g_lang"], []))]
+    g = F.when(F.col("n") >= min_rows, keys[0]).when(F.col("n_lang") >= min_rows, keys[1]).when(F.col("n_all") >= min_rows, keys[2])
+    sized = written(sized.select("g_lang", "g_source", g.alias("g"), F.array(*keys).alias("keys")), "levels")
+    taken = sized.select("g_lang", "g_source", "g").filter("g is not null")
+    parts = sized.select("g_lang", "g_source", F.explode("keys").alias("g")).join(taken.select("g").distinct(), "g", "left_semi")
+    return taken, written(parts, "parts")
 
 
 def estimates(v: DataFrame, steps: int = 3, part: float = 0.75, min_rows: int = 40) -> DataFrame:
-    """Group estimates from the vectors of the rows that pass the base rules; one row a group.
+    """Estimates by (lang, source) from the vectors of the rows that pass the base rules; one row a group.
 
-    Groups under ``min_rows`` have none: too few rows for a covariance, their rows are kept.
+    Groups under ``min_rows``, too few for a covariance, have that of their language or of the
+    whole table. Only where the table itself has fewer such rows is there none.
     """
     median = lambda c: F.percentile_approx(c, 0.5, 10000)
-    keys = [F.col("lang").alias("g_lang"), F.col("source").alias("g_source")]
-    mid = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[median(x).alias(f"m{i}") for i, x in enumerate(X)])
-    mid = written(mid.filter(F.col("n") >= min_rows), "medians")
-    near = _grouped(v, mid).filter("n is not null")
-    mad = near.groupBy("g_lang", "g_source", "n", *[f"m{i}" for i in range(len(X))]).agg(
+    taken, parts = _levels(v, min_rows)
+    v = written(_grouped(v, parts).filter("g is not null").select("g", *X), "grouped")
+    mid = v.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[median(x).alias(f"m{i}") for i, x in enumerate(X)])
+    mid = written(mid, "medians")
+    mad = v.join(mid, "g").groupBy("g", "n", *[f"m{i}" for i in range(len(X))]).agg(
         *[median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(X)]
     )
     g = mad.select(
-        "g_lang", "g_source", "n", *[f"m{i}" for i in range(len(X))],
+        "g", "n", *[f"m{i}" for i in range(len(X))],
         *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(X)) for j in range(i + 1)],
     )
     g = written(g, "start")
     for _ in range(steps):
         g = written(_factor(_moments(_nearest(v, g, part))), "step")  # a small table, so that plans stay short
-    near = distance(_grouped(v, g).filter("n is not null"), "d2")
-    scale = near.groupBy("g_lang", "g_source").agg((median("d2") / CHI_MEDIAN).alias("scale"))
+    near = distance(v.join(g, "g"), "d2")
+    scale = near.groupBy("g").agg((median("d2") / CHI_MEDIAN).alias("scale"))
     scale = scale.withColumn("scale", F.greatest("scale", F.lit(1.0)))
-    return written(g.join(scale.select(F.col("g_lang").alias("k_lang"), F.col("g_source").alias("k_source"), "scale"), F.col("g_lang").eqNullSafe(F.col("k_lang")) & F.col("g_source").eqNullSafe(F.col("k_source"))).drop("k_lang", "k_source"), "mcd")
+    return written(taken.join(g.join(scale, "g"), "g").drop("g"), "mcd")
 
 
 def _nearest(v: DataFrame, g: DataFrame, part: float) -> DataFrame:
     """The rows within the group's quantile of distance: a concentration step."""
-    near = distance(_grouped(v, g).filter("n is not null"), "d2")
-    limit = near.groupBy(F.col("lang").alias("q_lang"), F.col("source").alias("q_source")).agg(F.percentile_approx("d2", part, 10000).alias("q"))
-    limit = written(limit, "limits")
-    both = near.join(limit, near["lang"].eqNullSafe(limit["q_lang"]) & near["source"].eqNullSafe(limit["q_source"]))
-    return both.filter(F.col("d2") <= F.col("q")).select("lang", "source", *X)
+    near = distance(v.join(g, "g"), "d2")
+    limit = written(near.groupBy("g").agg(F.percentile_approx("d2", part, 10000).alias("q")), "limits")
+    return near.join(limit, "g").filter(F.col("d2") <= F.col("q")).select("g", *X)
 
 
 def _verdict(f: DataFrame, g: DataFrame, cut: float) -> DataFrame:
@@ -140,7 +157,7 @@ def _verdict(f: DataFrame, g: DataFrame, cut: float) -> DataFrame:
 
 
 def judge(docs: DataFrame, cut: float = 120.0) -> DataFrame:
-    """documents -> doc_id, the five statistics, base_failed, outlyingness (null: no estimate), kept.
+    """documents -> doc_id, the five statistics, base_failed, outlyingness (null: no estimate, in a table of few rows), kept.
 
     ``cut`` is far outside a chi-square with 4 degrees of freedom (under 1e-11), so ordinary
     texts stay however long they are. Null text counts as empty and fails; null lang or source

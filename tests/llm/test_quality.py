@@ -37,6 +37,21 @@ def test_symbol_junk_goes_and_plain_text_stays(spark):
     assert sorted(r.doc_id for r in quality.judge(docs).filter("kept").collect()) == list(range(200))
 
 
+def test_junk_in_small_groups_goes_by_wider_estimates(spark):
+    plain = lambda i: " ".join(f"word{(i * 7 + k * k) % 997}" for k in range(60 + i % 50))
+    junk = lambda i: " ".join(f"w{i}{k}&&&" for k in range(80))
+    rows = [(i, plain(i), "en", "s") for i in range(200)]
+    small = [("en", "rare"), ("en", None), ("xx", "s"), (None, "s"), (None, None)]
+    for n, (lang, source) in enumerate(small):
+        rows += [(1000 + 10 * n + i, plain(i), lang, source) for i in range(3)] + [(2000 + n, junk(n), lang, source)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = quality.judge(docs).collect()
+    assert all(d.outlyingness is not None for d in out)
+    good = sorted(d for d, *_ in rows if d < 2000)
+    assert sorted(d.doc_id for d in out if d.kept) == good
+    assert sorted(d.doc_id for d in quality.kept_documents(docs).collect()) == good
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.judge(docs).count() == 0 and quality.kept_documents(docs).count() == 0
