@@ -59,7 +59,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup_strings(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.dedup_strings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 QUERIES = {

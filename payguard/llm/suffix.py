@@ -1,14 +1,15 @@
 """Suffix-array dedup of repeated byte strings, by common-prefix interval trees.
 
 Every string of ``LEAST`` bytes holds its least-hashed 32-byte gram, wherever it stands, so two
-copies of a string share that anchor. Anchors are found and counted in all texts; only those
-whose gram occurs again go on. The suffixes that begin with one gram are one interval of the
-corpus's suffix array: each such bucket is sorted, its common prefixes scanned with a stack
-into an interval tree, and in each interval the texts to the left are compared in turn. Where
-left and right match add up to ``LEAST`` bytes, an occurrence is in a maximal repeat; all
-occurrences are kept, with what they share on either side. Equal surroundings count once, and
-a bucket with very many different ones is split; its parts then exchange the hashes of their
-windows, in blocks, so that no repeat between parts is lost.
+copies of a string share that anchor. Anchors are found in all texts, each with a hash of what
+surrounds it as far as a repeat can reach. Where all occurrences of a gram have the same
+surroundings no bytes are looked at; where they differ, one text of each kind gives its bytes.
+The suffixes that begin with one gram are one interval of the corpus's suffix array: each such
+bucket is sorted and its common prefixes scanned with a stack into an interval tree; in each
+interval the texts to the left are sorted and scanned in turn, and where they differ (the left
+extension is diverse) a maximal repeat ends. Those of ``LEAST`` bytes or more are groups with
+all their occurrences. A bucket with very many different surroundings is split; windows that
+several of its parts have are then found by one count over all of them.
 """
 
 from __future__ import annotations
@@ -95,10 +96,14 @@ def _bytes_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, text) -> (k, p, h): the anchors of texts of LEAST bytes or more."""
+    """(ka, kb, text) -> (ka, kb, p, h, c, onward): the anchors of texts of LEAST bytes or more.
+
+    c is a hash of the surroundings, from min(p, SPAN) bytes before to ``onward`` bytes from the anchor.
+    """
+    names = ["ka", "kb", "p", "h", "c", "onward"]
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        at, data = _bytes_column(batch.column(1))
+        ka, kb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        at, data = _bytes_column(batch.column(2))
         if len(at) < 2 or at[-1] - at[0] < LEAST:
             continue
         place, h = anchors(data[at[0] : at[-1]])
@@ -106,44 +111,44 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc = np.searchsorted(at, place, side="right") - 1
         fits = (place + GRAM <= at[doc + 1]) & (at[doc + 1] - at[doc] >= LEAST)
         place, h, doc = place[fits], h[fits], doc[fits]
+        start, end = np.maximum(at[doc], place - SPAN), np.minimum(at[doc + 1], place + LEAST)
+        view = memoryview(data)
         for i in range(0, len(place), 100_000):
             s = slice(i, i + 100_000)
-            p = (place[s] - at[doc[s]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc[s]]), pa.array(p), pa.array(h[s])], ["k", "p", "h"])
+            c = [_digest(view[a:b], p - a) for a, b, p in zip(start[s].tolist(), end[s].tolist(), place[s].tolist())]
+            columns = [ka[doc[s]], kb[doc[s]], (place[s] - at[doc[s]]).astype(np.int32), h[s], np.array(c, np.int64), (end[s] - place[s]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
 
-def _surroundings(whole_context: bool) -> Callable:
-    """(k, text, ps, hs) -> (k, p, h, c[, left, context]); c is the hash of what surrounds an anchor."""
+def _digest(surroundings: bytes | memoryview, left: int) -> int:
+    return xxhash.xxh64_intdigest(surroundings, left) - (1 << 63)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, marks of p, h, c, n, parts) -> (h, part, parts, c, n, left, context), one row a mark."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for batch in batches:
+        at, data = _bytes_column(batch.column(0))
+        view = memoryview(data)
+        rows: list[tuple] = []
+        for i in range(batch.num_rows):
+            lo, hi = int(at[i]), int(at[i + 1])
+            for m in batch.column(1)[i].as_py():
+                start, end = max(lo, lo + m["p"] - SPAN), min(hi, lo + m["p"] + LEAST)
+                rows.append((m["h"], m["c"] % m["parts"], m["parts"], m["c"], m["n"], lo + m["p"] - start, bytes(view[start:end])))
+            if len(rows) >= 20_000:
+                yield _batch(rows, kinds, CONTEXT)
+                rows = []
+        if rows:
+            yield _batch(rows, kinds, CONTEXT)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts, ps, hs = (batch.column(i) for i in range(4))
-            at, data = _bytes_column(texts)
-            data = data.tobytes() if batch.num_rows else b""
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                lo, hi, k = int(at[i]), int(at[i + 1]), keys[i].as_py()
-                for p, h in zip(ps[i].as_py(), hs[i].as_py()):
-                    start, end = max(lo, lo + p - SPAN), min(hi, lo + p + LEAST)
-                    context, left = data[start:end], lo + p - start
-                    c = xxhash.xxh64_intdigest(context, left) - (1 << 63)
-                    rows.append((k, p, h, c, left, context) if whole_context else (k, p, h, c))
-                if len(rows) >= 20_000:
-                    yield _batch(rows, whole_context)
-                    rows = []
-            if rows:
-                yield _batch(rows, whole_context)
 
-    return cut
+CONTEXTS = "h long, part int, parts int, c long, n long, left int, context binary"
+CONTEXT = [c.split()[0] for c in CONTEXTS.split(", ")]
 
 
-def _batch(rows: list[tuple], whole_context: bool) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    names = ["k", "p", "h", "c", "left", "context"]
-    columns = list(zip(*rows))
-    if whole_context:  # the place in the text is not needed with it
-        columns, kinds, names = columns[2:], kinds[2:], names[2:]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names[: len(columns)])
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def common(x: bytes, y: bytes) -> int:
@@ -170,163 +175,232 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
         yield deep, first, len(prefixes)
 
 
-def repeats(contexts: list[tuple[int, bytes, int]]) -> list[tuple[int, int]]:
-    """(left, context, copies) of one gram's different surroundings -> bytes shared (before, from) the anchor.
+def groups(contexts: list[tuple[int, bytes, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    """(left, context, copies) of one gram's different surroundings -> maximal repeats (before, onward, members).
 
-    (0, 0): in no repeat of LEAST bytes. An interval's members share its length to the right.
-    Sorted by what stands to their left, read backwards, a member's longest match there is with
-    a neighbour; members that differ there end a maximal repeat.
+    A repeat of LEAST bytes or more: its members share ``before`` bytes up to the anchor and
+    ``onward`` bytes from it on. An interval of the sorted right sides shares its length to the
+    right; the intervals of its members' left sides, read backwards, end where these differ.
+    Copies of one surrounding share all of it.
     """
-    found = [(left, len(c) - left) if n > 1 and len(c) >= LEAST else (0, 0) for left, c, n in contexts]
     rights = [c[left:] for left, c, _ in contexts]
     lefts = [c[:left][::-1] for left, c, _ in contexts]
+    for i, (left, c, n) in enumerate(contexts):
+        if n > 1 and len(c) >= LEAST:
+            yield left, len(c) - left, [i]
     order = sorted(range(len(contexts)), key=rights.__getitem__)
     prefixes = [common(rights[a], rights[b]) for a, b in zip(order, order[1:])]
     rank = {i: r for r, i in enumerate(sorted(order, key=lefts.__getitem__))}
-    for length, first, last in intervals(prefixes):
+    for onward, first, last in intervals(prefixes):
         members = sorted(order[first : last + 1], key=rank.__getitem__)
         shared = [common(lefts[a], lefts[b]) for a, b in zip(members, members[1:])]
-        for j, i in enumerate(members):
-            before = max(shared[j - 1] if j else 0, shared[j] if j < len(shared) else 0)
-            if before + length >= LEAST:
-                found[i] = (max(found[i][0], before), max(found[i][1], length))
+        for before, low, high in intervals(shared):
+            if before + onward >= LEAST:
+                yield before, onward, members[low : high + 1]
+
+
+def repeats(contexts: list[tuple[int, bytes, int]]) -> list[tuple[int, int]]:
+    """The most bytes (before, from) the anchor that each member has in some group; (0, 0): in none."""
+    found = [(0, 0)] * len(contexts)
+    for before, onward, members in groups(contexts):
+        for i in members:
+            found[i] = (max(found[i][0], before), max(found[i][1], onward))
     return found
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, part, c, n, left, context), sorted by bucket -> (h, c, before, onward) of occurrences in repeats."""
+    """``CONTEXTS`` sorted by bucket -> (h, c, before, onward) of occurrences in repeats."""
+    kinds, names = [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h", "c", "before", "onward"]
     out: list[tuple] = []
+    for h, members in _by_bucket(batches):
+        for r, (before, onward) in zip(members, repeats([(m[5], m[6], m[4]) for m in members])):
+            if onward:
+                out.append((h, r[3], before, onward))
+        if len(out) > 20_000:
+            yield _batch(out, kinds, names)
+            out = []
+    if out:
+        yield _batch(out, kinds, names)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``CONTEXTS`` sorted by bucket -> (h, c, string_id, before, onward), a row a member of a maximal repeat.
 
+    A repeat is given as far as its bucket's gram is least in it: that far every occurrence has
+    the gram as an anchor, so none is missing; beyond, it is given under its other anchors.
+    """
+    kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h", "c", "string_id", "before", "onward"]
+    for h, members in _by_bucket(batches):
+        out = set()
+        for before, onward, some in groups([(m[5], m[6], m[4]) for m in members]):
+            left, context = members[some[0]][5:7]
+            grams = rolling(np.frombuffer(context, np.uint8), GRAM)
+            less = np.flatnonzero(grams < grams[left])
+            low = max([left - before, *(less[less < left] + 1)])
+            high = min([left + onward, *(less[less > left] + GRAM - 1)])
+            if high - low >= LEAST:
+                string_id = _digest(context[low:high], left - low)
+                out |= {(h, members[i][3], string_id, int(left - low), int(high - left)) for i in some}
+        if out:
+            yield _batch(list(out), kinds, names)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     def rows():
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(6)))
+            yield from zip(*(batch.column(i).to_pylist() for i in range(len(CONTEXT))))
 
     for (h, _), group in groupby(rows(), key=lambda r: (r[0], r[1])):
-        members = list(group)
-        for r, (before, onward) in zip(members, repeats([(m[4], m[5], m[3]) for m in members])):
-            if onward:
-                out.append((h, r[2], before, onward))
-        if len(out) > 20_000:
-            yield _answers(out)
-            out = []
-    if out:
-        yield _answers(out)
+        yield h, list(group)
 
 
-def _answers(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["h", "c", "before", "onward"])
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``CONTEXTS`` -> (h, c, before, w): a hash of every LEAST-byte window around the anchor whose own
+    least gram is there, so that a window is looked for under one gram only; w depends on ``before``
+    too, as a window with two equal grams is one occurrence, not two."""
+    kinds, names = [pa.int64(), pa.int64(), pa.int32(), pa.int64()], ["h", "c", "before", "w"]
+    for batch in batches:
+        for h, _, _, c, _, left, context in zip(*(batch.column(i).to_pylist() for i in range(len(CONTEXT)))):
+            data = np.frombuffer(context, np.uint8)
+            if len(data) < LEAST:
+                continue
+            grams = rolling(data, GRAM)
+            own = np.flatnonzero(_slide(grams, SPAN + 1, np.minimum) == grams[left])
+            if len(own):
+                w = (rolling(data, LEAST)[own] ^ ((left - own).astype(U64) * U64(BASE))).view(np.int64)
+                columns = [np.full(len(own), h), np.full(len(own), c), (left - own).astype(np.int32), w]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
 
 
 def _between_parts(split: DataFrame) -> DataFrame:
-    """The same for buckets in several parts: windows that another part has as well, at the same
-    place from the gram (a window with two equal grams is one occurrence, not two). A window
-    is looked for under its own least gram only."""
-
-    def windows(context: bytes, left: int) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(context, np.uint8)
-        if len(data) < LEAST:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        grams = rolling(data, GRAM)
-        own = np.flatnonzero(_slide(grams, SPAN + 1, np.minimum) == grams[left])
-        return own, rolling(data, LEAST)[own] ^ ((left - own).astype(U64) * U64(BASE))
-
-    def publish(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.unique(np.concatenate([windows(c, left)[1] for c, left in zip(frame["context"], frame["left"])]))
-        block = hashes % U64(int(frame["parts"].iloc[0]))
-        h, part = frame["h"].iloc[0], frame["part"].iloc[0]
-        rows = [(h, int(b), part, hashes[block == b].tobytes()) for b in np.unique(block)]
-        return pd.DataFrame(rows, columns=["h", "block", "part", "hashes"])
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(x, U64) for x in frame["hashes"]]
-        seen, times = np.unique(np.concatenate(own), return_counts=True)
-        again = seen[times > 1]
-        rows = [(h, part, x[np.isin(x, again)].tobytes()) for h, part, x in zip(frame["h"], frame["part"], own)]
-        return pd.DataFrame([r for r in rows if r[2]], columns=["h", "part", "hashes"])
-
-    def settle(contexts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(contexts) and len(answers):
-            again = np.concatenate([np.frombuffer(x, U64) for x in answers["hashes"]])
-            for h, c, left, context in zip(contexts["h"], contexts["c"], contexts["left"], contexts["context"]):
-                at, own = windows(context, left)
-                hits = at[np.isin(own, again)]
-                if len(hits):
-                    rows.append((h, c, left - int(hits[0]), int(hits[-1]) + LEAST - left))
-        return pd.DataFrame(rows, columns=["h", "c", "before", "onward"])
-
-    published = split.groupBy("h", "part").applyInPandas(publish, "h long, block long, part long, hashes binary")
-    answers = published.groupBy("h", "block").applyInPandas(match, "h long, part long, hashes binary")
-    pairs = split.groupBy("h", "part").cogroup(answers.groupBy("h", "part"))
-    return pairs.applyInPandas(settle, "h long, c long, before int, onward int")
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, text, spans) -> k, n_removed, n_spans, the text's rest and its digest."""
-    names = ["k", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in batches:
-        at, data = _bytes_column(batch.column(1))
-        data = data.tobytes() if batch.num_rows else b""
-        rows = []
-        for i, (k, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            text, merged = data[int(at[i]) : int(at[i + 1])], []
-            for s, e in sorted((x["s"], x["e"]) for x in spans):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(e, merged[-1][1])
-                else:
-                    merged.append([s, e])
-            edges = [0, *(x for m in merged for x in m), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append((k, len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-        if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    """(h, c, before, onward) of windows that occur with several surroundings of a bucket in parts."""
+    windows = written(split.mapInArrow(_windows, "h long, c long, before int, w long"), "windows")
+    again = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w")
+    met = windows.join(written(again, "shared_windows"), ["h", "w"])
+    return met.groupBy("h", "c").agg(F.max("before").alias("before"), (LEAST - F.min("before")).alias("onward"))
+
+
+def found_anchors(docs: DataFrame) -> DataFrame:
+    """(ka, kb, text) -> the anchors of all texts, as a written table."""
+    return written(docs.select("ka", "kb", "text").mapInArrow(_find, "ka long, kb long, p int, h long, c long, onward int"), "anchors")
+
+
+def contexts(docs: DataFrame, found: DataFrame, differ: DataFrame, most: int) -> DataFrame:
+    """``CONTEXTS``: the bytes around the anchors of grams that ``differ`` (a table of h), one row a different surrounding.
+
+    Texts that are alike give theirs once, before they are shuffled.
+    """
+    marked = found.join(differ, "h").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ka", "kb", "p")).alias("m"))
+    marked = written(marked.select("h", "c", "n", "m.ka", "m.kb", "m.p"), "surroundings")
+    hot = marked.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most)
+    hot = written(hot.select("h", F.ceil(F.col("m") / most).cast("int").alias("parts")), "hot")
+    marks = marked.join(hot, "h", "left").groupBy("ka", "kb").agg(
+        F.collect_list(F.struct("p", "h", "c", "n", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("marks")
+    )
+    texts = docs.groupBy("ka", "kb").agg(F.first("text").alias("text"))
+    out = texts.join(marks, ["ka", "kb"]).select("text", "marks").mapInArrow(_cut, CONTEXTS)
+    out = written(out, "contexts", compression="zstd")
+    discard(marked)
+    return out
+
+
+def _sorted(bucketed: DataFrame) -> DataFrame:
+    return bucketed.repartition("h", "part").sortWithinPartitions("h", "part")
+
+
+def _grams(found: DataFrame) -> DataFrame:
+    """(h, n, c, alike, before, onward) of the grams that occur again; alike: all in one surrounding."""
+    again = found.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("alike"),
+        F.min(F.least(F.col("p"), F.lit(SPAN))).alias("before"), F.min("onward").alias("onward"),
+    )
+    return written(again.filter("n > 1"), "again")
 
 
 def removals(docs: DataFrame, most: int = 512) -> DataFrame:
-    """(k, text) -> k, n_removed, n_spans, kept_sha256, kept (bytes) of the texts that lose some; one row a k.
+    """(ka, kb, text) -> ka, kb, spans (array of s, e): the covered stretches of the texts that lose some; one row a text.
 
     ``most`` is the number of different surroundings of one gram that a part of its bucket has.
     """
-    found = written(docs.select("k", "text").mapInArrow(_find, "k long, p int, h long"), "anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    again = written(again, "again")  # a plain table on the right, so that a hot gram's anchors can be split
-    marked = found.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("p", "h")).alias("a"), F.count(F.lit(1)).alias("rows"), F.max("p").alias("far"))
-    marked = marked.select(F.col("k").alias("mk"), F.col("a.p").alias("ps"), F.col("a.h").alias("hs"))
-    texts = written(docs.join(marked, F.col("k") == F.col("mk")).select("k", "text", "ps", "hs"), "repeating")
-    discard(found)
-    cut = texts.mapInArrow(_surroundings(True), "h long, c long, left int, context binary")
-    different = cut.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("context").alias("context"))
-    different = written(different, "contexts")
-    hot = different.groupBy(F.col("h").alias("hot_h")).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most)
-    hot = written(hot, "hot")
-    parts = F.coalesce(F.ceil(F.col("m") / most), F.lit(1)).cast("long")
-    dealt = different.join(hot, F.col("h") == F.col("hot_h"), "left").withColumn("parts", parts)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
-    bucketed = dealt.select("h", "part", "c", "n", "left", "context")
-    bucketed = bucketed.repartition("h", "part").sortWithinPartitions("h", "part")
-    answers = bucketed.mapInArrow(_buckets, "h long, c long, before int, onward int")
-    answers = answers.union(_between_parts(dealt.filter("parts > 1").select("h", "part", "parts", "c", "left", "context")))
+    found = found_anchors(docs)
+    again = _grams(found)
+    bucketed = contexts(docs, found, again.filter(~F.col("alike")).select("h"), most)
+    answers = _sorted(bucketed).mapInArrow(_buckets, "h long, c long, before int, onward int")
+    answers = answers.union(_between_parts(bucketed.filter("parts > 1")))
+    answers = answers.union(again.filter(F.col("alike") & (F.col("before") + F.col("onward") >= LEAST)).select("h", "c", "before", "onward"))
     answers = answers.groupBy("h", "c").agg(F.max("before").alias("before"), F.max("onward").alias("onward"))
     answers = written(answers, "repeats")
-    places = texts.mapInArrow(_surroundings(False), "k long, p int, h long, c long")
-    spans = places.join(answers, ["h", "c"]).select("k", (F.col("p") - F.col("before")).alias("s"), (F.col("p") + F.col("onward")).alias("e"))
-    spans = spans.groupBy(F.col("k").alias("sk")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    covered = texts.dropDuplicates(["k"]).join(spans, F.col("k") == F.col("sk")).select("k", "text", "spans")
-    return covered.mapInArrow(_remove, "k long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    discard(bucketed)
+    spans = found.drop("onward").join(answers, ["h", "c"]).select("ka", "kb", F.struct((F.col("p") - F.col("before")).alias("s"), (F.col("p") + F.col("onward")).alias("e")).alias("x"))
+    spans = written(spans.groupBy("ka", "kb").agg(F.collect_set("x").alias("spans")), "spans")
+    for used in (found, again, answers):
+        discard(used)
+    return spans
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), ka, kb: two independent 64-bit hashes of the text."""
+    t = whole("text")
+    return docs.select("doc_id", t.alias("text"), F.xxhash64(t).alias("ka"), F.xxhash64(F.lit("other"), t).alias("kb"))
+
+
+def _remove(with_text: bool) -> Callable:
+    """(doc_id, text, spans) -> doc_id, n_bytes, n_removed, n_spans, the digest of the rest and the rest."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [*[pa.int64()] * 3, pa.string(), pa.binary()]
+        for batch in batches:
+            at, data = _bytes_column(batch.column(1))
+            view, rows = memoryview(data), []
+            for i, spans in enumerate(batch.column(2).to_pylist()):
+                text, merged = view[int(at[i]) : int(at[i + 1])], []
+                for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(e, merged[-1][1])
+                    else:
+                        merged.append([s, e])
+                edges = [0, *(x for m in merged for x in m), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                rows.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            if rows:
+                columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return remove
+
+
+def dedup_strings(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """documents -> doc_id, n_bytes, n_removed, n_spans (long), kept_sha256, kept (the bytes left, null unless ``with_text``).
+
+    Null text is empty. Texts under LEAST bytes lose nothing. Rows alike in text are as many
+    occurrences and lose everything they share, which is all. Empty tables give empty results;
+    columns other than doc_id and text are not looked at.
+    """
+    keyed = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    both = keyed.join(removals(keyed.select("ka", "kb", "text")), ["ka", "kb"], "left").select("doc_id", "text", "spans")
+    return both.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def dedup_strings(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, n_bytes, n_removed, n_spans (long), kept_sha256, kept (bytes left; null where all are).
+def maximal_repeats(docs: DataFrame, most: int = 512) -> DataFrame:
+    """documents -> string_id, length, doc_id, start: the groups of repeats with all their occurrences.
 
-    Null text is empty. Texts under LEAST bytes lose nothing. Rows alike in doc_id and text are
-    two occurrences and lose everything they share, which is all. Empty tables give empty results.
+    A row is one occurrence of a maximal repeat around its least gram; a long repeat is given in
+    overlapping stretches around several. Of a bucket in parts the groups are the LEAST-byte
+    windows that its texts share.
     """
-    keyed = docs.select("doc_id", whole("text").alias("text"), F.xxhash64(F.col("doc_id"), whole("text")).alias("k"))
-    gone = removals(keyed.select("k", "text"))
-    gone = gone.select(F.col("k").alias("gk"), "n_removed", "n_spans", F.col("kept_sha256").alias("left_sha"), "kept")
-    every = keyed.select("doc_id", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    both = every.join(gone, F.col("k") == F.col("gk"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return both.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"), "kept")
+    keyed = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    texts = keyed.select("ka", "kb", "text")
+    found = found_anchors(texts)
+    again = _grams(found)
+    bucketed = contexts(texts, found, again.select("h"), most)
+    whole_buckets = _sorted(bucketed.filter("parts = 1")).mapInArrow(_groups, "h long, c long, string_id long, before int, onward int")
+    windows = bucketed.filter("parts > 1").mapInArrow(_windows, "h long, c long, before int, w long")
+    shared = windows.groupBy(F.col("h").alias("sh"), F.col("w").alias("sw")).agg(F.count(F.lit(1)).alias("n"))
+    split = windows.join(shared, (F.col("h") == F.col("sh")) & (F.col("w") == F.col("sw")))
+    copies = found.groupBy(F.col("h").alias("ch"), F.col("c").alias("cc")).agg(F.count(F.lit(1)).alias("copies"))
+    split = split.join(copies, (F.col("h") == F.col("ch")) & (F.col("c") == F.col("cc"))).filter("n > 1 or copies > 1")
+    split = split.select("h", "c", F.col("w").alias("string_id"), "before", (LEAST - F.col("before")).alias("onward"))
+    members = written(whole_buckets.union(split), "members")
+    at = found.select("ka", "kb", "p", "h", "c").join(members, ["h", "c"])
+    rows = at.join(keyed.select("doc_id", "ka", "kb"), ["ka", "kb"])
+    return rows.select("string_id", (F.col("before") + F.col("onward")).alias("length"), "doc_id", (F.col("p") - F.col("before")).alias("start")).distinct()

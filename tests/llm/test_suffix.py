@@ -46,3 +46,26 @@ def test_equals_brute_force(spark, sf, most, monkeypatch):
 
 def test_empty(spark):
     assert suffix.dedup_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("most", [512, 3])
+def test_groups_hold_all_occurrences(spark, most):
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(240)
+    rows = [(i, word(rnd.randint(0, 90)) + passage + word(rnd.randint(0, 90))) for i in range(9)]
+    rows += [(20 + i, word(50) + passage[: 215 + i] + word(60)) for i in range(3)] + [(30, word(400)), (31, None), (32, "twice alike " * 20), (33, "twice alike " * 20)]
+    texts = dict(rows)
+    found = suffix.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most).collect()
+    groups, covered = {}, {i: bytearray(len(t or "")) for i, t in rows}
+    for r in found:
+        groups.setdefault((r.string_id, r.length), []).append((r.doc_id, r.start))
+        covered[r.doc_id][r.start : r.start + r.length] = b"\1" * r.length
+    for (_, length), places in groups.items():
+        strings = {texts[i][s : s + length] for i, s in places}
+        assert length >= 200 and len(strings) == 1
+        string = strings.pop()  # every occurrence in the corpus, not just neighbours
+        every = [(i, s) for i, t in rows if t for s in range(len(t) - length + 1) if t.startswith(string, s)]
+        assert len(every) > 1 and sorted(places) == sorted(every)
+    want = {i: b[1] for (i, _), b in zip(rows, brute([(t or "").encode() for _, t in rows]))}
+    assert {i: sum(c) for i, c in covered.items()} == want
