@@ -70,21 +70,31 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def top(df: DataFrame, score: str, most: int) -> DataFrame:
-    """The rows of the greatest positive scores, at most ``most`` of them.
+def top(df: DataFrame, score: str, most: int, *key: str) -> DataFrame:
+    """The ``most`` rows of the greatest positive scores (all, where there are fewer).
 
-    A histogram over eighths of powers of two finds the score from which on there are no more;
-    rows of the bucket in which the bound falls stay out. Nothing is sorted, and what reaches
-    the driver is the histogram.
+    Histograms find the score from which on there are no more: over eighths of powers of two,
+    then finer ones of the bucket in which the bound falls, last by hash of ``key`` among equal
+    scores. Only a bucket that no level can split stays out whole: under 2**-24 of those equals.
+    Nothing is sorted, and what reaches the driver are the histograms.
     """
-    bucket = F.floor(8 * F.log2(score))
-    sums = {r.b: r.n for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    taken, least = 0, None
-    for b in sorted(sums, reverse=True):
-        if taken + sums[b] > most:
-            break
-        taken, least = taken + sums[b], b
-    return df.filter(bucket >= least) if least is not None else df.limit(0)
+    h = F.xxhash64(*key)
+    part = lambda at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(4095))
+    levels = [F.floor(8 * F.log2(score)), F.floor(8192 * F.log2(score)), part(52), part(40)]
+    df = df.filter(F.col(score) > 0)
+    taken, edge = F.lit(False), F.lit(True)
+    for level in levels:
+        sums = {r.b: r.n for r in df.filter(edge).groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        at = None
+        for b in sorted(sums, reverse=True):
+            if sums[b] > most:
+                at = b
+                break
+            most -= sums[b]
+        if at is None:
+            return df.filter(taken | edge)
+        taken, edge = taken | (edge & (level > at)), edge & (level == at)
+    return df.filter(taken)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

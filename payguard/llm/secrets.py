@@ -1,9 +1,10 @@
 """Secret scans: pattern matches, and credential values judged by what they cost to guess.
 
-The value in a credential context is segmented at least total cost, in bits, into words of a
-ranked list, dates, repeats, sequences, keyboard walks and brute-force spans, by dynamic
-programming over its characters. Values that cost at least ``least_bits`` are spans of kind
-``guess``; the pattern matches stay as they are.
+Every value in a credential context, those of the patterns included, is segmented at least
+total cost, in bits, into words of a ranked list, dates, repeats, sequences, keyboard walks and
+brute-force spans, by dynamic programming over its characters. Values that cost at least
+``least_bits`` are spans of kind ``guess``; the pattern matches stay as they are, whatever
+their values cost.
 """
 
 from __future__ import annotations
@@ -99,43 +100,55 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
     return cost[-1]
 
 
-def scan(text: str, ranks: dict[str, int], least_bits: float) -> list[tuple[int, int, int, float]]:
-    """(start, kind index, end, bits of a guessed value or 0.0), by start and kind."""
-    found = []
-    if HINT.search(text):
-        found += [(m.start(), 0, m.end(), 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    found += [(m.start(), 1, m.end(), 0.0) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text)]
-    if HINT.search(text):
-        base = list(found)
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)]}")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) < 8 or any(s < end and start < e for s, _, e, _ in base):
-                continue
-            if (bits := guess_bits(value, ranks)) >= least_bits:
-                found.append((start, 3, end, bits))
+def values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every credential value of a text: of the assign pattern and of the wider contexts."""
+    found = {m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 12}
+    for m in CONTEXT.finditer(text):
+        value = m[1].rstrip(".,;:!?)]}")
+        if len(value) >= 8:
+            found.add((m.start(1), m.start(1) + len(value)))
     return sorted(found)
 
 
+def scan(text: str, ranks: dict[str, int], least_bits: float) -> tuple[list[tuple[int, int, int]], float]:
+    """(start, kind index, end) by start and kind; the bits of the dearest credential value (0.0: none)."""
+    found, most = [], 0.0
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if HINT.search(text):
+        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        for start, end in values(text):
+            bits = guess_bits(text[start:end], ranks)
+            most = max(most, bits)
+            if bits >= least_bits:
+                found.append((start, 3, end))
+    return sorted(found), most
+
+
 SCANNED = T.StructType().add("n_assign", "long").add("n_access", "long").add("n_hex", "long").add("n_guess", "long").add("base", "string").add("spans", "string").add("most_bits", "double")
 
 
-def ranked_words(docs: DataFrame, most: int = 20000, least_docs: int = 3) -> list[str]:
-    """The corpus's most frequent words, counted over whole texts of all documents (a list of at most ``most``)."""
+def ranked_words(docs: DataFrame, most: int = 20000, least: int = 3) -> list[str]:
+    """The corpus's ``most`` most frequent words of 3 to 24 letters that occur ``least`` times or more.
+
+    Counted over whole texts of all documents; a ranked list is what a guesser tries first, and
+    rarer words cost their letters.
+    """
     word = F.explode(words(F.regexp_replace(F.lower(whole("text")), r"[^\p{L}\x20\x09-\x0D]+", " ")))
     counts = docs.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.filter((F.col("n") >= least_docs) & F.length("w").between(3, LONGEST_WORD))
-    rows = top(written(counts, "words"), "n", most).collect()
+    counts = counts.filter((F.col("n") >= least) & F.length("w").between(3, LONGEST_WORD))
+    rows = top(written(counts, "words"), "n", most, "w").collect()
     return [r.w for r in sorted(rows, key=lambda r: (-r.n, r.w))]
 
 
 def find_secrets(docs: DataFrame, least_bits: float = 50.0, lexicon: list[str] | None = None) -> DataFrame:
     """documents -> doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans, most_bits.
 
-    ``spans`` lists kind:start:end in code points by start, then kind. Null text is empty and has
-    none; repeated rows are scanned each. ``lexicon`` is the ranked word list, from the corpus
-    itself where it is not given.
+    ``spans`` lists kind:start:end in code points by start, then kind; ``most_bits`` is what the
+    dearest credential value of the text costs, 0 where it has none. Null text is empty and has
+    no spans; repeated rows are scanned each; an empty table gives no rows; columns other than
+    doc_id and text are not looked at. Costs grow with a value's length, however long it is.
+    ``lexicon`` is the ranked word list, from the corpus itself where it is not given.
     """
     lexicon = COMMON + (ranked_words(docs) if lexicon is None else lexicon)
     ranks = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in reversed(list(enumerate(lexicon)))})
@@ -145,11 +158,11 @@ def find_secrets(docs: DataFrame, least_bits: float = 50.0, lexicon: list[str] |
         for texts in batches:
             rows = []
             for text in texts:
-                found = scan(text or "", ranks.value, least_bits)
-                named = [f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in found]
-                n = [sum(k == kind for _, k, _, _ in found) for kind in range(4)]
+                found, most_bits = scan(text or "", ranks.value, least_bits)
+                named = [f"{KINDS[k]}:{s}:{e}" for s, k, e in found]
+                n = [sum(k == kind for _, k, _ in found) for kind in range(4)]
                 base = ",".join(x for x, f in zip(named, found) if f[1] < 3)
-                rows.append((*n, base, ",".join(named), max((f[3] for f in found), default=0.0)))
+                rows.append((*n, base, ",".join(named), most_bits))
             yield pd.DataFrame(rows, columns=SCANNED.names)
 
     s = docs.select("doc_id", scanned(whole("text")).alias("s")).select("doc_id", "s.*")

@@ -56,7 +56,7 @@ def feature_table(docs: DataFrame, most: int = 4000, least_docs: int = 4, least_
     odds = F.log((F.col("t") + 2 * share) / (F.col("n") - F.col("t") + 2 * (1 - share))) - math.log(share / (1 - share))
     z = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     f = f.select("f", odds.alias("odds"), F.abs(z).alias("z")).filter(F.col("z") >= least_z)
-    rows = top(written(f, "features"), "z", most).collect()
+    rows = top(written(f, "features"), "z", most, "f").collect()
     return [(r.f, r.odds) for r in sorted(rows, key=lambda r: (-r.z, r.f))]
 
 

@@ -39,8 +39,49 @@ def test_guess_cost():
 
         if len(x) <= 12:
             assert abs(least(0) - secrets.guess_bits(x, ranks)) < 1e-9
-    found = secrets.scan("login: x9$Kq!7vTz2#Lm and password: qwertyuiop", ranks, 50.0)
-    assert [(f[1], f[0], f[2]) for f in found] == [(3, 7, 21)]
+    found, most = secrets.scan("login: x9$Kq!7vTz2#Lm and password: qwertyuiop", ranks, 50.0)
+    assert found == [(7, 3, 21)] and most == secrets.guess_bits("x9$Kq!7vTz2#Lm", ranks)
+    found, _ = secrets.scan("token=hV8sPq2LwZ9r password=aaaaaaaaaaaaaa", ranks, 50.0)
+    assert found == [(0, 0, 18), (6, 3, 18), (19, 0, 42)]  # base values are costed too; a cheap one stays base only
+
+
+def test_guess_spans_equal_brute_force(spark, sf):
+    """Every credential value's cost by exhaustive recursion over all its segmentations."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(-5, "password: qwertyuiop"), (-1, None), (-2, ""), (-3, "password: " + "ab1!" * 500), (-4, "secret=" + "qwerty2019" * 3 + " pwd kL9#xVq2!mZ0w"), (-4, "secret=" + "qwerty2019" * 3 + " pwd kL9#xVq2!mZ0w")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, base string, spans int")
+    lexicon = ["alpha", "river", "stone"]
+    ranks = {w: i + 1 for i, w in reversed(list(enumerate(secrets.COMMON + lexicon)))}
+
+    def least(value):
+        best = {len(value): 0.0}
+        for at in range(len(value) - 1, -1, -1):
+            steps = [(at + 1, secrets._per_char(value))]
+            steps += [(j, b + secrets.SEGMENT_BITS) for i, j, b, _ in spans if i == at]
+            best[at] = min(b + best[j] for j, b in steps)
+        return best[0]
+
+    want = []
+    for doc_id, text in rows:
+        costs = {}
+        for start, end in secrets.values(text or ""):
+            spans = secrets.segments(text[start:end], ranks)
+            costs[start, end] = least(text[start:end])
+        dear = sorted(f"guess:{s}:{e}" for (s, e), c in costs.items() if c >= 50.0)
+        want.append((doc_id, dear, round(max(costs.values(), default=0.0), 6)))
+    out = secrets.find_secrets(docs, lexicon=lexicon).collect()
+    got = [(r.doc_id, sorted(x for x in r.spans.split(",") if x.startswith("guess")), round(r.most_bits, 6)) for r in out]
+    assert sorted(got) == sorted(want) and all(r.n_guess == sum(x.startswith("guess") for x in r.spans.split(",")) for r in out)
+    assert sum(len(g) for _, g, _ in got) > 2 and any(m and not g for _, g, m in got)
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_ranked_words_keep_the_bound(spark):
+    rows = [("the " * 50 + "and " * 20 + " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * 3 for i in range(500)),)]
+    docs = spark.createDataFrame(rows, "text string")
+    words = secrets.ranked_words(docs, most=100)
+    assert words[:2] == ["the", "and"] and 90 <= len(words) <= 100
+    assert len(secrets.ranked_words(docs, most=10000)) == 502
 
 
 def test_hosts_paths_and_rules(spark):
