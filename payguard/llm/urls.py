@@ -1,10 +1,12 @@
 """URL filters: a tree of path templates per host, judged by smoothed labelled purity.
 
-Level by level, a path segment stays literal only where its branch is well supported and its
-labelled share of bad pages differs from its siblings'; all others are one wildcard branch.
-So variable segments (ids, slugs) generalise and similar branches merge. A template is
-rejected where its smoothed purity is low. Levels are grouped sums; the rows meet only the
-branches that stay literal.
+Level by level, the segments below a node that have too few pages of their own are variable
+and become one wildcard branch. The others and the wildcard are branches with a labelled share
+of bad pages; in order of that share, neighbours that a two-proportion test can't tell apart
+are merged, pair by pair, each merge pooling its counts. So ids and slugs generalise and
+similar branches are one. A template is rejected where its smoothed purity is low. Levels are
+grouped sums; rows meet only the branches that have enough pages, and a node's branches are
+pooled by 200ths of their share before they are merged, so that no host is one task's work.
 """
 
 from __future__ import annotations
@@ -37,37 +39,92 @@ def rule_for(host: Column, path: Column, rules: dict[str, str] = RULES) -> Colum
     return found
 
 
-def purity(labelled: DataFrame, depth: int = 4, support: int = 20, share: float = 0.02, apart: float = 2.5, weight: float = 10.0) -> DataFrame:
-    """(id, host, path, bad: 0/1/null) -> id, template, n_labelled, purity.
+def _merged(items: Column, apart: float) -> Column:
+    """Array of (rate, l, b, n, first, variable) -> array of groups of neighbours that are alike.
 
-    A branch stays literal with ``support`` pages, ``share`` of its parent's and a two-proportion
-    z of ``apart`` against its siblings. Segments beyond ``depth`` fold into one. Purity is
-    smoothed with ``weight`` rows at the host's rate, that one with as many at the whole table's.
+    A group has the pooled counts and, as ``rates``, the rates it spans. Branches without labels,
+    and such as are all good or all bad alike, are alike.
+    """
+    start = F.transform(F.slice(items, 1, 1), lambda x: _group(x, F.array(x["rate"])))
+
+    def step(groups: Column, x: Column) -> Column:
+        last = F.element_at(groups, -1)
+        l, b = last["l"] + x["l"], last["b"] + x["b"]
+        share = b / l
+        gap = F.abs(last["b"] / last["l"] - x["b"] / x["l"])
+        spread = F.sqrt(share * (1 - share) * (1 / last["l"] + 1 / x["l"]))
+        alike = F.coalesce((last["l"] == 0) | (x["l"] == 0) | (b == 0) | (b == l) | (gap < apart * spread), F.lit(True))
+        pooled = F.struct(
+            l.alias("l"), b.alias("b"), (last["n"] + x["n"]).alias("n"), F.least(last["first"], x["first"]).alias("first"),
+            (last["variable"] | x["variable"]).alias("variable"), F.concat(last["rates"], F.array(x["rate"])).alias("rates"),
+        )
+        others = F.slice(groups, 1, F.size(groups) - 1)
+        return F.when(alike, F.concat(others, F.array(pooled))).otherwise(F.concat(groups, F.array(_group(x, F.array(x["rate"])))))
+
+    return F.aggregate(F.slice(items, 2, 1000), start, step)
+
+
+def _group(x: Column, rates: Column) -> Column:
+    return F.struct(x["l"].alias("l"), x["b"].alias("b"), x["n"].alias("n"), x["first"].alias("first"), x["variable"].alias("variable"), rates.alias("rates"))
+
+
+def _branches(rows: DataFrame, level: int, support: int, apart: float, weight: float) -> DataFrame:
+    """(host, template, seg) -> part: the names of the segments that are branches of their own or of a group.
+
+    All other segments of a node are ``/*``. A group of several segments is named by its least
+    one and how many more it has; ``#`` can't be in a path.
+    """
+    seg = F.get("segs", F.lit(level))
+    child = rows.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(
+        F.count(F.lit(1)).alias("pages"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")
+    )
+    child = written(child, "branches")
+    node = child.groupBy("host", "template").agg((F.sum("b") / F.greatest(F.sum("l"), F.lit(1))).alias("share"), F.max("pages").alias("most"))
+    node = written(node.filter(F.col("most") >= support), "nodes")
+    near = lambda l, b: F.round(200 * (F.col(b) + weight * F.col("share")) / (F.col(l) + weight)).cast("int").alias("rate")
+    own = child.filter(F.col("pages") >= support).join(node, ["host", "template"]).select("host", "template", "seg", near("l", "b"), "l", "b")
+    own = written(own, "supported")
+    rest = child.filter(F.col("pages") < support).groupBy("host", "template").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+    rest = rest.join(node, ["host", "template"]).select("host", "template", F.lit(None).cast("string").alias("seg"), near("l", "b"), "l", "b")
+    pooled = own.union(rest).groupBy("host", "template", "rate").agg(
+        F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("seg").alias("n"), F.min("seg").alias("first"), F.max(F.col("seg").isNull()).alias("variable")
+    )
+    items = F.array_sort(F.collect_list(F.struct("rate", "l", "b", "n", "first", "variable")))
+    groups = pooled.groupBy("host", "template").agg(items.alias("items")).select("host", "template", F.explode(_merged(F.col("items"), apart)).alias("g"))
+    alone = (F.col("g.n") == 1) & (F.col("g.first") != "*")
+    name = F.when(F.col("g.variable"), "/*").when(alone, F.concat(F.lit("/"), F.col("g.first"))).otherwise(F.concat(F.lit("/"), F.col("g.first"), F.lit("#+"), (F.col("g.n") - 1).cast("string")))
+    named = written(groups.select("host", "template", F.explode("g.rates").alias("rate"), name.alias("part")).filter("part <> '/*'"), "groups")
+    return written(own.join(named, ["host", "template", "rate"]).select(F.col("host").alias("kh"), F.col("template").alias("kt"), F.col("seg").alias("ks"), "part"), "literal")
+
+
+def templates(labelled: DataFrame, support: int = 20, apart: float = 2.5, weight: float = 10.0) -> DataFrame:
+    """(id, host, path, bad: 0/1/null) -> id, host, bad, template.
+
+    A segment is a branch with ``support`` pages or more; branches differ where a z of two
+    proportions is ``apart`` or more. The tree goes on until no node has ``support`` pages below
+    it, so no branch is left out; what is still below then is ``/**``.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = labelled.select("id", "host", "bad", segments.alias("segs"), F.lit("").alias("template"))
-    for level in range(depth):
+    level = 0
+    while not rows.filter(F.size("segs") > level).groupBy("host", "template").count().filter(F.col("count") >= support).isEmpty():
+        literal = _branches(rows, level, support, apart, weight)
         seg = F.get("segs", F.lit(level))
-        child = rows.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(
-            F.count(F.lit(1)).alias("n"), F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")
-        )
-        child = written(child.filter(F.col("n") > 0), "branches")
-        parent = child.groupBy(F.col("host").alias("ph"), F.col("template").alias("pt")).agg(
-            F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb")
-        )
-        frequent = child.filter(F.col("n") >= support)
-        both = frequent.join(parent, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")))
-        rate = F.col("pb") / F.col("pl")
-        gap = F.col("b") / F.col("l") - (F.col("pb") - F.col("b")) / (F.col("pl") - F.col("l"))
-        spread = F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / (F.col("pl") - F.col("l"))))
-        literal = both.filter((F.col("n") >= share * F.col("pn")) & (F.col("l") > 0) & (F.col("pl") > F.col("l")) & (F.col("pb") > 0) & (F.col("pb") < F.col("pl")))
-        literal = literal.filter(F.abs(gap) >= apart * spread).select(F.col("host").alias("kh"), F.col("template").alias("kt"), F.col("seg").alias("ks"))
-        literal = written(literal, "literal")
         met = rows.join(literal, (rows["host"] == F.col("kh")) & (rows["template"] == F.col("kt")) & (seg == F.col("ks")), "left")
-        part = F.when(seg.isNull(), "").when(F.col("ks").isNull(), "/*").otherwise(F.concat(F.lit("/"), seg))
-        rows = met.select("id", "host", "bad", "segs", F.concat("template", part).alias("template"))
-        rows = written(rows, "templates")
-    rows = rows.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        part = F.when(seg.isNull(), "").otherwise(F.coalesce("part", F.lit("/*")))
+        rows = written(met.select("id", "host", "bad", "segs", F.concat("template", part).alias("template")), "templates")
+        level += 1
+    rest = F.when(F.size("segs") > level, "/**").otherwise("")
+    return rows.select("id", "host", "bad", F.concat("template", rest).alias("template"))
+
+
+def purity(labelled: DataFrame, support: int = 20, apart: float = 2.5, weight: float = 10.0) -> DataFrame:
+    """(id, host, path, bad: 0/1/null) -> id, template, n_labelled, purity.
+
+    Purity is smoothed with ``weight`` rows at the host's rate, that one with as many at the
+    whole table's.
+    """
+    rows = templates(labelled, support, apart, weight)
     sums = rows.groupBy("host", "template").agg(F.count("bad").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     sums = written(sums, "sums")
     hosts = sums.groupBy(F.col("host").alias("hh")).agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
@@ -80,12 +137,14 @@ def purity(labelled: DataFrame, depth: int = 4, support: int = 20, share: float
     return out.select("id", "template", "n_labelled", "purity")
 
 
-def judge(pages: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, least: float = 0.75) -> DataFrame:
     """(page_id, url) and (doc_id, quality) -> page_id, host, path, rule, template, purity, verdict.
 
     A page is bad where the label of its number has quality 0; several labels of one number
-    count as bad if any is. Rules go first, then a template under ``least`` is blocked. A null
-    url has an empty host and path; rows that repeat are judged each; no labels, no blocks.
+    count as bad if any is. Rules go first, then a template under ``least`` is blocked: by its
+    smoothed share more than a quarter of its pages are bad. A null url has an empty host and
+    path; rows that repeat count and are judged each; no labels, no blocks; an empty table gives
+    no rows; other columns of pages, clashing ones too, are not looked at.
     """
     bad = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
     slim = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import random
 import re
 
 from payguard.llm import secrets, urls
@@ -109,3 +111,91 @@ def test_bad_branches_are_blocked(spark):
     assert {r.template for r in got.values()} == {"/spam/*", "/*/*"} or {r.template for r in got.values()} == {"/spam/*", "/news/*"}
     assert urls.judge(pages.limit(0), lab).count() == 0
     assert {r.verdict for r in urls.judge(pages, lab.limit(0)).collect()} == {"allow"}
+
+
+def brute_templates(rows, support=20, apart=2.5, weight=10.0):
+    """(host, path, bad) -> template of each, by the definition, in plain loops."""
+    segs = [[x for x in path.split("/") if x] for _, path, _ in rows]
+    names = [""] * len(rows)
+    level = 0
+    while True:
+        below = collections.Counter((rows[i][0], names[i]) for i in range(len(rows)) if len(segs[i]) > level)
+        if not below or max(below.values()) < support:
+            return [n + ("/**" if len(s) > level else "") for n, s in zip(names, segs)]
+        nodes = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0, 0]))
+        for (host, _, bad), s, name in zip(rows, segs, names):
+            if len(s) > level:
+                c = nodes[host, name][s[level]]
+                c[0] += 1
+                if bad is not None:
+                    c[1] += 1
+                    c[2] += bad
+        parts = {}
+        for node, children in nodes.items():
+            share = sum(c[2] for c in children.values()) / max(1, sum(c[1] for c in children.values()))
+            near = lambda l, b: int(200 * (b + weight * share) / (l + weight) + 0.5)  # noqa: B023, E731
+            pooled = {}
+
+            def add(rate, l, b, seg):
+                p = pooled.setdefault(rate, [0, 0, []])  # noqa: B023
+                pooled[rate] = [p[0] + l, p[1] + b, p[2] + [seg]]  # noqa: B023
+
+            for seg, (n, l, b) in children.items():
+                if n >= support:
+                    add(near(l, b), l, b, seg)
+            rare = [c for c in children.values() if c[0] < support]
+            if rare:
+                l, b = sum(c[1] for c in rare), sum(c[2] for c in rare)
+                add(near(l, b), l, b, None)
+            groups = []
+            for rate in sorted(pooled):
+                l, b, some = pooled[rate]
+                if groups:
+                    m, a, _ = groups[-1]
+                    share2 = (a + b) / (m + l) if m + l else 0
+                    alike = not l or not m or share2 in (0, 1) or abs(a / m - b / l) < apart * (share2 * (1 - share2) * (1 / m + 1 / l)) ** 0.5
+                    if alike:
+                        groups[-1] = [m + l, a + b, groups[-1][2] + some]
+                        continue
+                groups.append([l, b, some])
+            for _, _, some in groups:
+                for seg in some:
+                    if None in some:
+                        parts[node, seg] = "/*"
+                    else:
+                        parts[node, seg] = "/" + min(some) + (f"#+{len(some) - 1}" if len(some) > 1 or some == ["*"] else "")
+        names = [n + (parts.get(((r[0], n), s[level]), "/*") if len(s) > level else "") for r, n, s in zip(rows, names, segs)]
+        level += 1
+
+
+def test_templates_and_verdicts_equal_brute_force(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(4000):
+        host = rnd.choice(["a.io", "a.io", "a.io", "b.io", "c.io"])
+        top = rnd.choice(["news", "spam", "junk", "blog", "*", "tag", "deep"])
+        path = f"/{top}/{i}" if top != "deep" else f"/deep/{rnd.randint(1, 3)}/x/{rnd.choice('pq')}/{i}/end"
+        rate = {"spam": 0.8, "junk": 0.75, "blog": 0.1, "tag": 0.4}.get(top, 0.05) + (0.8 if "/q/" in path else 0)
+        rows.append((i, host, path, int(rnd.random() < rate) if rnd.random() < 0.5 else None))
+    rows += [(5000, "", "", None), (5001, "z.io", "/", 1), (5002, "z.io", "/" + "x/" * 3000, 0)] + [(6000, "r.io", "/same/page", 1)] * 30
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "page int, host string, path string, bad int, id long")
+    got = {r.id: r.template for r in urls.templates(df).collect()}
+    want = dict(enumerate(brute_templates([r[1:] for r in rows])))
+    assert got == want
+    assert len(set(want.values())) > 8 and any("#+" in t for t in want.values())
+    sums = collections.defaultdict(lambda: [0, 0])
+    hosts, every = collections.defaultdict(lambda: [0, 0]), [0, 0]
+    for n, (_, host, _, bad) in enumerate(rows):
+        for s in (sums[host, want[n]], hosts[host], every):
+            s[0] += bad is not None
+            s[1] += bad or 0
+    smooth = lambda s, rate: (s[1] + 10 * rate) / (s[0] + 10)
+    for r in urls.purity(df).collect():
+        host = rows[r.id][1]
+        p = 1 - smooth(sums[host, want[r.id]], smooth(hosts[host], every[1] / every[0]))
+        assert r.template == want[r.id] and abs(r.purity - p) < 1e-9 and r.n_labelled == sums[host, want[r.id]][0]
+    pages = spark.createDataFrame([(n, f"http://{h}{p}", "x", "y", 1) for n, (_, h, p, _) in enumerate(rows)], "page_id long, url string, host string, template string, bad int")
+    labels = spark.createDataFrame([(n, 1 - b, 0) for n, (*_, b) in enumerate(rows) if b is not None], "doc_id long, quality int, id int")
+    verdicts = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
+    purities = {r.id: r.purity for r in urls.purity(df).collect()}
+    assert all((verdicts[n] == "block") == (purities[n] < 0.75) for n in purities) and set(verdicts.values()) == {"block", "allow"}
