@@ -1,15 +1,18 @@
 """Quality rules: plain base rules, then robust multivariate outliers by language and source.
 
 The statistics of a text are transformed into a vector. In each (lang, source) a minimum-
-covariance-determinant estimate is reached by concentration steps: from the medians and
-median deviations, take the half-sample of the smallest distances, estimate mean and
-covariance on it, measure again. A document is rejected where its squared Mahalanobis
-distance, scaled to a chi-square median, exceeds ``cut``. All of it is grouped sums and
-mergeable quantiles; the group estimates are joined back to the rows.
+covariance-determinant estimate is reached by concentration steps: from a start, take the
+three quarters of the rows of the smallest distances, estimate mean and covariance on them,
+measure again. Three starts (medians with median deviations, and the moments of either half of
+the rows by hash) take two steps each; the one of the least determinant goes on. A document is
+rejected where its squared Mahalanobis distance, scaled to a chi-square median, is beyond a
+far tail of the chi-square distribution. All of it is grouped sums and mergeable quantiles;
+the group estimates are joined back to the rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +20,22 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, whole, words, written
 
-#: Quantiles of the chi-square distribution with 4 degrees of freedom.
-CHI_MEDIAN, CHI_975 = 3.3567, 11.1433
+#: Fixed value: median of the chi-square distribution with 4 degrees of freedom.
+CHI_MEDIAN = 3.3567
 #: Standard deviation that each part of the vector has at least, in its own unit.
 FLOORS = {"x0": 0.25, "x1": 0.05, "x2": 0.4, "x3": 0.12}
 X = tuple(FLOORS)
+#: Chance that an ordinary text is taken for an outlier.
+TAIL = 1e-10
+
+
+def chi_square_cut(tail: float) -> float:
+    """What a chi-square with 4 degrees of freedom exceeds with probability ``tail``."""
+    low, high = 0.0, 2000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.exp(-mid / 2) * (1 + mid / 2) > tail else (low, mid)
+    return high
 
 
 def statistics(text: str = "text", frame: DataFrame | None = None) -> DataFrame:
@@ -75,16 +89,20 @@ def distance(f: DataFrame, out: str) -> DataFrame:
     return f.drop(*[f"_c{i}" for i in range(len(X))], *[f"_y{i}" for i in range(len(X))])
 
 
+P = range(len(X))
+MEANS, FACTORS = [f"m{i}" for i in P], [f"l{i}{j}" for i in P for j in range(i + 1)]
+
+
 def _factor(moments: DataFrame) -> DataFrame:
-    """m_i, c_ij by group -> m_i and the Cholesky factor l_ij; no variance is under its floor."""
+    """g, s, m_i, c_ij -> m_i and the Cholesky factor l_ij; no variance is under its floor."""
     f = moments
-    for i in range(len(X)):
+    for i in P:
         for j in range(i + 1):
             gone = reduce(lambda a, k: a + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.lit(0.0))
             rest = F.col(f"c{i}{j}") - gone
             least = FLOORS[X[i]] ** 2
             f = f.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(least))) if i == j else rest / F.col(f"l{j}{j}"))
-    return f.select("g", "n", *[f"m{i}" for i in range(len(X))], *[f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)])
+    return f.select("g", "s", *MEANS, *FACTORS)
 
 
 def _grouped(v: DataFrame, g: DataFrame) -> DataFrame:
@@ -92,10 +110,9 @@ def _grouped(v: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def _moments(v: DataFrame) -> DataFrame:
-    p = range(len(X))
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(X[i]).alias(f"m{i}") for i in p]]
-    aggs += [(F.covar_pop(X[i], X[j]) if i != j else F.var_pop(X[i])).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    return v.groupBy("g").agg(*aggs)
+    aggs = [F.avg(X[i]).alias(f"m{i}") for i in P]
+    aggs += [(F.covar_pop(X[i], X[j]) if i != j else F.var_pop(X[i])).alias(f"c{i}{j}") for i in P for j in range(i + 1)]
+    return v.groupBy("g", "s").agg(*aggs)
 
 
 def _levels(v: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -116,38 +133,47 @@ def _levels(v: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
     return taken, written(parts, "parts")
 
 
-def estimates(v: DataFrame, steps: int = 3, part: float = 0.75, min_rows: int = 40) -> DataFrame:
+def _median(x: str | Column) -> Column:
+    return F.percentile_approx(x, 0.5, 10000)
+
+
+def _starts(v: DataFrame) -> DataFrame:
+    """g, s, m_i, l_ij: medians with median deviations (s = 0), moments of the halves by hash (1, 2)."""
+    mid = written(v.groupBy("g").agg(*[_median(x).alias(f"m{i}") for i, x in enumerate(X)]), "medians")
+    mad = v.join(mid, "g").groupBy("g", *MEANS).agg(*[_median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(X)])
+    spread = lambda i: F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[X[i]]))
+    first = mad.select("g", F.lit(0).alias("s"), *MEANS, *[(spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in P for j in range(i + 1)])
+    halves = _factor(_moments(v.withColumn("s", (1 + F.pmod(F.xxhash64(*X), F.lit(2))).cast("int"))))
+    return first.union(halves)
+
+
+def _step(v: DataFrame, g: DataFrame, part: float) -> DataFrame:
+    """A concentration step: the estimates on the rows within each one's quantile of distance."""
+    near = distance(v.join(g, "g"), "d2")
+    limit = written(near.groupBy("g", "s").agg(F.percentile_approx("d2", part, 10000).alias("q")), "limits")
+    inside = near.join(limit, ["g", "s"]).filter(F.col("d2") <= F.col("q")).select("g", "s", *X)
+    return written(_factor(_moments(inside)), "step")  # a small table, so that plans stay short
+
+
+def estimates(v: DataFrame, trials: int = 2, steps: int = 3, part: float = 0.75, min_rows: int = 40) -> DataFrame:
     """Estimates by (lang, source) from the vectors of the rows that pass the base rules; one row a group.
 
     Groups under ``min_rows``, too few for a covariance, have that of their language or of the
     whole table. Only where the table itself has fewer such rows is there none.
     """
-    median = lambda c: F.percentile_approx(c, 0.5, 10000)
     taken, parts = _levels(v, min_rows)
     v = written(_grouped(v, parts).filter("g is not null").select("g", *X), "grouped")
-    mid = v.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[median(x).alias(f"m{i}") for i, x in enumerate(X)])
-    mid = written(mid, "medians")
-    mad = v.join(mid, "g").groupBy("g", "n", *[f"m{i}" for i in range(len(X))]).agg(
-        *[median(F.abs(F.col(x) - F.col(f"m{i}"))).alias(f"d{i}") for i, x in enumerate(X)]
-    )
-    g = mad.select(
-        "g", "n", *[f"m{i}" for i in range(len(X))],
-        *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[X[i]])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(X)) for j in range(i + 1)],
-    )
-    g = written(g, "start")
+    g = written(_starts(v), "starts")
+    for _ in range(trials):
+        g = _step(v, g, part)
+    determinant = reduce(lambda a, i: a * F.col(f"l{i}{i}") * F.col(f"l{i}{i}"), P, F.lit(1.0))
+    best = g.groupBy("g").agg(F.min(F.struct(determinant.alias("det"), "s", *MEANS, *FACTORS)).alias("b"))
+    g = written(best.select("g", "b.s", *[f"b.{c}" for c in (*MEANS, *FACTORS)]), "least")
     for _ in range(steps):
-        g = written(_factor(_moments(_nearest(v, g, part))), "step")  # a small table, so that plans stay short
-    near = distance(v.join(g, "g"), "d2")
-    scale = near.groupBy("g").agg((median("d2") / CHI_MEDIAN).alias("scale"))
-    scale = scale.withColumn("scale", F.greatest("scale", F.lit(1.0)))
-    return written(taken.join(g.join(scale, "g"), "g").drop("g"), "mcd")
-
-
-def _nearest(v: DataFrame, g: DataFrame, part: float) -> DataFrame:
-    """The rows within the group's quantile of distance: a concentration step."""
+        g = _step(v, g, part)
     near = distance(v.join(g, "g"), "d2")
-    limit = written(near.groupBy("g").agg(F.percentile_approx("d2", part, 10000).alias("q")), "limits")
-    return near.join(limit, "g").filter(F.col("d2") <= F.col("q")).select("g", *X)
+    scale = near.groupBy("g").agg(F.greatest(_median("d2") / CHI_MEDIAN, F.lit(1.0)).alias("scale"))
+    return written(taken.join(g.drop("s").join(scale, "g"), "g").drop("g"), "mcd")
 
 
 def _verdict(f: DataFrame, g: DataFrame, cut: float) -> DataFrame:
@@ -156,21 +182,22 @@ def _verdict(f: DataFrame, g: DataFrame, cut: float) -> DataFrame:
     return f.withColumn("kept", kept)
 
 
-def judge(docs: DataFrame, cut: float = 120.0) -> DataFrame:
+def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """documents -> doc_id, the five statistics, base_failed, outlyingness (null: no estimate, in a table of few rows), kept.
 
-    ``cut`` is far outside a chi-square with 4 degrees of freedom (under 1e-11), so ordinary
-    texts stay however long they are. Null text counts as empty and fails; null lang or source
-    is a group of its own; repeated rows are judged each. Empty tables give empty results.
+    Rejected are rows beyond the ``tail`` of a chi-square: of ordinary texts one in ten thousand
+    million, however many there are. Null text counts as empty and fails; null lang or source
+    is a group of its own; repeated rows are judged each; a text's length changes nothing but its
+    statistics. Empty tables give empty results; other columns are not looked at.
     """
     f = statistics(frame=docs.select("doc_id", "lang", "source", "text")).drop("text")
     v = written(with_vector(f).withColumn("base_failed", base_failed()), "quality")
     g = estimates(v.filter(~F.col("base_failed")).select("lang", "source", *X))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlyingness", "kept"]
-    return _verdict(v, g, cut).select(*out)
+    return _verdict(v, g, chi_square_cut(tail)).select(*out)
 
 
-def kept_documents(docs: DataFrame, cut: float = 120.0) -> DataFrame:
+def kept_documents(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """The documents that ``judge`` keeps, with their columns.
 
     Rows are written once with their vectors: the statistics are worked out once, no filter is
@@ -180,4 +207,4 @@ def kept_documents(docs: DataFrame, cut: float = 120.0) -> DataFrame:
     f = with_vector(statistics(frame=rows).drop("text")).withColumn("base_failed", base_failed())
     v = written(f.select("row", "lang", "source", "base_failed", *X), "quality")
     g = estimates(v.filter(~F.col("base_failed")).select("lang", "source", *X))
-    return _verdict(v, g, cut).filter("kept").select("row.*")
+    return _verdict(v, g, chi_square_cut(tail)).filter("kept").select("row.*")
