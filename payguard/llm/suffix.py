@@ -258,18 +258,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``CONTEXTS`` -> (h, c, before, w): a hash of every LEAST-byte window around the anchor whose own
     least gram is there, so that a window is looked for under one gram only; w depends on ``before``
     too, as a window with two equal grams is one occurrence, not two."""
-    kinds, names = [pa.int64(), pa.int64(), pa.int32(), pa.int64()], ["h", "c", "before", "w"]
+    names = ["h", "c", "before", "w"]
     for batch in batches:
-        for h, _, _, c, _, left, context in zip(*(batch.column(i).to_pylist() for i in range(len(CONTEXT)))):
-            data = np.frombuffer(context, np.uint8)
-            if len(data) < LEAST:
-                continue
-            grams = rolling(data, GRAM)
-            own = np.flatnonzero(_slide(grams, SPAN + 1, np.minimum) == grams[left])
-            if len(own):
-                w = (rolling(data, LEAST)[own] ^ ((left - own).astype(U64) * U64(BASE))).view(np.int64)
-                columns = [np.full(len(own), h), np.full(len(own), c), (left - own).astype(np.int32), w]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
+        some = [(h, c, left, x) for h, _, _, c, _, left, x in zip(*(batch.column(i).to_pylist() for i in range(len(CONTEXT)))) if len(x) >= LEAST]
+        for k in range(0, len(some), 128):  # contexts one after the other, in one array
+            hs, cs, lefts, texts = zip(*some[k : k + 128])
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            sizes = np.array([len(x) for x in texts])
+            starts = np.cumsum(sizes) - sizes
+            grams, windows = rolling(data, GRAM), sizes - LEAST + 1
+            of = np.repeat(np.arange(len(sizes)), windows)
+            at = starts[of] + np.arange(len(of)) - (np.cumsum(windows) - windows)[of]
+            anchor = (starts + np.array(lefts))[of]
+            before = anchor - at
+            own = (before >= 0) & (before <= SPAN) & (_slide(grams, SPAN + 1, np.minimum)[at] == grams[anchor])
+            of, at, before = of[own], at[own], before[own]
+            w = rolling(data, LEAST)[at] ^ (before.astype(U64) * U64(BASE))
+            columns = [np.array(hs, np.int64)[of], np.array(cs, np.int64)[of], before.astype(np.int32), w.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
 
 def _between_parts(split: DataFrame) -> DataFrame:
@@ -290,8 +296,9 @@ def contexts(docs: DataFrame, found: DataFrame, differ: DataFrame, most: int) ->
 
     Texts that are alike give theirs once, before they are shuffled.
     """
-    marked = found.join(differ, "h").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ka", "kb", "p")).alias("m"))
-    marked = written(marked.select("h", "c", "n", "m.ka", "m.kb", "m.p"), "surroundings")
+    # one key of both, so that the sum is dealt out anew and a hot gram's side of the join can be split
+    marked = found.join(differ, "h").groupBy(F.struct("h", "c").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ka", "kb", "p")).alias("m"))
+    marked = written(marked.select("of.h", "of.c", "n", "m.ka", "m.kb", "m.p"), "surroundings")
     hot = marked.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > most)
     hot = written(hot.select("h", F.ceil(F.col("m") / most).cast("int").alias("parts")), "hot")
     marks = marked.join(hot, "h", "left").groupBy("ka", "kb").agg(
