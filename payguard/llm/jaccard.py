@@ -1,12 +1,13 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, for stages that dedup whole corpora.
+"""Completion of SimHash links: near copies by exact Jaccard similarity of five-word shingles.
 
 A SimHash within few bits misses most edited copies, and a trie of wider budget compares nearly
 all prefixes. Candidates are therefore texts that share a bucket: ``BANDS`` keys, each of
 ``ROWS`` minimum hashes, so that a pair of similarity 0.8 shares none with a chance of 1e-7.
-Every link is confirmed on the shingle sets themselves. A bucket's texts first meet its least
-text only; where that leaves more than one component, all texts outside the largest component
-meet all of other components. So a large group of near copies takes a row a text, and no
-candidate goes unmet.
+Every link is confirmed on the shingle sets themselves. Texts that are linked already don't
+meet again. Of the components that a bucket holds, each text outside the largest meets the
+least text of the largest; where that leaves several, all texts outside the then largest meet
+all of other components. So a large group of near copies takes a row a text, and no candidate
+goes unmet.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import types as T
 
 from .common import whole, written
 from .components import components
-from .simhash import first_of_each
 
 WORDS, BANDS, ROWS, SEED = 5, 40, 5, 42
 _rnd = np.random.default_rng(SEED)
@@ -30,10 +30,23 @@ _A = _rnd.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _B = _rnd.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted; a text of fewer words is one shingle."""
+def shingle_hashes(text: str, n: int = WORDS) -> np.ndarray:
+    """The hashes of all shingles of a text, repeats included; a text of fewer words is one shingle."""
     w, h = text.encode("utf-8", "surrogatepass").lower().split(), xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(w[i : i + n]), SEED) for i in range(max(1, len(w) - n + 1))], np.uint64))
+    return np.array([h(b" ".join(w[i : i + n]), SEED) for i in range(max(1, len(w) - n + 1))], np.uint64)
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text))
+
+
+def majority(hashes: np.ndarray, part: int = 1 << 16) -> int:
+    """The SimHash: a bit is set where more than half of the hashes have it; as a signed integer."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), part):
+        counts += np.unpackbits(hashes[i : i + part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def bucket_keys(s: np.ndarray, part: int = 2048) -> list[int]:
@@ -48,12 +61,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@F.pandas_udf(T.StructType().add("u", T.LongType()).add("n", T.IntegerType()).add("keys", T.ArrayType(T.LongType())))
+@F.pandas_udf(T.StructType().add("u", T.LongType()).add("n", T.IntegerType()).add("f", T.LongType()).add("keys", T.ArrayType(T.LongType())))
 def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """u: a hash of the shingle set, n: its size, f: the SimHash, keys: the buckets."""
     for texts in batches:
-        sets = [shingles(t) for t in texts]
-        u = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
-        yield pd.DataFrame({"u": u, "n": [len(s) for s in sets], "keys": [bucket_keys(s) for s in sets]})
+        rows = []
+        for hashes in map(shingle_hashes, texts):
+            s = np.unique(hashes)
+            rows.append((_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), len(s), majority(hashes), bucket_keys(s)))
+        yield pd.DataFrame(rows, columns=["u", "n", "f", "keys"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -62,7 +78,7 @@ def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(t).view(np.int64) for t in texts])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, na, b, nb) -> those of similarity 0.8 or more: 9 x common >= 4 x (na + nb)."""
     fit = pairs.filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "na", "b", "nb").distinct()
     fit = written(fit, "pairs")
@@ -72,36 +88,27 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k, u, n), (u, text) -> (a, b): links whose components are those of all similar pairs in buckets."""
-    heads = buckets.groupBy("k").agg(F.min(F.struct("u", "n")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    heads = written(heads.select("k", F.col("m.u").alias("a"), F.col("m.n").alias("na")), "heads")
-    rows = written(buckets.join(heads, "k"), "bucketed")
-    star = rows.filter("a <> u").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
-    first = written(_confirmed(star, texts), "links")
-    roots = written(components(first), "roots")
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(k, u, n) and links -> k, u, n, c (component), main (the bucket's largest), of buckets that hold several."""
+    roots = written(components(found), "roots")
     rows = rows.join(roots, F.col("u") == F.col("node"), "left").select("k", "u", "n", F.coalesce("root", "u").alias("c"))
     rows = written(rows, "rooted")
-    sizes = rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("k").agg(F.max(F.struct("m", "c")).alias("x"), F.count(F.lit(1)).alias("parts"))
-    main = written(main.filter("parts > 1").select("k", F.col("x.c").alias("main")), "mixed")
-    mixed = written(rows.join(main, "k"), "mixed_rows")
+    sizes = rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("u", "n")).alias("least"))
+    main = sizes.groupBy("k").agg(F.max(F.struct("m", "c", "least")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    main = written(main.select("k", F.col("x.c").alias("main"), F.col("x.least.u").alias("a"), F.col("x.least.n").alias("na")), "mixed")
+    return written(rows.join(main, "k"), "mixed_rows")
+
+
+def links(buckets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(k, u, n), (u, text), (a, b) -> (a, b): links whose components are those of all similar pairs in buckets.
+
+    ``known`` are confirmed links; they are among the result.
+    """
+    rows = _rooted(buckets, known)
+    star = rows.filter("c <> main").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
+    first = known.union(written(confirmed(star, texts), "links"))
+    mixed = _rooted(rows.select("k", "u", "n"), first).drop("a", "na")
     out = mixed.filter("c <> main").select("k", F.col("u").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     met = mixed.join(out, "k").filter((F.col("c") != F.col("ca")) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("u"))))
-    later = _confirmed(met.select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb")), texts)
+    later = confirmed(met.select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb")), texts)
     return first.union(written(later, "links"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one row left of each class of near copies, as ``simhash.one_of_each`` leaves it."""
-    key = F.xxhash64(F.col("doc_id"), whole("text"))
-    seen = written(docs.select("doc_id", key.alias("k"), sketches(whole("text")).alias("s")), "sketches")
-    # equal sets are one text, that of its least row
-    sets = seen.groupBy(F.col("s.u").alias("u")).agg(F.min(F.struct("k", F.col("s.n").alias("n"), F.col("s.keys").alias("keys"))).alias("m"))
-    sets = written(sets.select("u", "m.k", "m.n", "m.keys"), "distinct")
-    texts = docs.select(key.alias("k"), whole("text").alias("text")).join(sets.select("k", "u"), "k")
-    texts = written(texts.dropDuplicates(["u"]).select("u", "text"), "texts")
-    buckets = sets.select(F.explode("keys").alias("k"), "u", "n")
-    found = written(components(links(buckets, texts)), "found")
-    roots = seen.join(found, F.col("s.u") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "s.u").alias("root"))
-    return first_of_each(docs, roots)

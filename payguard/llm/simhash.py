@@ -1,31 +1,41 @@
 """SimHash near-dedup by a binary trie that is joined with itself.
 
 A text's fingerprint has a bit set where more than half of its three-word shingle hashes have
-it. Two of the three rotations' leading 21-bit blocks may differ when two bits do, so similar
-fingerprints share a leading block in at least one rotation: that block is a node of a trie
-paired with itself, at no cost. Node pairs are then traversed together, a few bits at a time:
-the children of both nodes are joined, differing bits added to what the pair has, and pairs
-over the budget pruned. A self-pair goes on only where two fingerprints lie below it. A node
-has at most 2**step children and few partners within the budget, so no key of these joins
-grows with the data. Copies share one fingerprint and take part once.
+it. Two differing bits leave three of five blocks equal, so there are ten tries, one for each
+choice of three blocks that come first: similar fingerprints share the leading 38 bits in one
+of them, a node that is paired with itself, at no cost. Node pairs are then traversed
+together, a few levels a join: the children of both nodes meet, differing bits are added to
+what the pair has, and pairs over the budget are pruned. A self-pair goes on only where two
+fingerprints lie below it. A node has at most 2**step children and few partners within the
+budget, and chance meetings of 38 bits are few, so no key of these joins and no level grows as
+the square of the data. Copies share one fingerprint and take part once.
+
+Links of two bits miss most edited copies: where a corpus is deduplicated (``one_of_each``),
+the trie's links over five-word shingles are confirmed on the shingle sets, and what it misses
+of similarity 0.8 or more is added from buckets of shared minimum hashes (``jaccard.py``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .common import whole, written
 from .components import components
 
-ROOT_BITS, ROTATIONS = 21, 3
-STEPS = (9, 9, 9, 8, 8)
+#: (first bit from the left, size) of each block; the orders of blocks that the tries have.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+ORDERS = [(*first, *(b for b in range(5) if b not in first)) for first in combinations(range(5), 3)]
+ROOT_BITS, STEPS = 38, (9, 9, 8)
 SEED = 42
 
 
@@ -48,14 +58,22 @@ def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([fingerprint(t or "") for t in texts], dtype="int64")
 
 
-def _rotated(bits: int):
-    return F.col("f") if not bits else F.shiftleft("f", bits).bitwiseOR(F.shiftrightunsigned("f", 64 - bits))
+def _reordered(f: Column, order: tuple[int, ...], back: bool = False) -> Column:
+    """The bits of f with its blocks in another order, or of such bits in their own order."""
+    parts, at = [], 0
+    for block in order:
+        start, size = BLOCKS[block]
+        here, there = (at, start) if back else (start, at)
+        bits = F.shiftrightunsigned(f, 64 - here - size).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        parts.append(F.shiftleft(bits, 64 - there - size))
+        at += size
+    return reduce(Column.bitwiseOR, parts)
 
 
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
     """Distinct (f) -> (a, b): pairs of fingerprints that differ in 1 to ``budget`` (at most 2) bits."""
-    rotated = F.array(*[F.struct(F.lit(r).alias("r"), _rotated(ROOT_BITS * r).alias("v")) for r in range(ROTATIONS)])
-    leaves = prints.select(F.inline(rotated))
+    each = F.array(*[F.struct(F.lit(r).alias("r"), _reordered(F.col("f"), order).alias("v")) for r, order in enumerate(ORDERS)])
+    leaves = prints.select(F.inline(each))
     depth, pairs = ROOT_BITS, None
     for step in STEPS:
         deeper = depth + step
@@ -72,12 +90,8 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
         met = pairs.join(left, ["r", "a"]).join(right, ["r", "b"]).filter(ordered & (d <= budget))
         pairs = written(met.select("r", F.col("ca").alias("a"), F.col("cb").alias("b"), d.cast("int").alias("d")), "trie")
         depth = deeper
-    back = lambda c: F.when(F.col("r") == 0, F.col(c)).otherwise(
-        F.when(F.col("r") == 1, F.shiftrightunsigned(c, ROOT_BITS).bitwiseOR(F.shiftleft(c, 64 - ROOT_BITS))).otherwise(
-            F.shiftrightunsigned(c, 2 * ROOT_BITS).bitwiseOR(F.shiftleft(c, 64 - 2 * ROOT_BITS))
-        )
-    )
-    return pairs.filter("d > 0").select(back("a").alias("a"), back("b").alias("b"))
+    own = lambda c: F.get(F.array(*[_reordered(F.col(c), order, back=True) for order in ORDERS]), F.col("r"))
+    return pairs.filter("d > 0").select(own("a").alias("a"), own("b").alias("b"))
 
 
 def classes(docs: DataFrame, budget: int = 2) -> DataFrame:
@@ -95,24 +109,29 @@ def classes(docs: DataFrame, budget: int = 2) -> DataFrame:
     return prints.join(roots.join(ids, "root").select("f", "component_id"), "f").select("doc_id", "f", "component_id")
 
 
-def one_of_each(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """The documents with one row left of each class; columns as in ``docs``.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with one row left of each class of near copies; columns as in ``docs``.
 
+    Near copies are texts of five-word Jaccard similarity 0.8 or more, and what such links reach.
     The least doc_id stays, null last; of rows that share it the one with the least hash of
-    its text, and of wholly equal rows one.
+    its text, and of wholly equal rows one. Null and empty texts are one class. An empty table
+    stays empty.
     """
     key = F.xxhash64(F.col("doc_id"), whole("text"))
-    c = docs.select("doc_id", "text", key.alias("k"))
-    prints = written(c.select("doc_id", "k", fingerprints(whole("text")).alias("f")), "prints")
-    distinct = written(prints.select("f").distinct(), "distinct")
-    found = components(links(distinct, budget))
-    roots = prints.join(found, F.col("f") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "f").alias("root"))
-    return first_of_each(docs, roots)
-
-
-def first_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The documents that are first of their root; ``roots`` has doc_id, k (hash of doc_id and text), root by row."""
-    key = F.xxhash64(F.col("doc_id"), whole("text"))
+    seen = written(docs.select("doc_id", key.alias("k"), jaccard.sketches(whole("text")).alias("s")), "sketches")
+    # equal sets are one text, that of its least row
+    sets = seen.groupBy(F.col("s.u").alias("u")).agg(F.min(F.struct("k", *[F.col(f"s.{c}").alias(c) for c in ("n", "f", "keys")])).alias("m"))
+    sets = written(sets.select("u", "m.*"), "distinct")
+    texts = docs.select(key.alias("k"), whole("text").alias("text")).join(sets.select("k", "u"), "k")
+    texts = written(texts.dropDuplicates(["u"]).select("u", "text"), "texts")
+    heads = written(sets.groupBy("f").agg(F.min(F.struct("u", "n")).alias("m")).select("f", "m.u", "m.n"), "heads")
+    alike = sets.join(heads.toDF("f", "a", "na"), "f").filter("a <> u").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
+    near = links(heads.select("f")).distinct()
+    near = near.join(heads.toDF("a", "ua", "na"), "a").join(heads.toDF("b", "ub", "nb"), "b").select(F.col("ua").alias("a"), "na", F.col("ub").alias("b"), "nb")
+    close = written(jaccard.confirmed(alike.union(near), texts), "close")
+    buckets = sets.select(F.explode("keys").alias("k"), "u", "n")
+    found = written(components(jaccard.links(buckets, texts, close)), "found")
+    roots = seen.join(found, F.col("s.u") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "s.u").alias("root"))
     first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k")).alias("m"))
     keep = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.k").alias("keep_k"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), key.alias("k"))

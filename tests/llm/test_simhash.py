@@ -55,4 +55,14 @@ def test_classes_equal_brute_force(spark, sf):
     want = brute(sorted(prints))
     got = {r.doc_id: (r.f % (1 << 64), r.component_id) for r in simhash.classes(docs).collect()}
     assert got == {d: (f, want[d]) for d, f in prints}
-    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
+def test_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, f long, k string, s int")
+    assert simhash.classes(empty).count() == 0 and simhash.one_of_each(empty).collect() == []
+    rows = [(None, "alone and null", 1, "a", 2), (None, "alone and null", 1, "a", 2), (5, "a b c", 1, "a", 2), (5, "a b c", 1, "a", 2), (3, "A B c", 2, "b", 3), (7, "", 0, None, None), (6, None, 0, None, None)]
+    docs = spark.createDataFrame(rows, empty.schema)  # extra columns have the names that are used inside
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.classes(docs).collect()), key=str)
+    assert got == sorted([(None, None), (None, None), (5, 3), (5, 3), (3, 3), (7, 6), (6, 6)], key=str)
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[4], rows[6]], key=str)
