@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from payguard.llm import jaccard, linededup, mixing, packing, quality
+from payguard.llm import linededup, mixing, packing, quality, simhash
 from payguard.llm.common import table, written
 
 
@@ -24,8 +24,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: five-word shingles alike to 0.8 or more."""
-    return jaccard.one_of_each(docs)
+    """One document of each class of near copies stays: five-word shingles alike to 0.8 or more.
+
+    The SimHash trie finds the links of few bits; those that it misses come from shared minimum hashes.
+    """
+    return simhash.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
