@@ -126,7 +126,7 @@ view("v_waiting", "SELECT i.invoice_id, i.source_po AS po, i.po_ref, i.source_po
 job(
     "ap_refresh",
     """SELECT w.invoice_id, CASE WHEN w.po_ref IS NULL OR w.hours < c.refresh_hours THEN 'fresh' WHEN n.added IS NOT NULL THEN 'cancelled' ELSE 'refreshed' END AS outcome, CASE WHEN w.po_ref IS NOT NULL AND w.hours >= c.refresh_hours THEN coalesce(n.added, '') ELSE '' END AS added FROM v_waiting AS w CROSS JOIN v_now AS c
-    LEFT JOIN (SELECT x.invoice_id, @list[x.code; x.code] AS added FROM (SELECT o.invoice_id, o.code FROM v_ordered_codes AS o UNION SELECT v.invoice_id, 'po_not_found' FROM v_inv AS v LEFT JOIN v_po AS p ON p.po = v.po_ref WHERE v.po_ref IS NOT NULL AND p.po IS NULL) AS x JOIN v_waiting AS y ON y.invoice_id = x.invoice_id WHERE position('|' || x.code || '|' IN '|' || y.had || '|') = 0 GROUP BY x.invoice_id) AS n ON n.invoice_id = w.invoice_id""",
+    LEFT JOIN (SELECT x.invoice_id, @list[x.code; x.code] AS added FROM v_ordered_codes AS x JOIN v_waiting AS y ON y.invoice_id = x.invoice_id WHERE position('|' || x.code || '|' IN '|' || y.had || '|') = 0 GROUP BY x.invoice_id) AS n ON n.invoice_id = w.invoice_id""",
 )
 # Posting.
 view("v_ledger", "SELECT vendor, number_norm, amount FROM v_entries WHERE arrival_seq % 6 = 0 UNION ALL SELECT vendor, number_norm, amount + 1 FROM v_entries WHERE arrival_seq % 30 = 0")
@@ -154,9 +154,9 @@ job(
 view("v_held_duplicates", "SELECT DISTINCT me_id FROM v_duplicate_pairs WHERE a_number = b_number OR (same_currency AND same_amount AND days <= same_amount_days)")
 view(
     "v_routes",
-    """SELECT i.invoice_id, CASE WHEN i.variant IN (5, 7) THEN 'input' WHEN f.invoice_id IS NOT NULL THEN 'output' WHEN NOT a.auto_ok THEN 'confidence' WHEN p.flags <> '' THEN 'validation' WHEN r.vendor IS NULL THEN 'vendor' WHEN NOT t.remit_matches THEN 'remit' WHEN d.me_id IS NOT NULL THEN 'duplicate' WHEN i.po_ref IS NULL THEN 'non_po' WHEN o.po IS NULL OR o.vendor <> i.true_vendor OR NOT m.matched THEN 'match' ELSE 'approval' END AS gate
+    """SELECT i.invoice_id, CASE WHEN i.variant IN (5, 7) THEN 'input' WHEN f.invoice_id IS NOT NULL THEN 'output' WHEN NOT a.auto_ok THEN 'confidence' WHEN p.flags <> '' THEN 'validation' WHEN r.vendor IS NULL THEN 'vendor' WHEN NOT t.remit_matches THEN 'remit' WHEN d.me_id IS NOT NULL THEN 'duplicate' WHEN m.route = 'non_po' THEN 'non_po' WHEN NOT m.matched THEN 'match' ELSE 'approval' END AS gate
     FROM v_inv AS i LEFT JOIN (SELECT DISTINCT invoice_id FROM v_filter) AS f ON f.invoice_id = i.invoice_id JOIN v_auto_ok AS a ON a.invoice_id = i.invoice_id JOIN v_policy AS p ON p.invoice_id = i.invoice_id JOIN v_resolved AS r ON r.invoice_id = i.invoice_id LEFT JOIN v_remit AS t ON t.invoice_id = i.invoice_id
-    LEFT JOIN v_held_duplicates AS d ON d.me_id = i.invoice_id LEFT JOIN v_po AS o ON o.po = i.po_ref JOIN v_match AS m ON m.invoice_id = i.invoice_id""",
+    LEFT JOIN v_held_duplicates AS d ON d.me_id = i.invoice_id JOIN v_match AS m ON m.invoice_id = i.invoice_id""",
 )
 job("wf_route", "SELECT invoice_id, gate, CASE gate WHEN 'input' THEN 'needs_human_extraction' WHEN 'output' THEN 'needs_human_extraction' WHEN 'confidence' THEN 'needs_human_extraction' WHEN 'validation' THEN 'needs_human_extraction' WHEN 'vendor' THEN 'new_vendor' WHEN 'remit' THEN 'new_vendor' WHEN 'duplicate' THEN 'on_hold_duplicate' WHEN 'non_po' THEN 'non_po' WHEN 'match' THEN 'pending_human' ELSE 'pending_approval' END AS halt_state FROM v_routes")
 job(

@@ -1,7 +1,12 @@
-"""Three-way match: invoice lines, order lines and receipts, as joins and grouped sums."""
+"""Three-way match: invoice lines, order lines and receipts, as joins and grouped sums.
+
+Spark works the match out in one pass (``threeway.py``); the views here are the same rules
+written rule by rule, which the parts have as queries and the other engine runs as a whole.
+"""
 
 from payguard.functions.text import norm
-from payguard.plans.catalog import job, view
+from payguard.operators import threeway
+from payguard.plans.catalog import job, native, view
 
 # A key that names more than one order line identifies nothing, in its tier.
 view(
@@ -12,19 +17,22 @@ view("v_ref_keys", "SELECT po, ref_key, min(line_no) AS line_no FROM v_keys WHER
 view("v_desc_keys", "SELECT po, desc_key, min(line_no) AS line_no FROM v_keys WHERE desc_key IS NOT NULL GROUP BY po, desc_key HAVING count(*) = 1")
 view(
     "v_pairs",
-    f"""SELECT l.invoice_id, l.po, l.line_idx, l.qty, l.price, l.extended, l.tax_pct, coalesce(r.line_no, d.line_no) AS line_no,
+    f"""SELECT l.invoice_id, i.po_ref AS po, l.line_idx, l.qty, l.price, l.extended, l.tax_pct, coalesce(r.line_no, d.line_no) AS line_no,
     CASE WHEN r.line_no IS NOT NULL THEN 'ref' WHEN d.line_no IS NOT NULL THEN 'description' END AS basis
-    FROM v_inl AS l LEFT JOIN v_ref_keys AS r ON r.po = l.po AND r.ref_key = nullif(lower(trim(l.po_line_ref)), '')
-    LEFT JOIN v_desc_keys AS d ON d.po = l.po AND d.desc_key = nullif({norm("l.description")}, '')""",
+    FROM v_inl AS l JOIN v_inv AS i ON i.invoice_id = l.invoice_id LEFT JOIN v_ref_keys AS r ON r.po = i.po_ref AND r.ref_key = nullif(lower(trim(l.po_line_ref)), '')
+    LEFT JOIN v_desc_keys AS d ON d.po = i.po_ref AND d.desc_key = nullif({norm("l.description")}, '')""",
 )
 job("mt_pair_lines", "SELECT invoice_id, line_idx, line_no, basis FROM v_pairs")
 job("mt_unmatched", "SELECT p.invoice_id, p.line_idx, p.extended FROM v_pairs AS p LEFT ANTI JOIN v_keys AS k ON k.po = p.po AND k.line_no = p.line_no".replace("LEFT ANTI JOIN", "ANTI JOIN"))
 job(
     "mt_unbilled",
-    """SELECT i.invoice_id, k.line_no FROM (SELECT DISTINCT invoice_id, po FROM v_inl) AS i JOIN v_pol AS k ON k.po = i.po
+    """SELECT i.invoice_id, k.line_no FROM (SELECT invoice_id, po_ref AS po FROM v_inv) AS i JOIN v_pol AS k ON k.po = i.po
     ANTI JOIN (SELECT invoice_id, line_no FROM v_pairs WHERE line_no IS NOT NULL) AS p ON p.invoice_id = i.invoice_id AND p.line_no = k.line_no""",
 )
-job("mt_vendor_identity", "SELECT i.invoice_id, p.po, i.true_vendor = p.vendor AS same_vendor, CASE WHEN i.true_vendor <> p.vendor THEN 'po_vendor_mismatch' END AS reason FROM v_inv AS i JOIN v_po AS p ON p.po = i.po_ref")
+job(
+    "mt_vendor_identity",
+    """SELECT i.invoice_id, p.po, r.vendor = p.vendor AS same_vendor, CASE WHEN r.vendor <> p.vendor THEN 'po_vendor_mismatch' END AS reason FROM v_inv AS i JOIN v_po AS p ON p.po = i.po_ref JOIN v_resolved AS r ON r.invoice_id = i.invoice_id""",
+)
 job(
     "mt_po_selection",
     """SELECT i.invoice_id, p.po, CASE WHEN i.po_ref IS NULL THEN 'non_po' WHEN p.po IS NULL THEN 'po_not_found' ELSE 'match' END AS route FROM v_inv AS i LEFT JOIN v_po AS p ON p.po = i.po_ref""",
@@ -57,22 +65,23 @@ view(
 job("mt_unmatched_charges", "SELECT invoice_id, unmatched, greatest, po_total, over FROM v_charges")
 view(
     "v_header",
-    """SELECT i.invoice_id, i.subtotal - s.lines AS subtotal_delta, i.tax_total * 100 - s.tax_hundredths AS tax_delta_hundredths, i.total - i.subtotal - i.tax_total AS total_delta,
-    abs(i.subtotal - s.lines) > c.rounding_abs AS subtotal_off, abs(i.tax_total * 100 - s.tax_hundredths) > c.tax_abs * 100 AS tax_off, abs(i.total - i.subtotal - i.tax_total) > c.rounding_abs AS total_off
-    FROM v_inv AS i JOIN (SELECT invoice_id, CAST(sum(extended) AS BIGINT) AS lines, CAST(sum(extended * tax_pct) AS BIGINT) AS tax_hundredths FROM v_inl GROUP BY invoice_id) AS s ON s.invoice_id = i.invoice_id CROSS JOIN v_now AS c""",
+    """SELECT i.invoice_id, i.subtotal - coalesce(s.lines, 0) AS subtotal_delta, i.tax_total * 100 - coalesce(s.tax_hundredths, 0) AS tax_delta_hundredths, i.total - i.subtotal - i.tax_total AS total_delta,
+    abs(i.subtotal - coalesce(s.lines, 0)) > c.rounding_abs AS subtotal_off, abs(i.tax_total * 100 - coalesce(s.tax_hundredths, 0)) > c.tax_abs * 100 AS tax_off, abs(i.total - i.subtotal - i.tax_total) > c.rounding_abs AS total_off
+    FROM v_inv AS i LEFT JOIN (SELECT invoice_id, CAST(sum(extended) AS BIGINT) AS lines, CAST(sum(extended * tax_pct) AS BIGINT) AS tax_hundredths FROM v_inl GROUP BY invoice_id) AS s ON s.invoice_id = i.invoice_id CROSS JOIN v_now AS c""",
 )
 job("mt_header", "SELECT * FROM v_header")
-# Currency and status end a match before any tolerance; header differences are still reported.
+# Identity, currency and status end a match before any tolerance; after the last two, header differences are still reported.
 view(
     "v_eligible",
-    """SELECT i.invoice_id, i.source_po AS po, i.total, CASE WHEN i.currency <> p.currency THEN 'currency_mismatch' WHEN p.status NOT IN ('open', 'partially_received') THEN 'po_closed' END AS stop
-    FROM v_inv AS i JOIN v_po AS p ON p.po = i.source_po""",
+    """SELECT i.invoice_id, p.po, i.total, CASE WHEN i.po_ref IS NULL THEN 'non_po' WHEN p.po IS NULL THEN 'po_not_found' WHEN r.vendor <> p.vendor THEN 'po_vendor_mismatch'
+      WHEN i.currency <> p.currency THEN 'currency_mismatch' WHEN p.status NOT IN ('open', 'partially_received') THEN 'po_closed' END AS stop
+    FROM v_inv AS i LEFT JOIN v_po AS p ON p.po = i.po_ref JOIN v_resolved AS r ON r.invoice_id = i.invoice_id""",
 )
 view(
     "v_codes",
-    """SELECT invoice_id, CAST(0 AS BIGINT) AS phase, CAST(0 AS BIGINT) AS first_idx, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS line_idx, stop AS code FROM v_eligible WHERE stop IS NOT NULL
+    """SELECT invoice_id, CAST(0 AS BIGINT) AS phase, CAST(0 AS BIGINT) AS first_idx, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS line_idx, stop AS code FROM v_eligible WHERE stop <> 'non_po'
     UNION ALL SELECT q.invoice_id, 1, q.first_idx, 0, 0, 'receipt_missing' FROM v_qty AS q JOIN v_eligible AS e ON e.invoice_id = q.invoice_id WHERE e.stop IS NULL AND q.receipt_missing
-    UNION ALL SELECT q.invoice_id, 1, q.first_idx, 1, 0, 'quantity_over_tolerance' FROM v_qty AS q JOIN v_eligible AS e ON e.invoice_id = q.invoice_id WHERE e.stop IS NULL AND q.over AND NOT q.receipt_missing
+    UNION ALL SELECT q.invoice_id, 1, q.first_idx, 1, 0, 'quantity_over_tolerance' FROM v_qty AS q JOIN v_eligible AS e ON e.invoice_id = q.invoice_id WHERE e.stop IS NULL AND q.over
     UNION ALL SELECT p.invoice_id, 1, q.first_idx, 2, p.line_idx * 2, 'price_over_tolerance' FROM v_price AS p JOIN v_eligible AS e ON e.invoice_id = p.invoice_id JOIN v_qty AS q ON q.invoice_id = p.invoice_id AND q.line_no = p.line_no WHERE e.stop IS NULL AND p.over
     UNION ALL SELECT p.invoice_id, 1, q.first_idx, 2, p.line_idx * 2 + 1, 'arithmetic_inconsistent' FROM v_price AS p JOIN v_eligible AS e ON e.invoice_id = p.invoice_id JOIN v_qty AS q ON q.invoice_id = p.invoice_id AND q.line_no = p.line_no WHERE e.stop IS NULL AND NOT p.extension_holds
     UNION ALL SELECT c.invoice_id, 2, 0, 0, 0, 'line_not_on_po' FROM v_charges AS c JOIN v_eligible AS e ON e.invoice_id = c.invoice_id WHERE e.stop IS NULL AND c.over
@@ -84,9 +93,12 @@ view("v_ordered_codes", "SELECT invoice_id, code, min(phase * 1000000000000 + fi
 view("v_reasons", "SELECT invoice_id, @list[code; ord] AS reasons, CAST(count(*) AS BIGINT) AS n_reasons FROM v_ordered_codes GROUP BY invoice_id")
 view(
     "v_match",
-    """SELECT e.invoice_id, e.po, r.reasons IS NULL AS matched, coalesce(r.reasons, '') AS reasons, h.subtotal_delta, h.tax_delta_hundredths, h.total_delta, c.config_version
-    FROM v_eligible AS e LEFT JOIN v_reasons AS r ON r.invoice_id = e.invoice_id JOIN v_header AS h ON h.invoice_id = e.invoice_id CROSS JOIN v_now AS c""",
+    """SELECT e.invoice_id, e.po, CASE WHEN e.stop IN ('non_po', 'po_not_found') THEN e.stop ELSE 'match' END AS route, CASE WHEN coalesce(e.stop, '') <> 'non_po' THEN r.reasons IS NULL END AS matched, coalesce(r.reasons, '') AS reasons,
+    CASE WHEN e.told THEN h.subtotal_delta END AS subtotal_delta, CASE WHEN e.told THEN h.tax_delta_hundredths END AS tax_delta_hundredths, CASE WHEN e.told THEN h.total_delta END AS total_delta, c.config_version
+    FROM (SELECT *, coalesce(stop, '') IN ('', 'currency_mismatch', 'po_closed') AS told FROM v_eligible) AS e LEFT JOIN v_reasons AS r ON r.invoice_id = e.invoice_id JOIN v_header AS h ON h.invoice_id = e.invoice_id CROSS JOIN v_now AS c""",
 )
+native("v_match", threeway.v_match, "v_inv", "v_resolved", "v_inl", "v_po", "v_pol", "v_rec", "v_now")
+native("v_ordered_codes", threeway.v_ordered_codes, "v_match")
 job("mt_three_way_match", "SELECT * FROM v_match")
 view(
     "v_match_lines",

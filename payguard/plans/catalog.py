@@ -18,6 +18,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 VIEWS: dict[str, str] = {}
 JOBS: dict[str, str] = {}
+#: Views that Spark works out with a function of DataFrames, by the views they read; their SQL is for the other engine.
+NATIVE: dict[str, tuple[Callable[[Callable[[str], DataFrame]], DataFrame], tuple[str, ...]]] = {}
 
 SPELLINGS: dict[str, tuple[str, str]] = {
     "sha": ("sha2({0}, 256)", "sha256({0})"),
@@ -65,14 +67,23 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
+def native(name: str, make: Callable[[Callable[[str], DataFrame]], DataFrame], *reads: str) -> None:
+    NATIVE[name] = (make, reads)
+
+
 def job(name: str, sql: str) -> None:
     JOBS[name] = sql
 
 
-def _needs(sql: str, seen: dict[str, None]) -> dict[str, None]:
+def _behind(name: str, engine: int) -> str:
+    """What a view reads, in words."""
+    return " ".join(NATIVE[name][1]) if engine == 0 and name in NATIVE else VIEWS[name]
+
+
+def _needs(sql: str, seen: dict[str, None], engine: int = 0) -> dict[str, None]:
     for name in re.findall(r"\bv_\w+", sql):
         if name not in seen and name in VIEWS:
-            _needs(VIEWS[name], seen)
+            _needs(_behind(name, engine), seen, engine)
             seen[name] = None
     return seen
 
@@ -80,7 +91,7 @@ def _needs(sql: str, seen: dict[str, None]) -> dict[str, None]:
 def text(name: str, engine: int) -> str:
     """The job with all views before it."""
     sql = JOBS[name] if name in JOBS else f"SELECT * FROM {name}"
-    parts = [f"{v} AS ({VIEWS[v]})" for v in _needs(sql, {})]
+    parts = [f"{v} AS ({VIEWS[v]})" for v in _needs(sql, {}, 1)]
     return _spelled((f"WITH {', '.join(parts)} " if parts else "") + sql, engine)
 
 
@@ -89,23 +100,29 @@ def _uses(sql: str, counts: dict[str, int]) -> dict[str, int]:
     for name in re.findall(r"\bv_\w+", sql):
         if name in VIEWS:
             counts[name] = counts.get(name, 0) + 1
-            _uses(VIEWS[name], counts)
+            _uses(_behind(name, 0), counts)
     return counts
 
 
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster shares; where none is set a local run takes one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return where or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(where)
+    return where
 
 
-#: Views that are costly and used in many places: where a job mentions one this often, all told, it is written once.
-SHARED, OFTEN = ("v_line", "v_rec", "v_honest", "v_inl", "v_inv", "v_pairs", "v_qty", "v_price", "v_entries", "v_ev"), 3
+#: Views that are costly and used in many places: where a job mentions one twice, all told, it is written once.
+SHARED, OFTEN = ("v_pol", "v_po", "v_rec", "v_honest", "v_inl", "v_inv", "v_pairs", "v_qty", "v_price", "v_resolved", "v_entries", "v_ev", "v_match"), 2
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A job or view as a DataFrame over the tables of a folder.
 
-    Views that many parts of the job use are written as Parquet in the shared folder, in
+    Views that several parts of the job use are written as Parquet in the shared folder, in
     order, and read from there; all others are common table expressions of one plan.
     """
     sql = JOBS[name] if name in JOBS else f"SELECT * FROM {name}"
@@ -118,13 +135,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(_spelled((f"WITH {', '.join(parts)} " if parts else "") + text, 0))
 
     for v in _needs(sql, {}):
-        again = v in SHARED and counts[v] >= OFTEN
-        if again and v in _reach(sql, done):
-            path = f"{_shared_dir(spark)}/{v}-{uuid.uuid4().hex}"
-            df = ready(VIEWS[v])
-            df.write.parquet(path)
+        often = v in SHARED and counts[v] >= OFTEN
+        if (often or v in NATIVE) and v in _reach(sql, done):
+            df = NATIVE[v][0](lambda x: ready(f"SELECT * FROM {x}")) if v in NATIVE else ready(VIEWS[v])
+            if often:
+                path = f"{shared_dir(spark)}/{v}-{uuid.uuid4().hex}"
+                df.write.parquet(path)
+                df = spark.read.schema(df.schema).parquet(path)
             done[v] = f"shared_{v}_{uuid.uuid4().hex[:8]}"
-            spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(done[v])
+            df.createOrReplaceTempView(done[v])
     return ready(sql)
 
 
@@ -134,7 +153,7 @@ def _reach(sql: str, done: dict[str, str], seen: dict[str, None] | None = None)
     for name in re.findall(r"\bv_\w+", sql):
         if name in VIEWS and name not in seen:
             if name not in done:
-                _reach(VIEWS[name], done, seen)
+                _reach(_behind(name, 0), done, seen)
             seen[name] = None
     return seen
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payguard.plans.catalog import frame, text
+from payguard.plans.catalog import frame, shared_dir, text
 
 #: An order as an ERP sends it; numbers stay text until they are cast, never floats.
 ORDER = "DocNumber string, VendorRef string, Currency string, POStatus string, Line array<struct<DetailType:string, LineNum:string, Description:string, ItemRef:string, Qty:string, UnitPrice:string, Amount:string>>"
@@ -55,8 +54,7 @@ def src_po_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{where}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def src_readings_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from payguard.operators.lifecycle import edges
-from payguard.plans.catalog import text
+from payguard.plans.catalog import shared_dir, text
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -84,8 +83,7 @@ def lifecycle(events: DataFrame) -> DataFrame:
 
 def drain(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Runs a streaming job over the events table to its end; the rows of its Parquet sink."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{where}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     # microsecond files read as plain timestamps
     out = job(source.withColumn("ts", F.col("ts").cast(T.TimestampType())))
