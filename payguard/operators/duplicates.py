@@ -1,43 +1,108 @@
-"""The full duplicate rules: exact number, near number by similarity, same amount."""
+"""The full duplicate rules: exact number, near number by similarity, same amount.
+
+Each rule is a join on equal keys of its own: vendor and number; vendor, currency, amount and
+a bucket of dates; vendor, currency and buckets of dates and of the amount's logarithm. So a
+busy vendor's invoices never all meet each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payguard.functions.text import ratio_bound, similarity
-from payguard.plans.catalog import frame
+from payguard.plans.catalog import frame, native
 
+ENTRY = ("invoice_id", "vendor", "number_norm", "amount", "currency", "invoice_date", "arrival_seq")
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Pairs that pass all cheap tests of the near-number rule, with their similarity."""
-    least = F.col("number_similarity_pct") / 100
-    near = pairs.filter("a_number <> b_number and same_currency and near_amount and days <= date_window_days")
-    near = near.filter(ratio_bound(F.col("b_number"), F.col("a_number")) >= least)
-    # the earlier entry's number goes first: the ratio is not symmetric
-    return near.withColumn("similarity", similarity(F.col("b_number"), F.col("a_number")))
 
+def _sides(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    known = entries.filter("vendor is not null").select(*ENTRY)
+    return known.select(*[F.col(c).alias(f"me_{c}") for c in ENTRY]), known.select(*[F.col(c).alias(f"other_{c}") for c in ENTRY])
 
-def fn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _near(frame(spark, sf_dir, "v_duplicate_pairs"))
-    return near.select("me_id", "other_id", "a_number", "b_number", F.round("similarity", 4).alias("similarity"))
 
+def _meet(entries: DataFrame, equal: tuple[str, ...], **buckets: Callable[[str], Column]) -> DataFrame:
+    """Pairs of a later and an earlier arrival that are equal in some columns and at most one bucket apart in others."""
+    me, other = _sides(entries)
+    for name, bucket in buckets.items():
+        near = F.array(*[bucket("me") + d for d in (-1, 0, 1)])
+        me, other = me.withColumn(f"me_{name}", F.explode(near)), other.withColumn(f"other_{name}", bucket("other"))
+    on = [F.col(f"me_{c}") == F.col(f"other_{c}") for c in ("vendor", *equal, *buckets)]
+    met = me.join(other, on).filter("other_arrival_seq < me_arrival_seq and other_invoice_id <> me_invoice_id")
+    return met.withColumn("days", F.abs(F.datediff("me_invoice_date", "other_invoice_date")).cast("long"))
 
-def dd_find_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an invoice that some earlier arrival holds: the rule, the other, how many were compared.
+
+def _dates(days: int) -> Callable[[str], Column]:
+    return lambda side: F.floor(F.datediff(F.col(f"{side}_invoice_date"), F.lit("1990-01-01")) / days)
+
+
+def near_numbers(entries: DataFrame, number_similarity_pct: int, amount_tolerance_permille: int, date_window_days: int) -> DataFrame:
+    """Pairs of close amount and date and of one currency whose numbers are alike, with their similarity.
+
+    The entry's own number goes first: the ratio is not symmetric.
+    """
+    band = -math.log(1 - amount_tolerance_permille / 1000) * 1.001  # amounts that are close are in neighbouring bands
+    bands = lambda side: F.floor(F.log(F.greatest(F.abs(f"{side}_amount"), F.lit(1))) / band)
+    met = _meet(entries, ("currency",), day=_dates(date_window_days + 1), band=bands)
+    close = F.abs(F.col("me_amount") - F.col("other_amount")) * 1000 <= F.greatest(F.abs("me_amount"), F.abs("other_amount")) * amount_tolerance_permille
+    least = number_similarity_pct / 100
+    met = met.filter(close & (F.col("days") <= date_window_days) & (F.col("me_number_norm") != F.col("other_number_norm")))
+    met = met.filter(ratio_bound(F.col("me_number_norm"), F.col("other_number_norm")) >= least)
+    return met.withColumn("similarity", similarity(F.col("me_number_norm"), F.col("other_number_norm"))).filter(F.col("similarity") >= least)
+
+
+def hits(entries: DataFrame, rules: dict[str, int]) -> DataFrame:
+    """me_id, other_id, rule, prec, days, both numbers: every earlier arrival that trips a rule, by its first rule."""
+    exact = _meet(entries, ("number_norm",))
+    near = near_numbers(entries, rules["number_similarity_pct"], rules["amount_tolerance_permille"], rules["date_window_days"])
+    amount = _meet(entries, ("currency", "amount"), day=_dates(rules["same_amount_days"] + 1))
+    amount = amount.filter((F.col("days") <= rules["same_amount_days"]) & (F.col("me_number_norm") != F.col("other_number_norm")))
+    out = []
+    for prec, (rule, met) in enumerate((("exact_number", exact), ("near_number", near), ("same_amount", amount))):
+        named = [F.col("me_invoice_id").alias("me_id"), F.col("other_invoice_id").alias("other_id"), F.lit(rule).alias("rule"), F.lit(prec).alias("prec"), "days"]
+        out.append(met.select(*named, F.col("me_number_norm").alias("a_number"), F.col("other_number_norm").alias("b_number")))
+    return out[0].union(out[1]).union(out[2])
+
+
+def strongest(entries: DataFrame, rules: dict[str, int]) -> DataFrame:
+    """me_id, other_id, rule, days, similarity of entries that some earlier arrival holds.
 
     Of several, the first rule wins, then the fewest days, then the least id.
     """
-    pairs = frame(spark, sf_dir, "v_duplicate_pairs")
-    least = F.col("number_similarity_pct") / 100
-    exact = pairs.filter("a_number = b_number").select("me_id", "other_id", "days", F.lit(0).alias("prec"), F.lit("exact_number").alias("rule"), F.lit(1.0).alias("similarity"))
-    near = _near(pairs).filter(F.col("similarity") >= least).select("me_id", "other_id", "days", F.lit(1).alias("prec"), F.lit("near_number").alias("rule"), "similarity")
-    amount = pairs.filter("a_number <> b_number and same_currency and same_amount and days <= same_amount_days")
-    amount = amount.select("me_id", "other_id", "days", F.lit(2).alias("prec"), F.lit("same_amount").alias("rule"), F.lit(None).cast("double").alias("similarity"))
-    hits = exact.union(near).union(amount)
-    best = hits.groupBy("me_id").agg(F.min(F.struct("prec", "days", "other_id", "rule", "similarity")).alias("b"))
-    compared = pairs.groupBy("me_id").agg(F.count(F.lit(1)).alias("candidates_compared"))
-    return best.join(compared, "me_id").select("me_id", "b.other_id", "b.rule", "b.days", F.round("b.similarity", 4).alias("similarity"), "candidates_compared")
+    found = hits(entries, rules).groupBy("me_id").agg(F.min(F.struct("prec", "days", "other_id", "rule", "a_number", "b_number")).alias("b"))
+    alike = F.round(similarity(F.col("b.a_number"), F.col("b.b_number")), 4)
+    return found.select("me_id", "b.other_id", "b.rule", "b.days", alike.alias("similarity"))
+
+
+def _rules(config: DataFrame) -> dict[str, int]:
+    """The one row of the configuration that holds."""
+    return config.select("number_similarity_pct", "amount_tolerance_permille", "date_window_days", "same_amount_days").first().asDict()
+
+
+def v_held_duplicates(view: Callable[[str], DataFrame]) -> DataFrame:
+    return hits(view("v_entries"), _rules(view("v_now"))).select("me_id").distinct()
+
+
+native("v_held_duplicates", v_held_duplicates, "v_entries", "v_now")
+
+
+def fn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = _rules(frame(spark, sf_dir, "v_now"))
+    near = near_numbers(frame(spark, sf_dir, "v_entries"), rules["number_similarity_pct"], rules["amount_tolerance_permille"], rules["date_window_days"])
+    return near.select(F.col("me_invoice_id").alias("me_id"), F.col("other_invoice_id").alias("other_id"), F.col("me_number_norm").alias("a_number"), F.col("other_number_norm").alias("b_number"), F.round("similarity", 4).alias("similarity"))
+
+
+def dd_find_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an entry: the rule that holds it and the earlier arrival (null: none), how many were compared."""
+    entries = frame(spark, sf_dir, "v_entries")
+    best = strongest(entries, _rules(frame(spark, sf_dir, "v_now")))
+    compared = frame(spark, sf_dir, "v_candidates").groupBy("me_id").agg(F.count(F.lit(1)).alias("candidates_compared"))
+    ids = entries.select(F.col("invoice_id").alias("me_id"))
+    out = ids.join(best, "me_id", "left").join(compared, "me_id", "left")
+    return out.withColumn("candidates_compared", F.coalesce("candidates_compared", F.lit(0)))
 
 
 QUERIES = {"fn_similarity": fn_similarity, "dd_find_duplicates": dd_find_duplicates}

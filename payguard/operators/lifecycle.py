@@ -104,25 +104,30 @@ view(
       SELECT *, (rejects > 0 OR approvals >= needed) AND row_number() OVER (PARTITION BY approval, rejects > 0 OR approvals >= needed ORDER BY ts, event_id) = 1 AS done, sum(CASE WHEN rejects > 0 OR approvals >= needed THEN 1 ELSE 0 END) OVER (PARTITION BY approval ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM v_counted) AS x WHERE coalesce(over, 0) = 0 GROUP BY approval""",
 )
 job("ap_quorum", "SELECT approval, status, approvals, needed FROM v_quorum")
-job("ap_first_invoice", "SELECT invoice_id, vendor, count(*) OVER (PARTITION BY vendor) - 1 AS others, count(*) OVER (PARTITION BY vendor) = 1 AS first_invoice FROM v_entries")
+job("ap_first_invoice", "SELECT e.invoice_id, e.vendor, coalesce(n.n - 1, 0) AS others, coalesce(n.n = 1, false) AS first_invoice FROM v_entries AS e LEFT JOIN (SELECT vendor, count(*) AS n FROM v_entries WHERE vendor IS NOT NULL GROUP BY vendor) AS n ON n.vendor = e.vendor")
 view(
     "v_conditions",
-    """SELECT i.invoice_id, i.total, i.currency, i.source_po, r.vendor IS NULL AS new_vendor, r.vendor IS NOT NULL AND count(*) OVER (PARTITION BY i.true_vendor) = 1 AS first_invoice, coalesce(NOT t.remit_matches, false) AS mismatch, coalesce(NOT m.matched, true) AS held
-    FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id LEFT JOIN v_remit AS t ON t.invoice_id = i.invoice_id LEFT JOIN v_match AS m ON m.invoice_id = i.invoice_id""",
-)
+    """SELECT i.invoice_id, i.total, i.currency, i.source_po, r.vendor IS NULL AS new_vendor, coalesce(n.n = 1, false) AS first_invoice, coalesce(NOT t.remit_matches, false) AS mismatch, coalesce(NOT m.matched, true) AS held
+    FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id LEFT JOIN (SELECT vendor, count(*) AS n FROM v_resolved WHERE vendor IS NOT NULL GROUP BY vendor) AS n ON n.vendor = r.vendor LEFT JOIN v_remit AS t ON t.invoice_id = i.invoice_id LEFT JOIN v_match AS m ON m.invoice_id = i.invoice_id""",
+)
+# Tiers and rules are rows: a tier reaches from the ceiling below it to its own; the rules of a version are one row of columns.
+view("v_tier_bands", "SELECT t.*, lag(ceiling) OVER (PARTITION BY config_version ORDER BY tier) AS above FROM v_tiers AS t")
+RULES = ("new_vendor", "first_invoice_from_vendor", "remit_to_mismatch", "match_exception")
+view("v_rule_row", f"SELECT r.config_version, {', '.join(f"max(CASE WHEN rule = '{x}' THEN approvers END) AS n_{x}, max(CASE WHEN rule = '{x}' AND callback THEN 1 ELSE 0 END) AS c_{x}" for x in RULES)} FROM v_rules AS r JOIN v_now AS n ON n.config_version = r.config_version GROUP BY r.config_version")
+view("v_fired", f"""SELECT *, {', '.join(f"CASE WHEN {cond} THEN '{x}' END AS f_{x}" for x, cond in zip(RULES, ("new_vendor", "first_invoice", "mismatch", "held")))} FROM v_conditions""")
 view(
     "v_required",
-    """SELECT c.invoice_id, c.total, c.currency, t.tier, t.role, t.ceiling, c.currency <> 'USD' AS other_currency, t.approvers AS tier_approvers, c.new_vendor, c.first_invoice, c.mismatch, c.held,
-    greatest(t.approvers, CASE WHEN c.new_vendor OR c.first_invoice OR c.mismatch THEN 2 ELSE 0 END, CASE WHEN c.held THEN 1 ELSE 0 END) AS required,
-    concat_ws('|', CASE WHEN c.new_vendor THEN 'new_vendor' END, CASE WHEN c.first_invoice THEN 'first_invoice_from_vendor' END, CASE WHEN c.mismatch THEN 'remit_to_mismatch' END, CASE WHEN c.held THEN 'match_exception' END) AS rules
-    FROM v_conditions AS c JOIN v_tiers AS t ON t.tier = CASE WHEN c.currency <> 'USD' THEN 3 WHEN c.total <= 100000 THEN 1 WHEN c.total <= 1000000 THEN 2 ELSE 3 END""",
+    f"""SELECT c.invoice_id, c.total, c.currency, t.tier, t.role, t.ceiling, c.currency <> 'USD' AS other_currency, greatest(t.approvers, {', '.join(f"CASE WHEN c.f_{x} IS NOT NULL THEN r.n_{x} ELSE 0 END" for x in RULES)}) AS required,
+    {' + '.join(f"CASE WHEN c.f_{x} IS NOT NULL THEN r.c_{x} ELSE 0 END" for x in RULES)} > 0 AS callback, concat_ws('|', {', '.join(f"c.f_{x}" for x in RULES)}) AS rules
+    FROM v_fired AS c CROSS JOIN v_now AS n JOIN v_rule_row AS r ON r.config_version = n.config_version JOIN v_tier_bands AS t ON t.config_version = n.config_version
+      AND CASE WHEN c.currency <> 'USD' THEN t.ceiling IS NULL ELSE (t.above IS NULL OR c.total > t.above) AND (t.ceiling IS NULL OR c.total <= t.ceiling) END""",
 )
 job(
     "ap_requirement",
-    """SELECT invoice_id, role, CAST(required AS BIGINT) AS required, rules, mismatch AS callback, false AS auto_approve, 'amount=' || CAST(total AS STRING) || ' ' || currency || ', tier' || CASE WHEN other_currency THEN '=top' WHEN ceiling IS NULL THEN '<= unbounded' ELSE '<= ' || CAST(ceiling AS STRING) END || ', role=' || role || ', required=' || CAST(required AS STRING) || ', rules=' || coalesce(nullif(rules, ''), 'none') AS basis FROM v_required""",
+    """SELECT invoice_id, role, CAST(required AS BIGINT) AS required, rules, callback, false AS auto_approve, 'amount=' || CAST(total AS STRING) || ' ' || currency || ', tier' || CASE WHEN other_currency THEN '=top' WHEN ceiling IS NULL THEN '<= unbounded' ELSE '<= ' || CAST(ceiling AS STRING) END || ', role=' || role || ', required=' || CAST(required AS STRING) || ', rules=' || coalesce(nullif(rules, ''), 'none') || ', hold_for_callback=' || CASE WHEN callback THEN 'yes' ELSE 'no' END AS basis FROM v_required""",
 )
 # A waiting request whose snapshot is old is matched again; a code it did not have cancels it.
-view("v_waiting", "SELECT i.invoice_id, i.source_po AS po, i.po_ref, i.source_po * 5 % 100 AS hours, CASE WHEN i.source_po % 3 = 0 THEN '' ELSE 'receipt_missing|totals_over_tolerance' END AS had FROM v_inv AS i WHERE i.source_po % 4 = 0")
+view("v_waiting", "SELECT i.invoice_id, i.source_po AS po, i.po_ref, i.source_po * 5 % 100 AS hours, CASE WHEN i.source_po % 3 = 0 THEN '' ELSE 'receipt_missing|totals_over_tolerance' END AS had FROM v_inv AS i")
 job(
     "ap_refresh",
     """SELECT w.invoice_id, CASE WHEN w.po_ref IS NULL OR w.hours < c.refresh_hours THEN 'fresh' WHEN n.added IS NOT NULL THEN 'cancelled' ELSE 'refreshed' END AS outcome, CASE WHEN w.po_ref IS NOT NULL AND w.hours >= c.refresh_hours THEN coalesce(n.added, '') ELSE '' END AS added FROM v_waiting AS w CROSS JOIN v_now AS c
@@ -143,9 +148,14 @@ job(
     "po_post_preconditions",
     """SELECT x.invoice_id, CASE WHEN x.state <> 'approved' THEN 'not_approved' WHEN x.vendor IS NULL OR x.vendor <> x.true_vendor THEN 'vendor' WHEN x.approved_amount <> x.total THEN 'amount' WHEN x.holders > 1 THEN 'key_held' ELSE 'post' END AS outcome FROM (
       SELECT i.invoice_id, i.true_vendor, i.total, r.vendor, CASE WHEN i.source_po % 5 = 0 THEN 'pending_approval' ELSE 'approved' END AS state, i.total + CASE WHEN i.source_po % 21 = 0 THEN 1 ELSE 0 END AS approved_amount, k.holders FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id
-      JOIN v_entries AS e ON e.invoice_id = i.invoice_id JOIN (SELECT vendor, number_norm, count(*) AS holders FROM v_entries GROUP BY vendor, number_norm) AS k ON k.vendor = e.vendor AND k.number_norm = e.number_norm) AS x""",
+      JOIN v_entries AS e ON e.invoice_id = i.invoice_id LEFT JOIN (SELECT vendor, number_norm, count(*) AS holders FROM v_entries GROUP BY vendor, number_norm) AS k ON k.vendor = e.vendor AND k.number_norm = e.number_norm) AS x""",
+)
+# A number is claimed by what has got as far as the duplicate check: its vendor is resolved, and no gate before has sent it back.
+job(
+    "wf_number_claims",
+    """SELECT e.vendor, e.number_norm, count(*) AS claims, min(e.invoice_id) AS first_id FROM v_entries AS e LEFT JOIN v_routes AS r ON r.invoice_id = e.invoice_id
+    WHERE e.vendor IS NOT NULL AND coalesce(r.gate, 'duplicate') NOT IN ('input', 'output', 'confidence', 'validation', 'vendor', 'remit') GROUP BY e.vendor, e.number_norm HAVING count(*) > 1""",
 )
-job("wf_number_claims", "SELECT vendor, number_norm, count(*) AS claims, min(invoice_id) AS first_id FROM v_entries WHERE invoice_id % 7 <> 0 GROUP BY vendor, number_norm HAVING count(*) > 1")
 job(
     "wf_resolver",
     """SELECT o.invoice_id, min_by(o.code, r.nth) AS lead_reason, min_by(r.resolver, r.nth) AS resolver FROM v_ordered_codes AS o JOIN v_resolvers AS r ON r.code = o.code GROUP BY o.invoice_id""",

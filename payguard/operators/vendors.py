@@ -11,7 +11,8 @@ view(
     UNION ALL SELECT a.invoice_id, 2, m.vendor, CAST(count(*) OVER (PARTITION BY a.invoice_id) AS BIGINT), row_number() OVER (PARTITION BY a.invoice_id ORDER BY m.vendor) FROM v_asked AS a JOIN v_norm_vendor AS m ON m.name_norm = a.name_norm""",
 )
 view("v_hits", "SELECT invoice_id, tier, max(hits) AS hits, min(vendor) AS vendor, @list[CASE WHEN nth <= 5 THEN CAST(vendor AS STRING) END; nth] AS candidates FROM v_tier_hits GROUP BY invoice_id, tier")
-view("v_ibans", "SELECT invoice_id, @get[upper(@sub[remit_to; '\\s'; '']); '[A-Z]{2}[0-9]{15}'; 0] AS iban FROM v_asked WHERE remit_to IS NOT NULL")
+# Fixed value: an account number as printed, in fours or run together. Every one on the page counts, so that a second one can't hide behind the first.
+view("v_ibans", r"SELECT invoice_id, @all[upper(remit_to); '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b'] AS ibans FROM v_asked WHERE remit_to IS NOT NULL")
 view(
     "v_resolved",
     """SELECT a.invoice_id, CASE WHEN h.hits = 1 THEN h.vendor END AS vendor, CASE WHEN h.hits = 1 AND h.tier = 1 THEN 'tax_id_exact' WHEN h.hits = 1 THEN 'name_exact' ELSE 'unresolved' END AS basis, coalesce(h.candidates, '') AS candidates
@@ -20,7 +21,7 @@ view(
 # Three values: no comparison is not a mismatch.
 view(
     "v_remit",
-    """SELECT r.invoice_id, CASE WHEN i.iban = '' THEN CAST(NULL AS BOOLEAN) ELSE @sha[i.iban] = m.remit_sha256 END AS remit_matches
+    r"""SELECT r.invoice_id, CASE WHEN m.remit_sha256 IS NOT NULL AND @n[i.ibans] > 0 THEN @every[i.ibans; @sha[@sub[x; '\s'; '']] = m.remit_sha256] END AS remit_matches
     FROM v_resolved AS r JOIN v_vm AS m ON m.vendor = r.vendor LEFT JOIN v_ibans AS i ON i.invoice_id = r.invoice_id""",
 )
 job("vn_resolve", "SELECT r.*, t.remit_matches FROM v_resolved AS r LEFT JOIN v_remit AS t ON t.invoice_id = r.invoice_id")

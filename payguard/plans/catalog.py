@@ -32,6 +32,8 @@ SPELLINGS: dict[str, tuple[str, str]] = {
     "n": ("CAST(size({0}) AS BIGINT)", "CAST(len({0}) AS BIGINT)"),
     "div": ("({0} div {1})", "CAST(({0} // {1}) AS BIGINT)"),
     "json": ("get_json_object({0}, '$.{1}')", "json_extract_string({0}, '$.{1}')"),
+    "every": ("forall({0}, x -> {1})", "list_bool_and(list_transform({0}, lambda x: {1}))"),
+    "each": ("explode(split({0}, '[|]'))", "unnest(string_split({0}, '|'))"),
     "hours": ("CAST(timestampdiff(HOUR, {1}, {0}) AS BIGINT)", "datesub('hour', {1}, {0})"),
     "day": ("CAST(try_to_date({0}, '{1}') AS DATE)", "CAST(try_strptime({0}, '{2}') AS DATE)"),
     "glue": ("regexp_replace({0}, r'([0-9])[, ]([0-9])', '$1$2')", "regexp_replace({0}, '([0-9])[, ]([0-9])', '\\1\\2', 'g')"),

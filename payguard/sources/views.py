@@ -97,18 +97,18 @@ view(
     i.tax + CASE WHEN i.po % 47 = 0 THEN 250 ELSE 0 END AS tax_total, i.subtotal + i.tax + CASE WHEN i.po % 37 = 0 THEN 150 ELSE 0 END AS total,
     CASE WHEN i.po % 30 = 7 THEN CAST(NULL AS BIGINT) WHEN i.po % 53 = 0 THEN -i.po WHEN i.po % 59 = 0 THEN i.po - 1 ELSE i.po END AS po_ref,
     CASE WHEN i.variant = 8 THEN m.display_name || ' Trading' ELSE lower(m.display_name) END AS vendor_name, CASE WHEN i.variant = 8 THEN 'TX-0' || CAST(o.vendor AS STRING) WHEN i.po % 6 = 5 THEN CAST(NULL AS STRING) ELSE lower(m.tax_id) || ' ' END AS vendor_tax_id,
-    CASE WHEN i.po % 5 = 4 THEN CAST(NULL AS STRING) WHEN i.po % 5 = 3 THEN 'pay by cheque' ELSE 'Bank of X, IBAN de89 ' || CAST(1000000000000 + o.vendor + CASE WHEN i.variant = 9 THEN 1 ELSE 0 END AS STRING) END AS remit_to,
+    CASE WHEN i.po % 5 = 4 THEN CAST(NULL AS STRING) WHEN i.po % 5 = 3 THEN 'pay by cheque' ELSE 'Bank of X, IBAN de89 ' || CAST(1000000000000 + o.vendor + CASE WHEN i.variant = 9 THEN 1 ELSE 0 END AS STRING) || CASE WHEN i.po % 45 = 1 THEN ' or gb29 nwbk 6016 1331 9268 19' ELSE '' END END AS remit_to,
     i.po AS arrival_seq, i.nothing FROM (
       SELECT b.po * 10 + b.variant AS invoice_id, b.po, b.variant, CAST(sum(b.extended) AS BIGINT) AS subtotal, @div[CAST(sum(b.extended * b.tax_pct) AS BIGINT); 100] AS tax, max(b.nothing) AS nothing
       FROM v_bill AS b WHERE b.variant = b.po % 10 GROUP BY b.po, b.variant) AS i
     JOIN v_po AS o ON o.po = i.po JOIN v_vm AS m ON m.vendor = o.vendor JOIN v_variants AS v ON v.variant = i.variant""",
 )
-#: The duplicate index: every invoice, and later copies of some under the same or a nearby number.
+#: The duplicate index: every invoice under its resolved vendor (null: none), and later copies of some under the same or a nearby number.
 view(
     "v_entries",
     """SELECT *, upper(@sub[invoice_number; '[^0-9A-Za-z]'; '']) AS number_norm FROM (
-      SELECT invoice_id, true_vendor AS vendor, invoice_number, total AS amount, invoice_date, currency, arrival_seq FROM v_inv
-      UNION ALL SELECT invoice_id + 5000000000, true_vendor, CASE WHEN source_po % 50 = 0 THEN invoice_number || '-A' WHEN source_po % 75 = 0 THEN 'R' || CAST(source_po AS STRING) ELSE lower(invoice_number) || ' ' END, total + CASE WHEN source_po % 100 = 0 THEN @div[total; 400] ELSE 0 END,
-        invoice_date + 2, currency, arrival_seq + 1000000000 FROM v_inv WHERE source_po % 25 = 0) AS e""",
+      SELECT i.invoice_id, r.vendor, invoice_number, total AS amount, invoice_date, currency, arrival_seq FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id
+      UNION ALL SELECT i.invoice_id + 5000000000, r.vendor, CASE WHEN source_po % 50 = 0 THEN invoice_number || '-A' WHEN source_po % 75 = 0 THEN 'R' || CAST(source_po AS STRING) ELSE lower(invoice_number) || ' ' END, total + CASE WHEN source_po % 100 = 0 THEN @div[total; 400] ELSE 0 END,
+        invoice_date + 2, currency, arrival_seq + 1000000000 FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id WHERE source_po % 25 = 0) AS e""",
 )
 view("v_norm_vendor", f"SELECT vendor, display_name, {norm('display_name')} AS name_norm, nullif(lower(@sub[tax_id; '[^0-9A-Za-z]'; '']), '') AS tax_norm FROM v_vm")
