@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole, written
+from .common import discard, written
 from .components import components
 
 WORDS, BANDS, ROWS, SEED = 5, 40, 5, 42
@@ -79,13 +79,16 @@ def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, na, b, nb) -> those of similarity 0.8 or more: 9 x common >= 4 x (na + nb)."""
+    """(a, na, b, nb) -> (a, b), written: those of similarity 0.8 or more, 9 x common >= 4 x (na + nb)."""
     fit = pairs.filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "na", "b", "nb").distinct()
     fit = written(fit, "pairs")
     nodes = written(fit.select(F.col("a").alias("u")).union(fit.select("b")).distinct(), "nodes")
     sets = written(texts.join(nodes, "u", "left_semi").select("u", shingle_sets("text").alias("s")), "sets")
     both = fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+    found = written(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+    for used in (fit, nodes, sets):
+        discard(used)
+    return found
 
 
 def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -93,10 +96,13 @@ def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     roots = written(components(found), "roots")
     rows = rows.join(roots, F.col("u") == F.col("node"), "left").select("k", "u", "n", F.coalesce("root", "u").alias("c"))
     rows = written(rows, "rooted")
+    discard(roots)
     sizes = rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("u", "n")).alias("least"))
     main = sizes.groupBy("k").agg(F.max(F.struct("m", "c", "least")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     main = written(main.select("k", F.col("x.c").alias("main"), F.col("x.least.u").alias("a"), F.col("x.least.n").alias("na")), "mixed")
-    return written(rows.join(main, "k"), "mixed_rows")
+    mixed = written(rows.join(main, "k"), "mixed_rows")
+    discard(rows)
+    return mixed
 
 
 def links(buckets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
@@ -104,11 +110,16 @@ def links(buckets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known`` are confirmed links; they are among the result.
     """
-    rows = _rooted(buckets, known)
+    shared = written(buckets.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "heads")
+    several = written(buckets.join(shared, "k"), "bucketed")
+    rows = _rooted(several, known)
+    discard(several)
     star = rows.filter("c <> main").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
-    first = known.union(written(confirmed(star, texts), "links"))
+    first = known.union(confirmed(star, texts))
     mixed = _rooted(rows.select("k", "u", "n"), first).drop("a", "na")
+    discard(rows)
     out = mixed.filter("c <> main").select("k", F.col("u").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     met = mixed.join(out, "k").filter((F.col("c") != F.col("ca")) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("u"))))
     later = confirmed(met.select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb")), texts)
-    return first.union(written(later, "links"))
+    discard(mixed)
+    return first.union(later)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from .common import whole, written
+from .common import discard, whole, written
 from .components import components
 
 #: (first bit from the left, size) of each block; the orders of blocks that the tries have.
@@ -88,8 +88,10 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
         d = F.col("d") + F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")).bitwiseAND(fresh))
         ordered = (F.col("a") != F.col("b")) | (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("na") > 1))
         met = pairs.join(left, ["r", "a"]).join(right, ["r", "b"]).filter(ordered & (d <= budget))
-        pairs = written(met.select("r", F.col("ca").alias("a"), F.col("cb").alias("b"), d.cast("int").alias("d")), "trie")
-        depth = deeper
+        deep = written(met.select("r", F.col("ca").alias("a"), F.col("cb").alias("b"), d.cast("int").alias("d")), "trie")
+        if depth > ROOT_BITS:
+            discard(pairs)
+        depth, pairs = deeper, deep
     own = lambda c: F.get(F.array(*[_reordered(F.col(c), order, back=True) for order in ORDERS]), F.col("r"))
     return pairs.filter("d > 0").select(own("a").alias("a"), own("b").alias("b"))
 
@@ -118,20 +120,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stays empty.
     """
     key = F.xxhash64(F.col("doc_id"), whole("text"))
-    seen = written(docs.select("doc_id", key.alias("k"), jaccard.sketches(whole("text")).alias("s")), "sketches")
+    sketched = written(docs.select("doc_id", key.alias("k"), jaccard.sketches(whole("text")).alias("s")).select("doc_id", "k", "s.*"), "sketches")
+    seen = written(sketched.select("doc_id", "k", "u"), "seen")
     # equal sets are one text, that of its least row
-    sets = seen.groupBy(F.col("s.u").alias("u")).agg(F.min(F.struct("k", *[F.col(f"s.{c}").alias(c) for c in ("n", "f", "keys")])).alias("m"))
-    sets = written(sets.select("u", "m.*"), "distinct")
+    sets = written(sketched.groupBy("u").agg(F.min(F.struct("k", "n", "f", "keys")).alias("m")).select("u", "m.*"), "distinct")
+    discard(sketched)
     texts = docs.select(key.alias("k"), whole("text").alias("text")).join(sets.select("k", "u"), "k")
-    texts = written(texts.dropDuplicates(["u"]).select("u", "text"), "texts")
+    texts = written(texts.dropDuplicates(["u"]).select("u", "text"), "texts", compression="zstd")
     heads = written(sets.groupBy("f").agg(F.min(F.struct("u", "n")).alias("m")).select("f", "m.u", "m.n"), "heads")
     alike = sets.join(heads.toDF("f", "a", "na"), "f").filter("a <> u").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
     near = links(heads.select("f")).distinct()
     near = near.join(heads.toDF("a", "ua", "na"), "a").join(heads.toDF("b", "ub", "nb"), "b").select(F.col("ua").alias("a"), "na", F.col("ub").alias("b"), "nb")
-    close = written(jaccard.confirmed(alike.union(near), texts), "close")
+    close = jaccard.confirmed(alike.union(near), texts)
     buckets = sets.select(F.explode("keys").alias("k"), "u", "n")
     found = written(components(jaccard.links(buckets, texts, close)), "found")
-    roots = seen.join(found, F.col("s.u") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "s.u").alias("root"))
+    for used in (sets, texts, heads):
+        discard(used)
+    roots = seen.join(found, F.col("u") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "u").alias("root"))
     first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k")).alias("m"))
     keep = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.k").alias("keep_k"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), key.alias("k"))
