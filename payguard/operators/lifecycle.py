@@ -80,7 +80,8 @@ job(
     """SELECT invoice_id, count(*) AS lines, max(CASE WHEN prev_hash <> want THEN 1 ELSE 0 END) = 0 AS intact, min(CASE WHEN prev_hash <> want THEN seq - 1 END) AS first_break FROM (SELECT *, coalesce(@sha[lag(line) OVER (PARTITION BY invoice_id ORDER BY seq)], repeat('0', 64)) AS want FROM v_chain) AS x GROUP BY invoice_id""",
 )
 #: Dollars per million tokens, as micro-dollars a token.
-view("v_prices", "SELECT * FROM (VALUES ('large', 2, 10), ('small', 1, 5)) AS t(model, in_rate, out_rate)")
+PRICES = {"large": (2, 10), "small": (1, 5)}
+view("v_prices", _values([(m, *rates) for m, rates in PRICES.items()], "model, in_rate, out_rate"))
 view(
     "v_calls",
     """SELECT event_id, ts, invoice_id, seq, CASE event_id % 5 WHEN 0 THEN 'large' WHEN 1 THEN 'small' WHEN 2 THEN 'unlisted' END AS model, CAST(@json[props; k] AS BIGINT) * 100 + 1 AS in_tokens, CASE WHEN event_id % 13 <> 0 THEN CAST(@json[props; k] AS BIGINT) * 7 END AS out_tokens FROM v_steps""",

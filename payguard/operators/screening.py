@@ -71,10 +71,10 @@ view(
 )
 view(
     "v_verdicts",
-    f"""SELECT p.invoice_id, p.raw, p.received_on, m.country, coalesce(p.named, p.day_first) AS c1, CASE WHEN p.named IS NULL AND p.month_first IS NOT NULL AND p.day_first IS NOT NULL AND p.month_first <> p.day_first THEN p.month_first WHEN p.named IS NULL AND p.day_first IS NULL THEN p.month_first END AS c2,
-    m.country IN ({quoted(DAY_FIRST)}) AS is_day_first, m.country IN ({quoted(MONTH_FIRST)}) AS is_month_first FROM v_parsed AS p JOIN v_vm AS m ON m.vendor = p.true_vendor""",
+    f"""SELECT p.invoice_id, p.raw, p.received_on, m.country, coalesce(p.named, p.day_first) AS c1, CASE WHEN p.named IS NULL AND p.month_first IS NOT NULL AND p.day_first IS NOT NULL AND p.month_first <> p.day_first THEN p.month_first WHEN p.named IS NULL AND p.day_first IS NULL THEN p.month_first END AS c2, p.named, p.day_first, p.month_first,
+    m.country IN ({quoted(DAY_FIRST)}) AS is_day_first, m.country IN ({quoted(MONTH_FIRST)}) AS is_month_first FROM v_parsed AS p JOIN v_resolved AS r ON r.invoice_id = p.invoice_id LEFT JOIN v_vm AS m ON m.vendor = r.vendor""",
 )
-view("v_dates", "SELECT invoice_id, raw, received_on, country, is_day_first, is_month_first, c1, c2, c1 IS NOT NULL AND c2 IS NOT NULL AS ambiguous FROM v_verdicts")
+view("v_dates", "SELECT invoice_id, raw, received_on, country, is_day_first, is_month_first, named, day_first, month_first, c1, c2, c1 IS NOT NULL AND c2 IS NOT NULL AS ambiguous FROM v_verdicts")
 job("fn_parse_raw_date", "SELECT invoice_id, raw, named, day_first, month_first FROM v_parsed")
 job(
     "dt_assess",
@@ -168,27 +168,61 @@ job(
       WHEN @like[s; '^-?[0-9]{1,3}( [0-9]{3})+([.,][0-9]+)?$'] THEN replace(replace(s, ' ', ''), ',', '.') WHEN @like[s; '^-?[0-9]+([.,][0-9]+)?$'] THEN replace(s, ',', '.') END AS DOUBLE) AS value, @like[s; '^-?[1-9][0-9]{0,2}[.,][0-9]{3}$'] AS ambiguous
     FROM (SELECT invoice_id, printed, trim(@sub[printed; '[^0-9., -]'; '']) AS s FROM v_printed) AS x""",
 )
-view("v_page_text", f"SELECT i.invoice_id, i.vendor_name || ' ' || i.invoice_number || ' total ' || p.printed || ' ' || d.raw AS page, p.printed, {norm('i.vendor_name')} AS name_norm FROM v_inv AS i JOIN v_printed AS p ON p.invoice_id = i.invoice_id JOIN v_raw_dates AS d ON d.invoice_id = i.invoice_id")
+# What the page of an invoice has in its text layer; a field may be missing there, and a scan has none.
+def decimal(x: str, grouped: bool = False) -> str:
+    i, cents = f"@div[{x}; 100]", f"lpad(CAST({x} % 100 AS STRING), 2, '0')"
+    whole = f"CASE WHEN {i} >= 1000 THEN CAST(@div[{i}; 1000] AS STRING) || ',' || lpad(CAST({i} % 1000 AS STRING), 3, '0') ELSE CAST({i} AS STRING) END" if grouped else f"CAST({i} AS STRING)"
+    return f"{whole} || '.' || {cents}"
+
+
+view(
+    "v_page_text",
+    f"""SELECT i.invoice_id, p.printed, {norm('i.vendor_name')} AS name_norm, CASE WHEN i.source_po % 40 = 3 THEN '' ELSE concat_ws(' ', CASE WHEN (i.source_po + 3) % 33 <> 0 THEN i.vendor_name END, CASE WHEN (i.source_po + 6) % 33 <> 0 THEN 'Invoice ' || i.invoice_number END,
+      CASE WHEN (i.source_po + 9) % 33 <> 0 THEN d.raw END, CASE WHEN (i.source_po + 12) % 33 <> 0 THEN 'Currency ' || i.currency END, 'Subtotal', CASE WHEN (i.source_po + 18) % 33 <> 0 THEN {decimal('i.subtotal', True)} END,
+      'Tax', CASE WHEN (i.source_po + 21) % 33 <> 0 THEN {decimal('i.tax_total')} END, 'Total', CASE WHEN (i.source_po + 15) % 33 <> 0 THEN {decimal('i.total', True)} END) END AS page
+    FROM v_inv AS i JOIN v_printed AS p ON p.invoice_id = i.invoice_id JOIN v_raw_dates AS d ON d.invoice_id = i.invoice_id""",
+)
+view("v_page_dates", "SELECT t.invoice_id, t.page, d.raw, d.named, d.day_first, d.month_first, d.is_day_first, d.is_month_first FROM v_page_text AS t JOIN v_dates AS d ON d.invoice_id = t.invoice_id")
 # Separators between digits go from both sides; twice, as neighbouring matches share a digit.
 def degrouped(x: str) -> str:
     return f"@glue[@glue[{x}]]"
 
 
 job("fn_grounded_number", f"SELECT t.invoice_id, position(CAST(@div[i.total; 100] AS STRING) IN {degrouped('t.page')}) > 0 AS total_grounded, position(t.name_norm IN {norm('t.page')}) > 0 AS name_grounded FROM v_page_text AS t JOIN v_inv AS i ON i.invoice_id = t.invoice_id")
-# Two readings of seven fields; five carry the decision.
+# Two readings of seven fields; five carry the decision. The second may be missing, wrong, or the same in other words.
 view(
     "v_readings",
-    """SELECT invoice_id, source_po, field, load_bearing, a, CASE WHEN source_po % 20 = 0 THEN CAST(NULL AS STRING) WHEN (source_po + ord) % 27 = 0 THEN a || '9' ELSE a END AS b, (source_po + ord * 3) % 33 <> 0 AS on_page, source_po % 12 = 0 AS blurred FROM (
-      SELECT invoice_id, source_po, 1 AS ord, 'vendor_name' AS field, true AS load_bearing, vendor_name AS a FROM v_inv UNION ALL SELECT invoice_id, source_po, 2, 'invoice_number', true, invoice_number FROM v_inv UNION ALL SELECT invoice_id, source_po, 3, 'invoice_date', true, CAST(invoice_date AS STRING) FROM v_inv
-      UNION ALL SELECT invoice_id, source_po, 4, 'currency', true, currency FROM v_inv UNION ALL SELECT invoice_id, source_po, 5, 'total', true, CAST(total AS STRING) FROM v_inv UNION ALL SELECT invoice_id, source_po, 6, 'subtotal', false, CAST(subtotal AS STRING) FROM v_inv UNION ALL SELECT invoice_id, source_po, 7, 'tax_total', false, CAST(tax_total AS STRING) FROM v_inv) AS f""",
+    f"""SELECT invoice_id, source_po, field, load_bearing, a, CASE WHEN source_po % 21 <> 0 THEN b END AS b, source_po % 21 <> 0 AS has_b, source_po % 12 = 0 AS blurred FROM (
+      SELECT invoice_id, source_po, 'vendor_name' AS field, true AS load_bearing, vendor_name AS a, CASE WHEN (source_po + 1) % 27 = 0 THEN 'Quite Another Firm' WHEN source_po % 4 = 1 THEN upper(vendor_name) || ' A.' ELSE vendor_name END AS b FROM v_inv
+      UNION ALL SELECT invoice_id, source_po, 'invoice_number', true, invoice_number, CASE WHEN (source_po + 2) % 27 = 0 THEN invoice_number || '9' ELSE invoice_number END FROM v_inv
+      UNION ALL SELECT invoice_id, source_po, 'invoice_date', true, CAST(invoice_date AS STRING), CAST(CASE WHEN (source_po + 3) % 27 = 0 THEN invoice_date + 1 WHEN source_po % 3 = 0 AND day(invoice_date) <= 12 THEN make_date(CAST(year(invoice_date) AS INT), CAST(day(invoice_date) AS INT), CAST(month(invoice_date) AS INT)) ELSE invoice_date END AS STRING) FROM v_inv
+      UNION ALL SELECT invoice_id, source_po, 'currency', true, currency, CASE WHEN (source_po + 4) % 27 = 0 THEN 'CHF' ELSE currency END FROM v_inv
+      UNION ALL SELECT invoice_id, source_po, 'total', true, {decimal('total')}, CASE WHEN (source_po + 5) % 27 = 0 THEN {decimal('(total + 100)')} WHEN source_po % 4 = 2 THEN {decimal('total', True)} ELSE {decimal('total')} END FROM v_inv
+      UNION ALL SELECT invoice_id, source_po, 'subtotal', false, {decimal('subtotal')}, CASE WHEN (source_po + 6) % 27 = 0 THEN {decimal('(subtotal + 1)')} ELSE {decimal('subtotal', True)} END FROM v_inv
+      UNION ALL SELECT invoice_id, source_po, 'tax_total', false, {decimal('tax_total')}, CASE WHEN (source_po + 7) % 27 = 0 THEN 'n/a' ELSE {decimal('tax_total')} END FROM v_inv) AS f""",
+)
+PLAIN = "trim(@sub[@sub[lower({0}); '[^a-z0-9 ]+'; ' ']; ' +'; ' '])"
+# The same rules for the other engine, which has no ratio of matching blocks: the planted names differ by insertions only, or wholly.
+view(
+    "v_judged",
+    f"""SELECT invoice_id, field, load_bearing, blurred, page, on_page AND page <> '' AS grounded, CASE WHEN has_b THEN CASE field WHEN 'invoice_date' THEN a = b OR (read_a AND read_b) WHEN 'vendor_name' THEN 10 * levenshtein(pa, pb) <= length(pa) + length(pb)
+        WHEN 'total' THEN replace(a, ',', '') = replace(b, ',', '') WHEN 'subtotal' THEN replace(a, ',', '') = replace(b, ',', '') WHEN 'tax_total' THEN a = b ELSE a = b END END AS agreed,
+      field = 'invoice_date' AND read_a AND named IS NULL AND coalesce(day_first <> month_first, false) AS two_ways, coalesce(is_day_first OR is_month_first, false) AS settled FROM (
+      SELECT *, CASE WHEN field = 'invoice_date' THEN read_a WHEN field IN ('total', 'subtotal', 'tax_total') THEN position(rtrim(rtrim(a, '0'), '.') IN replace(page, ',', '')) > 0 ELSE position(pa IN pp) > 0 END AS on_page FROM (
+        SELECT r.*, t.page, t.named, t.day_first, t.month_first, t.is_day_first, t.is_month_first, {PLAIN.format('r.a')} AS pa, {PLAIN.format("coalesce(r.b, '')")} AS pb, {PLAIN.format('t.page')} AS pp,
+          position(t.raw IN t.page) > 0 AND (coalesce(r.a = CAST(t.named AS STRING), false) OR coalesce(r.a = CAST(t.day_first AS STRING), false) OR coalesce(r.a = CAST(t.month_first AS STRING), false)) AS read_a,
+          position(t.raw IN t.page) > 0 AND (coalesce(r.b = CAST(t.named AS STRING), false) OR coalesce(r.b = CAST(t.day_first AS STRING), false) OR coalesce(r.b = CAST(t.month_first AS STRING), false)) AS read_b
+        FROM v_readings AS r JOIN v_page_dates AS t ON t.invoice_id = r.invoice_id) AS x) AS y""",
 )
 view(
     "v_confidence",
-    """SELECT r.invoice_id, r.field, r.load_bearing, r.a = r.b AS agreed, r.on_page AS grounded, d.ambiguous AND r.field = 'invoice_date' AS open_date, r.blurred,
-    CASE WHEN r.b IS NULL THEN CASE WHEN r.on_page THEN 600 ELSE 300 END WHEN r.a = r.b THEN CASE WHEN r.on_page THEN 1000 ELSE 500 END ELSE CASE WHEN r.on_page THEN 200 ELSE 100 END END AS raw_score,
-    CASE WHEN r.a <> r.b THEN 'readings_disagree' WHEN NOT r.on_page THEN 'not_in_text_layer' WHEN r.b IS NULL THEN 'single_read' ELSE 'agreed_and_grounded' END AS reason FROM v_readings AS r JOIN v_dates AS d ON d.invoice_id = r.invoice_id""",
+    """SELECT invoice_id, field, load_bearing, agreed, grounded, CAST(CASE WHEN blurred THEN @div[raw_score * 6; 10] ELSE raw_score END AS BIGINT) AS score_thousandths,
+      CASE WHEN note IS NULL THEN why WHEN why = 'agreed_and_grounded' THEN note ELSE why || ', ' || note END || CASE WHEN blurred THEN ', low_sharpness' ELSE '' END AS reason FROM (
+      SELECT *, least(CASE WHEN agreed IS NULL THEN CASE WHEN grounded THEN 600 ELSE 300 END WHEN agreed THEN CASE WHEN grounded THEN 1000 ELSE 500 END ELSE CASE WHEN grounded THEN 200 ELSE 100 END END, CASE WHEN NOT two_ways THEN 1000 WHEN settled THEN 900 ELSE 400 END) AS raw_score,
+        CASE WHEN NOT coalesce(agreed, true) THEN 'readings_disagree' WHEN NOT grounded THEN CASE WHEN page = '' THEN 'no_text_layer' ELSE 'not_in_text_layer' END WHEN agreed IS NULL THEN 'single_read' ELSE 'agreed_and_grounded' END AS why,
+        CASE WHEN two_ways THEN CASE WHEN settled THEN 'date_resolved_from_locale' ELSE 'ambiguous_date_unknown_locale' END END AS note FROM v_judged) AS z""",
 )
-job("cf_confidence", "SELECT invoice_id, field, load_bearing, agreed, grounded, @div[CASE WHEN open_date THEN least(raw_score, 400) ELSE raw_score END * CASE WHEN blurred THEN 6 ELSE 10 END; 10] AS score_thousandths, reason || CASE WHEN blurred THEN '_blurred' ELSE '' END AS reason FROM v_confidence")
+job("cf_confidence", "SELECT * FROM v_confidence")
 view("v_auto_ok", "SELECT invoice_id, bool_and(coalesce(agreed, false) AND grounded) AS auto_ok FROM v_confidence WHERE load_bearing GROUP BY invoice_id")
 job("cf_auto_ok", "SELECT invoice_id, auto_ok FROM v_auto_ok")
 job("rep_field_scores", "SELECT field, count(*) AS n, CAST(sum(CASE WHEN b = a THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN b IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unread FROM v_readings GROUP BY field")

@@ -118,7 +118,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Views that are costly and used in many places: where a job mentions one twice, all told, it is written once.
-SHARED, OFTEN = ("v_pol", "v_po", "v_rec", "v_honest", "v_inl", "v_inv", "v_pairs", "v_qty", "v_price", "v_resolved", "v_entries", "v_ev", "v_match"), 2
+SHARED, OFTEN = ("v_pol", "v_po", "v_rec", "v_honest", "v_inl", "v_inv", "v_pairs", "v_qty", "v_price", "v_resolved", "v_entries", "v_ev", "v_match", "v_confidence"), 2
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,9 +56,9 @@ view(
 view("v_rec", "SELECT po, line_no, CAST(sum(qty) AS BIGINT) AS received, max(received_on) AS received_on FROM v_grn GROUP BY po, line_no")
 view(
     "v_vm",
-    """SELECT s_suppkey AS vendor, CASE s_suppkey % 4 WHEN 0 THEN s_name || ' Pvt. Ltd.' WHEN 1 THEN upper(s_name) || ', Inc' WHEN 2 THEN s_name || ' GmbH' ELSE s_name END AS display_name,
+    """SELECT s_suppkey AS vendor, CASE s_suppkey % 4 WHEN 0 THEN name || ' Pvt. Ltd.' WHEN 1 THEN upper(name) || ', Inc' WHEN 2 THEN name || ' GmbH' ELSE name END AS display_name,
     'TX-' || CAST(s_suppkey - CASE WHEN s_suppkey % 40 = 1 THEN 1 ELSE 0 END AS STRING) AS tax_id, CASE s_nationkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' WHEN 2 THEN 'IN' ELSE 'SG' END AS country,
-    CASE WHEN s_suppkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN s_suppkey % 7 <> 0 THEN @sha['DE89' || CAST(1000000000000 + s_suppkey AS STRING)] END AS remit_sha256 FROM supplier""",
+    CASE WHEN s_suppkey % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN s_suppkey % 7 <> 0 THEN @sha['DE89' || CAST(1000000000000 + s_suppkey AS STRING)] END AS remit_sha256 FROM (SELECT *, 'Supplier ' || CAST(s_suppkey AS STRING) AS name FROM supplier) AS s""",
 )
 view(
     "v_variants",
@@ -95,7 +95,7 @@ view(
     CASE WHEN i.po % 61 = 0 THEN o.po_date ELSE o.po_date + 33 END AS due_date, o.po_date + CASE WHEN i.po % 67 = 0 THEN 500 ELSE 5 END AS received_on,
     CASE WHEN i.po % 34 = 0 THEN 'GBP' WHEN i.po % 71 = 0 THEN 'XYZ' ELSE o.currency END AS currency, i.subtotal + CASE WHEN i.po % 43 = 0 THEN 500 ELSE 0 END AS subtotal,
     i.tax + CASE WHEN i.po % 47 = 0 THEN 250 ELSE 0 END AS tax_total, i.subtotal + i.tax + CASE WHEN i.po % 37 = 0 THEN 150 ELSE 0 END AS total,
-    CASE WHEN i.po % 30 = 7 THEN CAST(NULL AS BIGINT) WHEN i.po % 53 = 0 THEN -i.po WHEN i.po % 59 = 0 THEN i.po - 1 ELSE i.po END AS po_ref,
+    CASE WHEN i.po % 30 = 13 THEN CAST(NULL AS BIGINT) WHEN i.po % 53 = 0 THEN -i.po WHEN i.po % 59 = 0 THEN i.po - 1 ELSE i.po END AS po_ref,
     CASE WHEN i.variant = 8 THEN m.display_name || ' Trading' ELSE lower(m.display_name) END AS vendor_name, CASE WHEN i.variant = 8 THEN 'TX-0' || CAST(o.vendor AS STRING) WHEN i.po % 6 = 5 THEN CAST(NULL AS STRING) ELSE lower(m.tax_id) || ' ' END AS vendor_tax_id,
     CASE WHEN i.po % 5 = 4 THEN CAST(NULL AS STRING) WHEN i.po % 5 = 3 THEN 'pay by cheque' ELSE 'Bank of X, IBAN de89 ' || CAST(1000000000000 + o.vendor + CASE WHEN i.variant = 9 THEN 1 ELSE 0 END AS STRING) || CASE WHEN i.po % 45 = 1 THEN ' or gb29 nwbk 6016 1331 9268 19' ELSE '' END END AS remit_to,
     i.po AS arrival_seq, i.nothing FROM (
@@ -108,7 +108,7 @@ view(
     "v_entries",
     """SELECT *, upper(@sub[invoice_number; '[^0-9A-Za-z]'; '']) AS number_norm FROM (
       SELECT i.invoice_id, r.vendor, invoice_number, total AS amount, invoice_date, currency, arrival_seq FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id
-      UNION ALL SELECT i.invoice_id + 5000000000, r.vendor, CASE WHEN source_po % 50 = 0 THEN invoice_number || '-A' WHEN source_po % 75 = 0 THEN 'R' || CAST(source_po AS STRING) ELSE lower(invoice_number) || ' ' END, total + CASE WHEN source_po % 100 = 0 THEN @div[total; 400] ELSE 0 END,
+      UNION ALL SELECT i.invoice_id + 5000000000, r.vendor, CASE WHEN source_po % 100 = 50 THEN invoice_number || '-A' WHEN source_po % 75 = 0 THEN 'R' || CAST(source_po AS STRING) ELSE lower(invoice_number) || ' ' END, total + CASE WHEN source_po % 100 = 50 THEN @div[total; 400] ELSE 0 END,
         invoice_date + 2, currency, arrival_seq + 1000000000 FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id WHERE source_po % 25 = 0) AS e""",
 )
 view("v_norm_vendor", f"SELECT vendor, display_name, {norm('display_name')} AS name_norm, nullif(lower(@sub[tax_id; '[^0-9A-Za-z]'; '']), '') AS tax_norm FROM v_vm")
