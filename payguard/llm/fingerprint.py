@@ -60,21 +60,42 @@ def printed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def _blocked(docs: DataFrame, per_block: int) -> DataFrame:
+    """Adds block (array of longs, in the order of known, doc_id, tie) of about ``per_block`` rows.
+
+    Blocks are equal widths of ids; one that has over four times its share is cut again, by its
+    own ids or, where it has one id only, by hashes of texts, until none is left that can be
+    cut. Even ids need no second cut. Only rows wholly alike stay together.
+    """
+    low, high, n = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.count(F.lit(1))).first()
+    width = max(1.0, ((high or 0.0) - (low or 0.0) + 1) * per_block / max(n, 1))
+    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(low or 0.0)) / width), F.lit(-1))
+    docs = docs.withColumn("block", F.array(block.cast("long")))
+    while True:
+        ends = [f("doc_id").alias(f"{c}_id") for f, c in ((F.min, "low"), (F.max, "high"))] + [f("tie").alias(f"{c}_tie") for f, c in ((F.min, "low"), (F.max, "high"))]
+        full = docs.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *ends)
+        full = full.filter((F.col("n") > 4 * per_block) & (F.coalesce(F.col("low_id") < F.col("high_id"), F.lit(False)) | (F.col("low_tie") < F.col("high_tie"))))
+        full = written(full, "full")
+        if full.isEmpty():
+            return docs
+        cut = lambda at: F.floor((F.col({"id": "doc_id", "tie": "tie"}[at]).cast("double") - F.col(f"low_{at}")) / F.greatest((F.col(f"high_{at}").cast("double") - F.col(f"low_{at}") + 1) * per_block / F.col("n"), F.lit(1.0)))
+        part = F.coalesce(F.when(F.col("low_id") < F.col("high_id"), cut("id")).otherwise(cut("tie")), F.lit(0)).cast("long")
+        both = docs.join(full.withColumnRenamed("block", "of"), F.col("block") == F.col("of"), "left")
+        docs = both.withColumn("block", F.concat("block", F.array(part))).select(*docs.columns)
+
+
 def with_next(docs: DataFrame, per_block: int = 4096) -> DataFrame:
     """(doc_id, text) -> doc_id, text, sketch, next_text, next_sketch by descending doc_id.
 
-    Rows are windowed in blocks of about ``per_block`` ids, null ids last. The head of each
+    Rows are windowed in blocks of about ``per_block`` rows, null ids last. The head of each
     block also closes the block above it (the top one closes the lowest), so one shuffle of
     the texts shows every row its next. Finding those heads moves ids only.
     """
     docs = docs.select("doc_id", whole("text").alias("text"), F.col("doc_id").isNotNull().alias("known"), F.xxhash64(whole("text")).alias("tie"))
-    low, high, n = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.count(F.lit(1))).first()
-    width = max(1.0, ((high or 0.0) - (low or 0.0) + 1) * per_block / max(n, 1))
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(low or 0.0)) / width), F.lit(-1))
-    docs = docs.withColumn("block", block.cast("long"))
+    docs = _blocked(docs, per_block)
     place = F.struct("known", "doc_id", "tie")
     heads = docs.groupBy("block").agg(F.max(place).alias("head"))
-    group = F.shiftright("block", 12)
+    group = F.shiftright(F.get("block", F.lit(0)), 12)
     above = F.lag("block").over(W.partitionBy(group).orderBy(F.desc("block")))
     groups = heads.groupBy(group.alias("g")).agg(F.min("block").alias("lowest"))
     by_group = W.orderBy(F.desc("g"))

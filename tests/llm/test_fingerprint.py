@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from payguard.llm import fingerprint
 from payguard.llm.queries import op6_document_fingerprints
@@ -44,3 +45,21 @@ def test_blocks_ties_nulls_and_empty(spark):
     assert fingerprint.compare(docs.limit(0)).count() == 0
     one = fingerprint.compare(docs.limit(1)).first()
     assert one.near_next == 1.0
+
+
+def test_uneven_ids_fall_in_even_blocks(spark):
+    """One id far off, many rows of one id, many without: the next document is right, and blocks stay small."""
+    rnd = random.Random(8)
+    ids = [*range(900), 10**15, *[77] * 300, *[None] * 200, *[10**12 + 3 * i for i in range(300)]]
+    rows = [(i, f"text {n} " + " ".join(rnd.choice("abcdef") for _ in range(9)), "x", 1) for n, i in enumerate(ids)] + [(5, "wholly alike", "x", 1)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string, tie int").repartition(3)
+    keyed = docs.select("doc_id", "text", F.col("doc_id").isNotNull().alias("known"), F.xxhash64("text").alias("tie"))
+    sizes = fingerprint._blocked(keyed, 20).groupBy("block").count().collect()
+    assert max(r["count"] for r in sizes) <= 80 and sum(r["count"] for r in sizes) == len(rows)
+    ties = {r.text: r.tie for r in keyed.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, ties[r[1]]), reverse=True)
+    want = sorted(((i, t), order[(n + 1) % len(order)][1]) for n, (i, t, *_) in enumerate(order) if i is not None)
+    got = fingerprint.with_next(docs, 20).collect()
+    assert len(got) == len(rows)
+    assert sorted(((r.doc_id, r.text), r.next_text) for r in got if r.doc_id is not None) == want
+    assert sorted(r.next_text for r in got) == sorted(r[1] for r in rows)
