@@ -28,14 +28,14 @@ def covered(docs: DataFrame) -> DataFrame:
     no occurrence of each other.
     """
     lines = docs.select(*_key(), F.split(whole("text"), "\n", -1).alias("l")).filter(F.size("l") >= LINES)
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size("l") - LINES), lambda i: F.xxhash64(*[F.get("l", i + j) for j in range(LINES)])
-    )
-    windows = written(lines.select("id", "k", F.posexplode(hashes).alias("p", "h")), "windows")
+    three = lambda i: [F.get("l", i + j) for j in range(LINES)]
+    # two hashes of 64 bits: one alone would clash in a large corpus, and a clash removes lines
+    hashes = F.transform(F.sequence(F.lit(0), F.size("l") - LINES), lambda i: F.struct(F.xxhash64(*three(i)).alias("h"), F.xxhash64(F.lit("other"), *three(i)).alias("g")))
+    windows = written(lines.select("id", "k", F.posexplode(hashes).alias("p", "w")).select("id", "k", "p", "w.h", "w.g"), "windows")
     at = F.struct("id", "k", "p")
-    firsts = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).filter("n > 1").select("h", "first")
+    firsts = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).filter("n > 1").select("h", "g", "first")
     firsts = written(firsts, "firsts")  # a plain table on the right, so that a hot window's rows can be split
-    later = windows.join(firsts, "h").filter(at > F.col("first")).select("id", "k", "p")
+    later = windows.join(firsts, ["h", "g"]).filter(at > F.col("first")).select("id", "k", "p")
     gone = F.flatten(F.collect_set(F.array(*[F.col("p") + j for j in range(LINES)])))
     return later.groupBy("id", "k").agg(F.array_sort(F.array_distinct(gone)).alias("gone"))
 
