@@ -10,29 +10,35 @@ from .common import table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint of three-word shingles and the least doc_id reachable over links of two bits."""
     found = simhash.classes(table(spark, sf_dir, "documents"))
     hex16 = F.lower(F.lpad(F.hex("f"), 16, "0"))
     return found.select("doc_id", hex16.alias("fingerprint"), "component_id")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base spans, their digest, and all spans with those of dear credential values."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the score of the chain fitted on labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its sketch, that of its edited text, and how alike they and the next document's are."""
     f = fingerprint.compare(table(spark, sf_dir, "documents"))
     return f.select(
         "doc_id",
@@ -46,19 +52,23 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its host, path, rule, verdict, and the template with the purity that the verdict rests on."""
     judged = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its statistics, the base verdict and the method's."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text, and how many lines it had and lost."""
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with how many bytes and stretches repeat elsewhere, and the digest of the rest."""
     return suffix.dedup_strings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 

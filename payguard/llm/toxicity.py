@@ -124,13 +124,17 @@ class Chain:
             theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.weights, self.moves = theta[:-4], theta[-4:].reshape(2, 2)
 
-    def calibrate(self, x: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> None:
-        """Logistic regression of document labels on what marginals add up to."""
-        b = self.calibration
+    def calibrate(self, x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, rounds: int = 400) -> None:
+        """Logistic regression of document labels on what marginals add up to.
+
+        A document weighs what its label was sampled at, inversely, so that a score means the
+        same whatever part of each label the sample holds.
+        """
+        b, weight = self.calibration, weight / weight.mean()
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-            w = p * (1 - p) + 1e-6
-            step = np.linalg.solve((x * w[:, None]).T @ x + 0.02 * len(x) / 100 * np.eye(3), x.T @ (toxic - p) - 0.02 * len(x) / 100 * b)
+            w = weight * p * (1 - p) + 1e-6
+            step = np.linalg.solve((x * w[:, None]).T @ x + 0.02 * len(x) / 100 * np.eye(3), x.T @ (weight * (toxic - p)) - 0.02 * len(x) / 100 * b)
             b = b + step
             if np.abs(step).max() < 1e-6:
                 break
@@ -169,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, broadcast_r
     """A chain fitted on rows of ``labels`` whose crc32(doc_id) mod 5 is not 0.
 
     Features are counted over all those rows; the fit takes about ``most_docs`` documents, half
-    of them toxic where there are as many, those whose hashed ids are low. Labels are broadcast
+    of them toxic where there are as many, those whose hashed ids are low, and scores are
+    calibrated to the shares that the labels have among all rows. Labels are broadcast
     only up to ``broadcast_rows`` rows; beyond, the join is a shuffle.
     """
     taught = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 != 0")
@@ -180,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, broadcast_r
     chain = Chain([f for f, _ in named])
     marks = {i for i, (_, odds) in enumerate(named) if odds > 2.0}
     kinds = {r.toxic: r.n for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = F.lit(0.0)
-    for kind, n in kinds.items():
-        part = F.when(F.col("toxic") == kind, min(1.0, most_docs / 2 / n)).otherwise(part)
+    shares, part = {kind: min(1.0, most_docs / 2 / n) for kind, n in kinds.items()}, F.lit(0.0)
+    for kind, share in shares.items():
+        part = F.when(F.col("toxic") == kind, share).otherwise(part)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
     sample = sample.select("doc_id", whole("text").alias("text"), "toxic")
     sample = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
@@ -197,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, broadcast_r
         return chain
     chain.fit(sparse, tags, lengths)
     p, _, _ = chain.marginals(chain.odds(sparse, len(tags)), lengths)
-    chain.calibrate(summed(p, counts), toxic)
+    chain.calibrate(summed(p, counts), toxic, np.array([1 / shares[r.toxic] for r in sample]))
     return chain
 
 

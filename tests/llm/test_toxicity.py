@@ -24,6 +24,29 @@ def test_marginals_equal_enumeration():
             at += n
 
 
+def test_scores_mean_the_same_whatever_the_sample():
+    """A sample with few of the clean rows is calibrated as the whole would be."""
+    rnd = np.random.default_rng(1)
+    x = np.stack([rnd.exponential(1.0, 20_000), rnd.random(20_000), np.ones(20_000)], 1)
+    toxic = (rnd.random(20_000) < 1 / (1 + np.exp(4 - 2 * x[:, 0]))).astype(float)
+    some = (toxic == 1) | (rnd.random(20_000) < 0.1)
+    whole, part = toxicity.Chain([]), toxicity.Chain([])
+    whole.calibrate(x, toxic, np.ones(len(x)))
+    part.calibrate(x[some], toxic[some], np.where(toxic[some] == 1, 1.0, 10.0))
+    assert np.abs(whole.calibration - part.calibration).max() < 0.35
+
+
+def test_long_repeated_and_clashing_rows(spark):
+    train = [(i, ("nice words here " * 9 + ("vile curse " if i % 3 == 0 else "")) + f"n{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(300)], "doc_id long, toxic int, quality int")
+    rows = [(1000, "fine " * 60_000 + "vile curse", 0.5), (1001, "fine " * 60_000, 0.5), (1002, "vile curse", None), (1002, "vile curse", None)]
+    docs = spark.createDataFrame([(i, t, 0.1) for i, t in train] + rows, "doc_id long, text string, score double")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == 304 and {r.predicted for r in got if r.doc_id in (1000, 1002)} == {1} and next(r for r in got if r.doc_id == 1001).predicted == 0
+    assert next(r for r in got if r.doc_id == 1000).spans == "300000:300004,300005:300010"
+    assert len({r.score for r in got if r.doc_id == 1002}) == 1
+
+
 def test_held_out_documents(spark):
     docs, labels = table(spark, DIR, "documents"), table(spark, DIR, "labels")
     odd = spark.createDataFrame([(None, None), (-1, ""), (-2, "idiot " * 3)], "doc_id long, text string")
