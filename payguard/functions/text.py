@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Endings that say how a company is incorporated.
-SUFFIXES = "ltd|limited|pvt|private|inc|incorporated|llc|llp|plc|corp|corporation|co|company|gmbh|bv|sa|sarl|ag|pty"
+SUFFIXES = "|".join(("ltd", "limited", "pvt", "private", "inc", "incorporated", "llc", "llp", "plc", "corp", "corporation", "co", "company", "gmbh", "bv", "sa", "sarl", "ag", "pty"))
 #: Countries that write the day first, and those that write the month first.
-DAY_FIRST = "IN GB AU NZ IE ZA EU FR DE ES IT NL BE PT SE DK FI NO PL AT CH GR CZ RO HU".split()
+DAY_FIRST = ("IN", "GB", "AU", "NZ", "IE", "ZA", "EU", "FR", "DE", "ES", "IT", "NL", "BE", "PT", "SE", "DK", "FI", "NO", "PL", "AT", "CH", "GR", "CZ", "RO", "HU")
 MONTH_FIRST = ["US"]
 #: Currencies that are priced.
-CURRENCIES = "USD EUR GBP INR CAD AUD CHF JPY SEK SGD MXN".split()
+CURRENCIES = ("USD", "EUR", "GBP", "INR", "CAD", "AUD", "CHF", "JPY", "SEK", "SGD", "MXN")
 
 
 def norm(x: str) -> str:

@@ -2,37 +2,98 @@
 
 from payguard.plans.catalog import job, view
 
-#: Every state change that exists, with the event that makes it.
-EDGES = """
-received ingest ingested | received input_flagged needs_human_extraction | ingested extract extracted | ingested extraction_failed needs_human_extraction | ingested output_flagged needs_human_extraction
-needs_human_extraction human_extraction_provided extracted | extracted validate validated | extracted validation_failed needs_human_extraction | validated resolve_vendor vendor_resolved | validated vendor_not_found new_vendor
-validated remit_to_mismatch new_vendor | new_vendor vendor_onboarded vendor_resolved | new_vendor reject rejected | vendor_resolved check_duplicates duplicate_checked | vendor_resolved duplicate_suspected on_hold_duplicate
-on_hold_duplicate not_duplicate duplicate_checked | on_hold_duplicate confirm_duplicate rejected | duplicate_checked match matched | duplicate_checked match_exception exception | duplicate_checked no_po_reference non_po
-exception classify pending_human | pending_human rematch duplicate_checked | pending_human accept_with_reason matched | pending_human reject rejected | matched code coded | non_po code coded | non_po reject rejected
-coded request_approval pending_approval | pending_approval approve approved | pending_approval request_changes exception | pending_approval match_changed exception | pending_approval reject rejected | approved post posted
-approved post_failed exception | posted schedule_payment scheduled | scheduled payment_confirmed paid | scheduled payment_failed posted | paid reconcile reconciled | reconciled close closed
-"""
-CANCELLABLE = "received ingested needs_human_extraction extracted validated vendor_resolved new_vendor duplicate_checked on_hold_duplicate matched pending_human non_po coded pending_approval".split()
+#: Every state change that exists: state, event, next state.
+EDGES = (
+    ("received", "ingest", "ingested"),
+    ("received", "input_flagged", "needs_human_extraction"),
+    ("ingested", "extract", "extracted"),
+    ("ingested", "extraction_failed", "needs_human_extraction"),
+    ("ingested", "output_flagged", "needs_human_extraction"),
+    ("needs_human_extraction", "human_extraction_provided", "extracted"),
+    ("extracted", "validate", "validated"),
+    ("extracted", "validation_failed", "needs_human_extraction"),
+    ("validated", "resolve_vendor", "vendor_resolved"),
+    ("validated", "vendor_not_found", "new_vendor"),
+    ("validated", "remit_to_mismatch", "new_vendor"),
+    ("new_vendor", "vendor_onboarded", "vendor_resolved"),
+    ("new_vendor", "reject", "rejected"),
+    ("vendor_resolved", "check_duplicates", "duplicate_checked"),
+    ("vendor_resolved", "duplicate_suspected", "on_hold_duplicate"),
+    ("on_hold_duplicate", "not_duplicate", "duplicate_checked"),
+    ("on_hold_duplicate", "confirm_duplicate", "rejected"),
+    ("duplicate_checked", "match", "matched"),
+    ("duplicate_checked", "match_exception", "exception"),
+    ("duplicate_checked", "no_po_reference", "non_po"),
+    ("exception", "classify", "pending_human"),
+    ("pending_human", "rematch", "duplicate_checked"),
+    ("pending_human", "accept_with_reason", "matched"),
+    ("pending_human", "reject", "rejected"),
+    ("matched", "code", "coded"),
+    ("non_po", "code", "coded"),
+    ("non_po", "reject", "rejected"),
+    ("coded", "request_approval", "pending_approval"),
+    ("pending_approval", "approve", "approved"),
+    ("pending_approval", "request_changes", "exception"),
+    ("pending_approval", "match_changed", "exception"),
+    ("pending_approval", "reject", "rejected"),
+    ("approved", "post", "posted"),
+    ("approved", "post_failed", "exception"),
+    ("posted", "schedule_payment", "scheduled"),
+    ("scheduled", "payment_confirmed", "paid"),
+    ("scheduled", "payment_failed", "posted"),
+    ("paid", "reconcile", "reconciled"),
+    ("reconciled", "close", "closed"),
+)
+#: States from which an invoice can be cancelled.
+CANCELLABLE = (
+    "received",
+    "ingested",
+    "needs_human_extraction",
+    "extracted",
+    "validated",
+    "vendor_resolved",
+    "new_vendor",
+    "duplicate_checked",
+    "on_hold_duplicate",
+    "matched",
+    "pending_human",
+    "non_po",
+    "coded",
+    "pending_approval",
+)
 #: Edges for steps that have no tool yet.
-STUBS = "non_po coded | matched coded | posted scheduled | scheduled paid | paid reconciled | reconciled closed"
-HUMAN_ONLY = "rematch accept_with_reason reject cancel approve confirm_duplicate not_duplicate".split()
-TERMINAL = "closed rejected cancelled".split()
+STUBS = (("non_po", "coded"), ("matched", "coded"), ("posted", "scheduled"), ("scheduled", "paid"), ("paid", "reconciled"), ("reconciled", "closed"))
+#: Events that only a person may raise; states that nothing follows.
+HUMAN_ONLY = ("rematch", "accept_with_reason", "reject", "cancel", "approve", "confirm_duplicate", "not_duplicate")
+TERMINAL = ("closed", "rejected", "cancelled")
 #: What a person may do in which waiting state, and what needs a reason.
-DOORS = {"pending_human": "rematch accept_with_reason reject cancel", "on_hold_duplicate": "confirm_duplicate not_duplicate cancel", "pending_approval": "approve reject cancel"}
-REASON_REQUIRED = "accept_with_reason not_duplicate approve".split()
+DOORS = {
+    "pending_human": ("rematch", "accept_with_reason", "reject", "cancel"),
+    "on_hold_duplicate": ("confirm_duplicate", "not_duplicate", "cancel"),
+    "pending_approval": ("approve", "reject", "cancel"),
+}
+REASON_REQUIRED = ("accept_with_reason", "not_duplicate", "approve")
 #: Who can resolve a reason, in the order in which one leads.
-RESOLVERS = """receipt_missing receiving | quantity_over_tolerance receiving | price_over_tolerance buyer | line_not_on_po buyer | po_closed buyer | totals_over_tolerance vendor | tax_mismatch vendor
-arithmetic_inconsistent vendor | currency_mismatch vendor | po_not_found ap_clerk | missing_po_reference ap_clerk | po_vendor_mismatch controller"""
+RESOLVERS = (
+    ("receipt_missing", "receiving"),
+    ("quantity_over_tolerance", "receiving"),
+    ("price_over_tolerance", "buyer"),
+    ("line_not_on_po", "buyer"),
+    ("po_closed", "buyer"),
+    ("totals_over_tolerance", "vendor"),
+    ("tax_mismatch", "vendor"),
+    ("arithmetic_inconsistent", "vendor"),
+    ("currency_mismatch", "vendor"),
+    ("po_not_found", "ap_clerk"),
+    ("missing_po_reference", "ap_clerk"),
+    ("po_vendor_mismatch", "controller"),
+)
 #: Forbidden tools and their prefixes.
-FORBIDDEN, FORBIDDEN_PREFIXES = "pay_bill update_vendor update_bank_details delete_invoice delete_vendor".split(), ("delete_", "pay_")
-
-
-def _split(text: str) -> list[list[str]]:
-    return [x.split() for x in text.replace("\n", "|").split("|") if x.strip()]
+FORBIDDEN, FORBIDDEN_PREFIXES = ("pay_bill", "update_vendor", "update_bank_details", "delete_invoice", "delete_vendor"), ("delete_", "pay_")
 
 
 def edges() -> list[tuple[str, str, str]]:
-    return [tuple(e) for e in _split(EDGES)] + [(s, "cancel", "cancelled") for s in CANCELLABLE] + [(a, "stub_ok", b) for a, b in _split(STUBS)]
+    return [*EDGES, *((s, "cancel", "cancelled") for s in CANCELLABLE), *((a, "stub_ok", b) for a, b in STUBS)]
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -40,13 +101,13 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"
 
 
-HAPPY = "ingest extract validate resolve_vendor check_duplicates match code request_approval approve post schedule_payment payment_confirmed reconcile close".split()
+HAPPY = ("ingest", "extract", "validate", "resolve_vendor", "check_duplicates", "match", "code", "request_approval", "approve", "post", "schedule_payment", "payment_confirmed", "reconcile", "close")
 quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
 view("v_edges", _values([(i, *e) for i, e in enumerate(edges())], "nth, from_state, event, to_state"))
 view("v_happy", _values([(i, x, next(j for j, e in enumerate(edges()) if e[1] == x and e[0] != "non_po")) for i, x in enumerate(HAPPY)], "nth, event, edge"))
-view("v_resolvers", _values([(i, *r) for i, r in enumerate(_split(RESOLVERS))], "nth, code, resolver"))
-view("v_doors", _values([(s, e) for s, es in DOORS.items() for e in es.split()], "state, event"))
+view("v_resolvers", _values([(i, *r) for i, r in enumerate(RESOLVERS)], "nth, code, resolver"))
+view("v_doors", _values([(s, e) for s, es in DOORS.items() for e in es], "state, event"))
 # The audit trail: one invoice a user, some by the book, others with arbitrary moves.
 view("v_steps", "SELECT event_id, ts, user_id AS invoice_id, event_type, value, props, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM events")
 view(
@@ -79,14 +140,15 @@ job(
     "au_chain_verify",
     """SELECT invoice_id, count(*) AS lines, max(CASE WHEN prev_hash <> want THEN 1 ELSE 0 END) = 0 AS intact, min(CASE WHEN prev_hash <> want THEN seq - 1 END) AS first_break FROM (SELECT *, coalesce(@sha[lag(line) OVER (PARTITION BY invoice_id ORDER BY seq)], repeat('0', 64)) AS want FROM v_chain) AS x GROUP BY invoice_id""",
 )
-#: Dollars per million tokens, as micro-dollars a token.
-PRICES = {"large": (2, 10), "small": (1, 5)}
+#: Cents per million tokens, in and out: hundredths of a micro-dollar a token. Costs are whole micro-dollars, halves to even.
+PRICES = {"large": (200, 1000), "small": (100, 500), "mini": (15, 75)}
 view("v_prices", _values([(m, *rates) for m, rates in PRICES.items()], "model, in_rate, out_rate"))
 view(
     "v_calls",
-    """SELECT event_id, ts, invoice_id, seq, CASE event_id % 5 WHEN 0 THEN 'large' WHEN 1 THEN 'small' WHEN 2 THEN 'unlisted' END AS model, CAST(@json[props; k] AS BIGINT) * 100 + 1 AS in_tokens, CASE WHEN event_id % 13 <> 0 THEN CAST(@json[props; k] AS BIGINT) * 7 END AS out_tokens FROM v_steps""",
+    """SELECT event_id, ts, invoice_id, seq, CASE event_id % 5 WHEN 0 THEN 'large' WHEN 1 THEN 'small' WHEN 2 THEN 'unlisted' WHEN 3 THEN 'mini' END AS model, CAST(@json[props; k] AS BIGINT) * 100 + 1 AS in_tokens, CASE WHEN event_id % 13 <> 0 THEN CAST(@json[props; k] AS BIGINT) * 7 END AS out_tokens FROM v_steps""",
 )
-view("v_costs", "SELECT c.*, c.in_tokens * p.in_rate + c.out_tokens * p.out_rate AS cost_micro FROM v_calls AS c LEFT JOIN v_prices AS p ON p.model = c.model")
+view("v_exact_costs", "SELECT c.*, c.in_tokens * p.in_rate + c.out_tokens * p.out_rate AS hundredths FROM v_calls AS c LEFT JOIN v_prices AS p ON p.model = c.model")
+view("v_costs", "SELECT event_id, ts, invoice_id, seq, model, @div[hundredths; 100] + CASE WHEN hundredths % 100 > 50 OR (hundredths % 100 = 50 AND @div[hundredths; 100] % 2 = 1) THEN 1 ELSE 0 END AS cost_micro FROM v_exact_costs")
 job("fn_model_cost", "SELECT event_id, model, cost_micro FROM v_costs WHERE model IS NOT NULL")
 job("au_event_cost", "SELECT invoice_id, @div[seq - 1; 10] AS run, model, count(*) AS calls, CAST(sum(cost_micro) AS BIGINT) AS cost_micro FROM v_costs WHERE model IS NOT NULL GROUP BY invoice_id, @div[seq - 1; 10], model")
 job("st_cost_window_batch", "SELECT @hour[ts] AS hour, count(*) AS calls, CAST(sum(cost_micro) AS BIGINT) AS cost_micro FROM v_costs GROUP BY @hour[ts]")

@@ -44,8 +44,9 @@ def cost_window(events: DataFrame, horizon: str = "2 hours") -> DataFrame:
     """Calls and their cost in micro-dollars by hour; calls of unlisted models or without counts cost nothing known."""
     k = F.get_json_object("props", "$.k").cast("long")
     model = F.col("event_id") % 5
-    rate = lambda i: F.when(model == 0, PRICES["large"][i]).when(model == 1, PRICES["small"][i])
-    cost = (k * 100 + 1) * rate(0) + F.when(F.col("event_id") % 13 != 0, k * 7) * rate(1)
+    rate = lambda i: F.when(model == 0, PRICES["large"][i]).when(model == 1, PRICES["small"][i]).when(model == 3, PRICES["mini"][i])
+    exact = (k * 100 + 1) * rate(0) + F.when(F.col("event_id") % 13 != 0, k * 7) * rate(1)
+    cost = F.bround(exact.cast("decimal(20,0)") / 100, 0).cast("long")
     by = events.withWatermark("ts", horizon).groupBy(F.window("ts", "1 hour"))
     return by.agg(F.count(F.lit(1)).alias("calls"), F.sum(cost).alias("cost_micro")).select(F.col("window.start").alias("hour"), "calls", "cost_micro")
 

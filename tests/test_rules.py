@@ -132,3 +132,11 @@ def test_streams_over_several_batches_equal_their_batch_twin(spark, sf, event_fi
     assert sorted(tuple(str(r[c]) for c in sorted(names)) for r in got.collect()) == want
     if name == "approval_quorum":
         assert {"approved", "rejected", "stale"} & {r.status for r in got.collect()}
+
+
+def test_costs_round_halves_to_even(spark):
+    values = ", ".join(f"({i}, 'mini', {tokens}, 0)" for i, tokens in enumerate((10, 30, 50, 70, 1, 7)))  # 1.5, 4.5, 7.5, 10.5, 0.15, 1.05
+    views = {"v_calls": f"SELECT event_id, CAST(NULL AS TIMESTAMP) AS ts, 1 AS invoice_id, 1 AS seq, model, CAST(i AS BIGINT) AS in_tokens, CAST(o AS BIGINT) AS out_tokens FROM (VALUES {values}) AS t(event_id, model, i, o)"}
+    views |= {k: VIEWS[k] for k in ("v_prices", "v_exact_costs", "v_costs")}
+    out = spark.sql(_spelled("WITH " + ", ".join(f"{k} AS ({v})" for k, v in views.items()) + " SELECT * FROM v_costs", 0)).collect()
+    assert [r.cost_micro for r in sorted(out, key=lambda r: r.event_id)] == [2, 4, 8, 10, 0, 1]
