@@ -26,7 +26,7 @@ CHI_MEDIAN = 3.3567
 FLOORS = {"x0": 0.25, "x1": 0.05, "x2": 0.4, "x3": 0.12}
 X = tuple(FLOORS)
 #: Chance that an ordinary text is taken for an outlier.
-TAIL = 1e-10
+TAIL = 1e-14
 
 
 def chi_square_cut(tail: float) -> float:
@@ -185,8 +185,8 @@ def _verdict(f: DataFrame, g: DataFrame, cut: float) -> DataFrame:
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """documents -> doc_id, the five statistics, base_failed, outlyingness (null: no estimate, in a table of few rows), kept.
 
-    Rejected are rows beyond the ``tail`` of a chi-square: of ordinary texts one in ten thousand
-    million, however many there are. Null text counts as empty and fails; null lang or source
+    Rejected are rows beyond the ``tail`` of a chi-square, so that even of a hundred thousand
+    million ordinary texts none is likely to go. Null text counts as empty and fails; null lang or source
     is a group of its own; repeated rows are judged each; a text's length changes nothing but its
     statistics. Empty tables give empty results; other columns are not looked at.
     """
