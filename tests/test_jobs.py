@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from payguard.functions.text import normalised, ratio_bound, similarity
 from payguard.operators.lifecycle import edges
-from payguard.plans.catalog import TABLES, _spelled
+from payguard.plans.catalog import TABLES, _spelled, frame
 from payguard.plans.registry import ORACLE_SQL, QUERIES
 from payguard.sources.documents import flatten_orders, index_files
 from pyspark.sql import functions as F
@@ -20,6 +20,10 @@ CHECKED = (
 ).split()
 
 
+#: Gates that come before that of duplicates.
+BEFORE = ("input", "output", "confidence", "validation", "vendor", "remit")
+
+
 def plain(v):
     if v is None:
         return None
@@ -43,7 +47,13 @@ def test_equals_other_engine(spark, sf, name):
     names = [d[0] for d in con.description]
     assert sorted(names) == sorted(df.columns)
     want = sorted((tuple(plain(v) for _, v in sorted(zip(names, r))) for r in con.fetchall()), key=repr)
-    got = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
+    rows = df.collect()
+    if name == "wf_route":  # the other engine has no ratio for near numbers: what they hold is compared by hand
+        near = {r.me_id for r in QUERIES["fn_similarity"](spark, sf).collect()}
+        at = sorted(names).index("invoice_id")
+        assert all(r.gate in ("duplicate", *BEFORE) for r in rows if r.invoice_id in near)
+        rows, want = [r for r in rows if r.invoice_id not in near], [r for r in want if r[at] not in near]
+    got = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in rows), key=repr)
     assert got == want
 
 
@@ -59,19 +69,23 @@ def test_spelling():
 
 def test_labels_hold(spark, sf):
     """What a variant plants is among what the match reports, for orders that reach the match."""
-    labels = QUERIES["gen_labelled_variants"](spark, sf).filter("variant = po % 10").select("po", "variant", "expected_codes")
+    labels = QUERIES["gen_labelled_variants"](spark, sf).filter("variant = po % 10").select(F.expr("po * 10 + variant").alias("invoice_id"), F.col("po").alias("source_po"), "variant", "expected_codes")
     found = QUERIES["mt_three_way_match"](spark, sf)
-    rows = labels.join(found, "po").filter("reasons not in ('currency_mismatch', 'po_closed')").collect()
+    paired = QUERIES["mt_pair_lines"](spark, sf).groupBy("invoice_id").agg(F.count("line_no").alias("paired"))
+    n_lines = frame(spark, sf, "v_honest").groupBy(F.col("po").alias("source_po")).agg(F.count(F.lit(1)).alias("n"))
+    # where the printed order is the invoice's own and every honest line is paired, every planted defect must show
+    rows = labels.join(found, "invoice_id").join(paired, "invoice_id").join(n_lines, "source_po")
+    rows = rows.filter("po = source_po and paired = n and reasons not in ('currency_mismatch', 'po_closed', 'po_vendor_mismatch')").collect()
     planted = {1: "price_over_tolerance", 2: "quantity_over_tolerance", 4: "line_not_on_po"}
-    # a pair by description is lost where a name repeats, so not every defect shows on its line
-    seen = [(r.variant, planted[r.variant] in r.reasons) for r in rows if r.variant in planted and "receipt_missing" not in r.reasons]
-    for variant in planted:
-        hits = [hit for v, hit in seen if v == variant]
-        assert sum(hits) >= 0.5 * len(hits)
+    for variant, code in planted.items():
+        some = [r for r in rows if r.variant == variant]
+        assert len(some) > 5
+        missed = [r.invoice_id for r in some if code not in r.reasons.split("|")]
+        assert not missed, (variant, len(missed), len(some))
 
 
 def test_names(spark):
-    cases = {"TechVision Distributors Pvt Ltd": "techvision distributors", "ACME, Co. Ltd.": "acme", "Ltd": "", "Coltd": "coltd", "Limited Editions Ltd": "limited editions", "Müller GmbH": "müller"}
+    cases = {"Harbour Light Traders Pvt Ltd": "harbour light traders", "ACME, Co. Ltd.": "acme", "Ltd": "", "Coltd": "coltd", "Limited Editions Ltd": "limited editions", "Müller GmbH": "müller"}
     df = spark.createDataFrame([(k,) for k in cases], "n string")
     assert {r.n: r.x for r in df.select("n", normalised(F.col("n")).alias("x")).collect()} == cases
 
