@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, linededup, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
+from . import divergence, fingerprint, interaction, linededup, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
 from .common import table
 
 
@@ -72,6 +72,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_strings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language with how far they lie apart, and each source's ten most lifted terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language, order of the five filters and step with what is kept, removed and redundant there."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -83,5 +93,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_interaction": op13_filter_interaction,
+}
+ORACLE_SQL = {
+    "op4_source_mixing": mixing.SQL,
+    "op9_line_dedup": linededup.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_filter_interaction": interaction.SQL,
 }
-ORACLE_SQL = {"op4_source_mixing": mixing.SQL, "op9_line_dedup": linededup.SQL}
