@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, fingerprint, interaction, linededup, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
+from . import blocks, divergence, fingerprint, interaction, linededup, mixing, packing, quality, secrets, simhash, suffix, toxicity, urls
 from .common import table
 
 
@@ -72,6 +72,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_strings(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text, by the labeller fitted on a bounded sample of the pages."""
+    pages = table(spark, sf_dir, "pages")
+    return blocks.extract(pages, blocks.train(pages))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of sources of a language with how far they lie apart, and each source's ten most lifted terms."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_html_extraction": op11_html_extraction,
     "op12_source_divergence": op12_source_divergence,
     "op13_filter_interaction": op13_filter_interaction,
 }
