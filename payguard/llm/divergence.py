@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +30,9 @@ UNIT, MORE, LEAST_DOCS, RANKS = 1_000_000_000, 2, 10, 10
 _TERM = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def terms(text: str, part: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The terms of a text, as UTF-8, in lists of about ``part`` bytes."""
-    raw, at = text.encode("utf-8", "surrogatepass").translate(_TERM), 0
+def terms(raw: bytes, part: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, in lists of about ``part`` bytes."""
+    raw, at = raw.translate(_TERM), 0
     while at < len(raw):
         end = raw.find(b" ", at + part)
         end = len(raw) if end < 0 else end
@@ -39,26 +40,29 @@ def terms(text: str, part: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def counted(docs: DataFrame, most: int = 400_000) -> DataFrame:
+def counted(docs: DataFrame, most: int = 600_000) -> DataFrame:
     """(lang, source, text) -> lang, source, term, n (occurrences), docs (documents with it).
 
-    A task sums up to ``most`` terms before it hands them on.
+    A task sums up to ``most`` terms before it hands them on, so nothing is summed again before
+    the exchange.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def told() -> Iterator[pd.DataFrame]:
+        def told() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, seen) in sums.items():
+                term = pa.array(list(n), pa.binary()).cast(pa.string())
+                both = [pa.array(np.fromiter(x, np.int64, len(n))) for x in (n.values(), map(seen.__getitem__, n))]
                 if n:
-                    yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "surrogatepass") for t in n], "n": list(n.values()), "docs": [seen[t] for t in n]})
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(source, len(n)), term, *both], names=["lang", "source", "term", "n", "docs"])
             sums.clear()
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
+            for lang, source, raw in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()):
                 n, seen = sums.setdefault((lang, source), (Counter(), Counter()))
                 own: set[bytes] = set()
-                for some in terms(text):
+                for some in terms(raw):
                     n.update(some)
                     own.update(some)
                 seen.update(own)
@@ -66,15 +70,17 @@ def counted(docs: DataFrame, most: int = 400_000) -> DataFrame:
                 yield from told()
         yield from told()
 
-    parts = docs.mapInPandas(count, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    key = ("lang", "source", "term")
+    parts = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return parts.repartition(*key).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _p(count: str | Column, total: str) -> Column:
     """1 + floor(UNIT * (count + 2) / total); null where total is 0."""
     c = F.col(count) if isinstance(count, str) else count
-    share = F.lit(UNIT).cast("decimal(12,0)") * (c + MORE).cast("decimal(20,0)")
-    return 1 + F.call_function("div", share, F.nullif(F.col(total), F.lit(0)).cast("decimal(20,0)"))
+    of = F.nullif(F.col(total), F.lit(0))
+    wide = F.call_function("div", F.lit(UNIT).cast("decimal(12,0)") * (c + MORE).cast("decimal(20,0)"), of.cast("decimal(20,0)"))
+    return 1 + F.when(c < 9 * UNIT, F.call_function("div", UNIT * (c + MORE), of)).otherwise(wide)
 
 
 def _f(p: Column, q: Column) -> Column:

@@ -83,5 +83,5 @@ def test_tree_sums_shared_paths_once(most):
 
 
 def test_terms_in_pieces():
-    text = "Ab é1" * 50 + " x" * 3000
+    text = ("Ab é1" * 50 + " x" * 3000).encode()
     assert sum(divergence.terms(text, 64), []) == sum(divergence.terms(text), [])
