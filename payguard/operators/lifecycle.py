@@ -189,13 +189,6 @@ job(
     "ap_requirement",
     """SELECT invoice_id, role, CAST(required AS BIGINT) AS required, rules, callback, false AS auto_approve, 'amount=' || CAST(total AS STRING) || ' ' || currency || ', tier' || CASE WHEN other_currency THEN '=top' WHEN ceiling IS NULL THEN '<= unbounded' ELSE '<= ' || CAST(ceiling AS STRING) END || ', role=' || role || ', required=' || CAST(required AS STRING) || ', rules=' || coalesce(nullif(rules, ''), 'none') || ', hold_for_callback=' || CASE WHEN callback THEN 'yes' ELSE 'no' END AS basis FROM v_required""",
 )
-# A waiting request whose snapshot is old is matched again; a code it did not have cancels it.
-view("v_waiting", "SELECT i.invoice_id, i.source_po AS po, i.po_ref, i.source_po * 5 % 100 AS hours, CASE WHEN i.source_po % 3 = 0 THEN '' ELSE 'receipt_missing|totals_over_tolerance' END AS had FROM v_inv AS i")
-job(
-    "ap_refresh",
-    """SELECT w.invoice_id, CASE WHEN w.po_ref IS NULL OR w.hours < c.refresh_hours THEN 'fresh' WHEN n.added IS NOT NULL THEN 'cancelled' ELSE 'refreshed' END AS outcome, CASE WHEN w.po_ref IS NOT NULL AND w.hours >= c.refresh_hours THEN coalesce(n.added, '') ELSE '' END AS added FROM v_waiting AS w CROSS JOIN v_now AS c
-    LEFT JOIN (SELECT x.invoice_id, @list[x.code; x.code] AS added FROM v_ordered_codes AS x JOIN v_waiting AS y ON y.invoice_id = x.invoice_id WHERE position('|' || x.code || '|' IN '|' || y.had || '|') = 0 GROUP BY x.invoice_id) AS n ON n.invoice_id = w.invoice_id""",
-)
 # Posting.
 view("v_ledger", "SELECT vendor, number_norm, amount FROM v_entries WHERE arrival_seq % 6 = 0 UNION ALL SELECT vendor, number_norm, amount + 1 FROM v_entries WHERE arrival_seq % 30 = 0")
 job(

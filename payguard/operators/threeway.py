@@ -37,7 +37,8 @@ def paired_lines(lines: DataFrame, invoices: DataFrame, order_lines: DataFrame,
         found = keys.filter(F.col(key).isNotNull()).groupBy("po", key).agg(F.count(F.lit(1)).alias("named"), F.first("hit").alias(hit))
         return found.filter("named = 1").drop("named")
 
-    asked = lines.drop("po").join(invoices.filter("po_ref is not null").select("invoice_id", F.col("po_ref").alias("po")), "invoice_id")
+    decided = [c for c in ("config_version",) if c in invoices.columns]
+    asked = lines.drop("po").join(invoices.filter("po_ref is not null").select("invoice_id", F.col("po_ref").alias("po"), *decided), "invoice_id")
     asked = asked.withColumns({"ref_key": _key("po_line_ref"), "desc_key": description(F.col("description"))})
     both = asked.join(unique("ref_key", "by_ref"), ["po", "ref_key"], "left").join(unique("desc_key", "by_desc"), ["po", "desc_key"], "left")
     return both.withColumn("hit", F.coalesce("by_ref", "by_desc"))
@@ -49,10 +50,13 @@ def three_way_match(invoices: DataFrame, lines: DataFrame, orders: DataFrame, or
     Amounts are whole cents. ``reasons`` joins the codes in the order in which they are found.
     An invoice without an order number is ``non_po`` and not matched at all (null); an unknown
     order, or one of another vendor than the one resolved, is refused before any number is
-    compared, and has no deltas. ``config`` is one row of tolerances.
+    compared, and has no deltas. ``config`` is one row of tolerances; where invoices have a
+    ``config_version``, each is judged by the row of its own, and one whose version is unknown
+    has no row in the result.
     """
+    under = (lambda df, c: df.join(c, "config_version")) if "config_version" in invoices.columns else (lambda df, c: df.crossJoin(F.broadcast(c)))
     c = config.select("config_version", *[F.col(x).alias(f"c_{x}") for x in ("price_pct", "price_abs", "qty_over_pct", "unmatched_abs", "unmatched_pct", "tax_abs", "rounding_abs")])
-    rows = paired_lines(lines, invoices, order_lines, receipts).crossJoin(F.broadcast(c))
+    rows = under(paired_lines(lines, invoices, order_lines, receipts), c)
     above = F.col("price") - F.col("hit.price")
     dear = (above > 0) & ((above > F.col("c_price_abs")) | ((F.col("hit.price") != 0) & (above * 100 > F.col("hit.price") * F.col("c_price_pct"))))
     uneven = F.abs(F.col("extended") - F.col("qty") * F.col("price")) > F.col("c_rounding_abs")
@@ -73,7 +77,7 @@ def three_way_match(invoices: DataFrame, lines: DataFrame, orders: DataFrame, or
     )
     ordered = order_lines.groupBy("po").agg(F.sum("extended").alias("po_total"))
     order = orders.select("po", F.col("vendor").alias("po_vendor"), F.col("currency").alias("po_currency"), "status").join(ordered, "po", "left")
-    whole = invoices.join(by_invoice, "invoice_id", "left").join(order, F.col("po_ref") == F.col("po"), "left").crossJoin(F.broadcast(c))
+    whole = under(invoices.join(by_invoice, "invoice_id", "left").join(order, F.col("po_ref") == F.col("po"), "left"), c)
     zero = lambda x: F.coalesce(x, F.lit(0))
     over = lambda x: (F.col(x) > F.col("c_unmatched_abs")) | (F.col(x) * 100 > zero("po_total") * F.col("c_unmatched_pct"))
     subtotal = F.col("subtotal") - zero("lines")

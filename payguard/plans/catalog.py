@@ -69,6 +69,12 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
+def variant(suffix: str, changed: dict[str, str], *names: str) -> None:
+    """Copies of views for the other engine, which read other views in place of some; a copied name gets the suffix."""
+    for name in names:
+        VIEWS[name + suffix] = re.sub(r"\bv_\w+", lambda m: changed.get(m[0], m[0] + suffix if m[0] in names else m[0]), VIEWS[name])
+
+
 def native(name: str, make: Callable[[Callable[[str], DataFrame]], DataFrame], *reads: str) -> None:
     NATIVE[name] = (make, reads)
 

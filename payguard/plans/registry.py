@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import payguard.sources.views  # noqa: F401
-from payguard.operators import confidence, duplicates, lifecycle, matching, screening, vendors  # noqa: F401
+from payguard.operators import confidence, duplicates, lifecycle, matching, screening, snapshots, vendors  # noqa: F401
 from payguard.plans.catalog import JOBS, query, text
 from payguard.sources import documents
 from payguard.streaming import streams
