@@ -28,8 +28,6 @@ view("v_digests", "SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_byte
 view("v_index", "SELECT d.doc_id, d.source, d.sha, d.n_bytes, f.first_id FROM v_digests AS d JOIN (SELECT sha, min(doc_id) AS first_id FROM v_digests GROUP BY sha) AS f ON f.sha = d.sha")
 job("src_document_index", "SELECT doc_id, source, sha, n_bytes AS n_chars, CASE WHEN first_id <> doc_id THEN first_id END AS duplicate_of FROM v_index")
 job("src_index_summary", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN first_id <> doc_id THEN 1 ELSE 0 END) AS BIGINT) AS extra_copies, count(DISTINCT CASE WHEN first_id <> doc_id THEN sha END) AS duplicated FROM v_index GROUP BY source")
-# The digest leaves out what varies from call to call.
-job("snk_payload_store", "SELECT sha256, min(event_id) AS first_event, count(*) AS puts FROM (SELECT event_id, @sha[concat_ws('|', CAST(user_id AS STRING), event_type, props)] AS sha256 FROM events) AS e GROUP BY sha256")
 job("snk_upsert_idempotent", "SELECT n.vendor, n.number_norm, n.invoice_id FROM (SELECT vendor, number_norm, min_by(invoice_id, arrival_seq) AS invoice_id FROM v_entries WHERE arrival_seq >= 5000 GROUP BY vendor, number_norm) AS n ANTI JOIN (SELECT vendor, number_norm FROM v_entries WHERE arrival_seq < 5000) AS o ON o.vendor = n.vendor AND o.number_norm = n.number_norm")
 
 view(
