@@ -73,7 +73,6 @@ view(
     m.country IN ({quoted(DAY_FIRST)}) AS is_day_first, m.country IN ({quoted(MONTH_FIRST)}) AS is_month_first FROM v_parsed AS p JOIN v_resolved AS r ON r.invoice_id = p.invoice_id LEFT JOIN v_vm AS m ON m.vendor = r.vendor""",
 )
 view("v_dates", "SELECT invoice_id, raw, received_on, country, is_day_first, is_month_first, named, day_first, month_first, c1, c2, c1 IS NOT NULL AND c2 IS NOT NULL AS ambiguous FROM v_verdicts")
-job("fn_parse_raw_date", "SELECT invoice_id, raw, named, day_first, month_first FROM v_parsed")
 job(
     "dt_assess",
     """SELECT invoice_id, raw, CASE WHEN NOT ambiguous THEN 'unambiguous' WHEN is_day_first OR is_month_first THEN 'resolved_by_country' ELSE 'ambiguous' END AS verdict, CASE WHEN NOT ambiguous THEN coalesce(c1, c2) WHEN is_day_first THEN c1 WHEN is_month_first THEN c2 END AS invoice_date,
@@ -181,12 +180,6 @@ view(
     FROM v_inv AS i JOIN v_printed AS p ON p.invoice_id = i.invoice_id JOIN v_raw_dates AS d ON d.invoice_id = i.invoice_id""",
 )
 view("v_page_dates", "SELECT t.invoice_id, t.page, d.raw, d.named, d.day_first, d.month_first, d.is_day_first, d.is_month_first FROM v_page_text AS t JOIN v_dates AS d ON d.invoice_id = t.invoice_id")
-# Separators between digits go from both sides; twice, as neighbouring matches share a digit.
-def degrouped(x: str) -> str:
-    return f"@glue[@glue[{x}]]"
-
-
-job("fn_grounded_number", f"SELECT t.invoice_id, position(CAST(@div[i.total; 100] AS STRING) IN {degrouped('t.page')}) > 0 AS total_grounded, position(t.name_norm IN {norm('t.page')}) > 0 AS name_grounded FROM v_page_text AS t JOIN v_inv AS i ON i.invoice_id = t.invoice_id")
 # Two readings of seven fields; five carry the decision. The second may be missing, wrong, or the same in other words.
 view(
     "v_readings",
