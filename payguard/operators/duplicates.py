@@ -86,22 +86,28 @@ def v_held_duplicates(view: Callable[[str], DataFrame]) -> DataFrame:
     return hits(view("v_entries"), _rules(view("v_now"))).select("me_id").distinct()
 
 
-native("v_held_duplicates", v_held_duplicates, "v_entries", "v_now")
+native("v_held_duplicates", v_held_duplicates, "v_entries", "v_entries", "v_now")  # each rule reads the entries, so they are written
+
+
+def compared(entries: DataFrame, days: int = 30) -> DataFrame:
+    """me_id, candidates_compared: how many earlier arrivals have an entry's number, or lie within days of it."""
+    same = _meet(entries, ("number_norm",)).select("me_invoice_id", "other_invoice_id")
+    near = _meet(entries, (), day=_dates(days)).filter(F.col("days") <= days).select("me_invoice_id", "other_invoice_id")
+    return same.union(near).distinct().groupBy(F.col("me_invoice_id").alias("me_id")).agg(F.count(F.lit(1)).alias("candidates_compared"))
 
 
 def fn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = _rules(frame(spark, sf_dir, "v_now"))
-    near = near_numbers(frame(spark, sf_dir, "v_entries"), rules["number_similarity_pct"], rules["amount_tolerance_permille"], rules["date_window_days"])
+    near = near_numbers(frame(spark, sf_dir, "v_entries", written=True), rules["number_similarity_pct"], rules["amount_tolerance_permille"], rules["date_window_days"])
     return near.select(F.col("me_invoice_id").alias("me_id"), F.col("other_invoice_id").alias("other_id"), F.col("me_number_norm").alias("a_number"), F.col("other_number_norm").alias("b_number"), F.round("similarity", 4).alias("similarity"))
 
 
 def dd_find_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an entry: the rule that holds it and the earlier arrival (null: none), how many were compared."""
-    entries = frame(spark, sf_dir, "v_entries")
+    entries = frame(spark, sf_dir, "v_entries", written=True)
     best = strongest(entries, _rules(frame(spark, sf_dir, "v_now")))
-    compared = frame(spark, sf_dir, "v_candidates").groupBy("me_id").agg(F.count(F.lit(1)).alias("candidates_compared"))
     ids = entries.select(F.col("invoice_id").alias("me_id"))
-    out = ids.join(best, "me_id", "left").join(compared, "me_id", "left")
+    out = ids.join(best, "me_id", "left").join(compared(entries), "me_id", "left")
     return out.withColumn("candidates_compared", F.coalesce("candidates_compared", F.lit(0)))
 
 

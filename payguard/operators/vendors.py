@@ -1,7 +1,43 @@
 """Vendor resolution and duplicate detection."""
 
-from payguard.functions.text import norm
-from payguard.plans.catalog import job, view
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from payguard.functions.text import norm, normalised
+from payguard.plans.catalog import job, native, view
+
+
+def bare(x: str | Column) -> Column:
+    """A tax id's letters and digits in lower case; null where there are none."""
+    return F.nullif(F.lower(F.regexp_replace(x, "[^0-9A-Za-z]", "")), F.lit(""))
+
+
+def resolve(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
+    """invoice_id, vendor_tax_id, vendor_name against vendor, tax_id, display_name -> invoice_id, vendor, basis, candidates.
+
+    The tax id is asked first; hits there, even several, end the search. One hit is the vendor;
+    of several the first five by number are candidates. The master is grouped by key before invoices
+    meet it, so an invoice is one row throughout.
+    """
+    # of a key that very many vendors have, five are carried
+    least = lambda xs: F.slice(F.array_sort(xs), 1, 5)
+
+    def by(key: Column, name: str) -> DataFrame:
+        named = vendors.select(key.alias(name), "vendor").filter(F.col(name).isNotNull())
+        part = named.groupBy(name, F.pmod(F.hash("vendor"), F.lit(16)).alias("p")).agg(F.count(F.lit(1)).alias("n"), least(F.collect_list("vendor")).alias("some"))
+        whole = part.groupBy(name).agg(F.sum("n").alias("n"), least(F.flatten(F.collect_list("some"))).alias("some"))
+        return whole.select(name, F.struct("n", "some").alias(f"{name}_hit"))
+
+    name = lambda x: F.nullif(normalised(F.coalesce(F.col(x), F.lit(""))), F.lit(""))
+    asked = invoices.select("invoice_id", bare("vendor_tax_id").alias("tax"), name("vendor_name").alias("name"))
+    both = asked.join(by(bare("tax_id"), "tax"), "tax", "left").join(by(name("display_name"), "name"), "name", "left")
+    hit = both.select("invoice_id", F.coalesce("tax_hit", "name_hit").alias("h"), F.col("tax_hit").isNotNull().alias("by_tax"))
+    one = F.coalesce(F.col("h.n") == 1, F.lit(False))
+    basis = F.when(one & F.col("by_tax"), "tax_id_exact").when(one, "name_exact").otherwise("unresolved")
+    return hit.select("invoice_id", F.when(one, F.col("h.some")[0]).alias("vendor"), basis.alias("basis"), F.coalesce(F.array_join(F.col("h.some").cast("array<string>"), "|"), F.lit("")).alias("candidates"))
+
 
 view("v_asked", f"SELECT invoice_id, source_po, nullif(lower(@sub[vendor_tax_id; '[^0-9A-Za-z]'; '']), '') AS tax_norm, nullif({norm('vendor_name')}, '') AS name_norm, remit_to FROM v_inv")
 # Tax id first; more than one hit there ends the search. The five first hits in master order are candidates.
@@ -18,6 +54,7 @@ view(
     """SELECT a.invoice_id, CASE WHEN h.hits = 1 THEN h.vendor END AS vendor, CASE WHEN h.hits = 1 AND h.tier = 1 THEN 'tax_id_exact' WHEN h.hits = 1 THEN 'name_exact' ELSE 'unresolved' END AS basis, coalesce(h.candidates, '') AS candidates
     FROM v_asked AS a LEFT JOIN (SELECT t.* FROM v_hits AS t JOIN (SELECT invoice_id, min(tier) AS tier FROM v_hits GROUP BY invoice_id) AS f ON f.invoice_id = t.invoice_id AND f.tier = t.tier) AS h ON h.invoice_id = a.invoice_id""",
 )
+native("v_resolved", lambda of: resolve(of("v_inv"), of("v_vm")), "v_inv", "v_vm")
 # Three values: no comparison is not a mismatch.
 view(
     "v_remit",

@@ -127,8 +127,14 @@ def shared_dir(spark: SparkSession) -> str:
 SHARED, OFTEN = ("v_pol", "v_po", "v_rec", "v_honest", "v_inl", "v_inv", "v_pairs", "v_qty", "v_price", "v_resolved", "v_entries", "v_ev", "v_match", "v_confidence"), 2
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A job or view as a DataFrame over the tables of a folder.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str, written: bool = False) -> DataFrame:
+    """A job or view as a DataFrame over the tables of a folder; ``written`` where it is read several times.
 
     Views that several parts of the job use are written as Parquet in the shared folder, in
     order, and read from there; all others are common table expressions of one plan.
@@ -147,12 +153,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if (often or v in NATIVE) and v in _reach(sql, done):
             df = NATIVE[v][0](lambda x: ready(f"SELECT * FROM {x}")) if v in NATIVE else ready(VIEWS[v])
             if often:
-                path = f"{shared_dir(spark)}/{v}-{uuid.uuid4().hex}"
-                df.write.parquet(path)
-                df = spark.read.schema(df.schema).parquet(path)
+                df = _written(df, v)
             done[v] = f"shared_{v}_{uuid.uuid4().hex[:8]}"
             df.createOrReplaceTempView(done[v])
-    return ready(sql)
+    return _written(ready(sql), name) if written else ready(sql)
 
 
 def _reach(sql: str, done: dict[str, str], seen: dict[str, None] | None = None) -> dict[str, None]:
