@@ -195,17 +195,6 @@ job(
     "po_bill_conflict",
     """SELECT e.invoice_id, CASE WHEN coalesce(l.n, 0) = 0 THEN 'create' WHEN l.n = 1 AND l.amount = e.amount THEN 'already_existed' ELSE 'conflict' END AS outcome FROM v_entries AS e LEFT JOIN (SELECT vendor, number_norm, count(*) AS n, min(amount) AS amount FROM v_ledger GROUP BY vendor, number_norm) AS l ON l.vendor = e.vendor AND l.number_norm = e.number_norm""",
 )
-job(
-    "po_bill_for",
-    """SELECT i.invoice_id, CASE WHEN r.vendor IS NULL THEN 'no_vendor' WHEN i.po_ref IS NULL OR p.po IS NULL THEN 'no_po' WHEN i.tax_total <> 0 THEN 'tax' WHEN p.currency <> i.currency THEN 'currency' WHEN NOT @like[upper(@sub[i.invoice_number; '[^0-9A-Za-z]'; '']); '^[0-9A-Z]{1,21}$'] THEN 'doc_number' WHEN s.unpaired > 0 THEN 'unpaired_line' WHEN s.lines <> i.total THEN 'total' ELSE 'bill' END AS outcome
-    FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id LEFT JOIN v_po AS p ON p.po = i.po_ref JOIN (SELECT invoice_id, CAST(sum(extended) AS BIGINT) AS lines, CAST(sum(CASE WHEN line_no IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unpaired FROM v_pairs GROUP BY invoice_id) AS s ON s.invoice_id = i.invoice_id""",
-)
-job(
-    "po_post_preconditions",
-    """SELECT x.invoice_id, CASE WHEN x.state <> 'approved' THEN 'not_approved' WHEN x.vendor IS NULL OR x.vendor <> x.true_vendor THEN 'vendor' WHEN x.approved_amount <> x.total THEN 'amount' WHEN x.holders > 1 THEN 'key_held' ELSE 'post' END AS outcome FROM (
-      SELECT i.invoice_id, i.true_vendor, i.total, r.vendor, CASE WHEN i.source_po % 5 = 0 THEN 'pending_approval' ELSE 'approved' END AS state, i.total + CASE WHEN i.source_po % 21 = 0 THEN 1 ELSE 0 END AS approved_amount, k.holders FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id
-      JOIN v_entries AS e ON e.invoice_id = i.invoice_id LEFT JOIN (SELECT vendor, number_norm, count(*) AS holders FROM v_entries GROUP BY vendor, number_norm) AS k ON k.vendor = e.vendor AND k.number_norm = e.number_norm) AS x""",
-)
 # A number is claimed by what has got as far as the duplicate check: its vendor is resolved, and no gate before has sent it back.
 job(
     "wf_number_claims",
