@@ -1,6 +1,6 @@
 """Sources, validation, screening, dates and confidence."""
 
-from payguard.functions.text import CURRENCIES, DAY_FIRST, MONTH_FIRST, norm
+from payguard.functions.text import DAY_FIRST, MONTH_FIRST, norm
 from payguard.plans.catalog import job, view
 
 quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -40,10 +40,6 @@ view(
     CASE WHEN abs(s.lines - i.subtotal) * 1000 > greatest(2000, abs(i.subtotal)) THEN 'lines_do_not_sum_to_subtotal' END, CASE WHEN s.worst > 2 THEN 'line_extension_mismatch' END) AS flags, i.total
     FROM v_inv AS i LEFT JOIN v_line_sums AS s ON s.invoice_id = i.invoice_id""",
 )
-job(
-    "val_contract",
-    f"""SELECT invoice_id, concat_ws('|', CASE WHEN currency NOT IN ({quoted(CURRENCIES)}) THEN 'currency' END, CASE WHEN due_date < invoice_date THEN 'due_before_invoice' END, CASE WHEN length(invoice_number) > 64 OR trim(invoice_number) = '' THEN 'invoice_number' END, CASE WHEN length(vendor_name) > 200 THEN 'vendor_name' END) AS violations FROM v_inv""",
-)
 job("val_arithmetic_flags", "SELECT invoice_id, flags FROM v_arithmetic")
 
 # Printed dates, in five ways of writing.
