@@ -212,4 +212,3 @@ view(
 job("cf_confidence", "SELECT * FROM v_confidence")
 view("v_auto_ok", "SELECT invoice_id, bool_and(coalesce(agreed, false) AND grounded) AS auto_ok FROM v_confidence WHERE load_bearing GROUP BY invoice_id")
 job("cf_auto_ok", "SELECT invoice_id, auto_ok FROM v_auto_ok")
-job("rep_field_scores", "SELECT field, count(*) AS n, CAST(sum(CASE WHEN b = a THEN 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN b IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unread FROM v_readings GROUP BY field")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import payguard.sources.views  # noqa: F401
-from payguard.operators import confidence, duplicates, grounding, lifecycle, matching, posting, quarantine, screening, snapshots, vendors  # noqa: F401
+from payguard.operators import confidence, duplicates, fieldscores, grounding, lifecycle, matching, posting, quarantine, screening, snapshots, vendors  # noqa: F401
 from payguard.plans.catalog import JOBS, query, text
 from payguard.sources import documents, stores
 from payguard.streaming import streams
