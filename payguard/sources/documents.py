@@ -73,15 +73,45 @@ def snk_audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("invoice_id long, seq long, line string, prev_hash string").json(path)
 
 
-def index_files(spark: SparkSession, path: str) -> DataFrame:
-    """Any files: kind by first bytes, size, digest, first seen copy by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+#: First bytes, in hex, and the media types that they mean.
+MAGIC = (("255044462D", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"))
+
+
+def index_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below a folder, by its first bytes: file, source, kind, media_type, n_bytes, sha256, duplicate_of, error.
+
+    ``file`` and ``source`` (its folder) are relative to the root. A file that begins like no known one stays
+    as a row with an error and nothing else; one without a byte has no row, as Spark's reader passes over it. A PDF that names a font has a text layer and is
+    ``born_digital``; pictures and other PDFs are a ``scan``. Of files with one content the first by
+    name has no ``duplicate_of``. A file is read by one task, so it must fit there.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     head = F.hex(F.substring("content", 1, 8))
-    kind = F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg")
-    kind = kind.when(head.startswith("49492A00") | head.startswith("4D4D002A"), "image/tiff")
-    slim = files.select("path", kind.alias("media_type"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
-    first = slim.groupBy("sha256").agg(F.min("path").alias("first_path"))
-    return slim.join(first, "sha256").withColumn("duplicate_of", F.when(F.col("path") != F.col("first_path"), F.col("first_path"))).drop("first_path")
+    media = F.coalesce(*[F.when(head.startswith(magic), kind) for magic, kind in MAGIC])
+    fonts = F.coalesce(F.position(F.lit(b"/Font"), F.col("content")) > 0, F.lit(False))
+    error = F.when(media.isNull(), F.concat(F.lit("unrecognised header: "), head))
+    above = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = above.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(above).toString().rstrip("/")
+    name = F.expr(f"substring(path, instr(path, '{base.split(':', 1)[-1].lstrip('/')}') + {len(base.split(':', 1)[-1].lstrip('/')) + 1})")
+    slim = files.select(name.alias("file"), media.alias("media"), fonts.alias("fonts"), "length", F.sha2("content", 256).alias("digest"), error.alias("error"))
+    slim = slim.withColumn("source", F.coalesce(F.nullif(F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.lit("")), F.lit("(root)")))
+    good = F.col("error").isNull()
+    first = slim.filter(good).groupBy("digest").agg(F.min("file").alias("first_file"))
+    rows = slim.join(first, "digest", "left")
+    kind = F.when((F.col("media") == "application/pdf") & F.col("fonts"), "born_digital").otherwise("scan")
+    told = lambda x: F.when(good, x)
+    return rows.select(
+        "file", "source", told(kind).alias("kind"), told(F.col("media")).alias("media_type"), told(F.col("length")).alias("n_bytes"), told(F.col("digest")).alias("sha256"),
+        told(F.when(F.col("file") != F.col("first_file"), F.col("first_file"))).alias("duplicate_of"), "error",
+    )
+
+
+def index_summary(index: DataFrame) -> DataFrame:
+    """(what, item, n): files by source and by kind, unreadable ones, extra copies, and contents that have any."""
+    one = lambda what, n: index.agg(n.alias("n")).select(F.lit(what).alias("what"), F.lit("").alias("item"), "n")
+    by = lambda c: index.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("what"), "item", "n")
+    copies = F.col("duplicate_of").isNotNull()
+    return by("source").union(by("kind")).union(one("unreadable", F.count("error"))).union(one("extra_copies", F.count_if(copies))).union(one("duplicated", F.count_distinct(F.when(copies, F.col("sha256")))))
 
 
 def oracle_sql() -> dict[str, str]:
