@@ -102,20 +102,41 @@ native("v_ordered_codes", threeway.v_ordered_codes, "v_match")
 job("mt_three_way_match", "SELECT * FROM v_match")
 view(
     "v_match_lines",
-    """SELECT p.invoice_id, CAST(0 AS BIGINT) AS kind, q.first_idx, p.line_idx, p.line_no, CASE WHEN q.over THEN 'qty_over' WHEN p.over THEN 'price_over' ELSE 'ok' END AS outcome, p.qty AS invoice_qty, q.received, q.billed, p.delta
+    """SELECT p.invoice_id, CAST(0 AS BIGINT) AS kind, q.first_idx, p.line_idx, p.line_no, CASE WHEN q.over THEN 'qty_over' WHEN p.over THEN 'price_over' ELSE 'ok' END AS outcome, p.qty AS invoice_qty, q.received, q.billed, p.delta, p.po_price
       FROM v_price AS p JOIN v_qty AS q ON q.invoice_id = p.invoice_id AND q.line_no = p.line_no JOIN v_eligible AS e ON e.invoice_id = p.invoice_id AND e.stop IS NULL
-    UNION ALL SELECT p.invoice_id, 1, 0, p.line_idx, CAST(NULL AS BIGINT), 'unmatched', p.qty, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM v_pairs AS p JOIN v_eligible AS e ON e.invoice_id = p.invoice_id AND e.stop IS NULL WHERE p.line_no IS NULL
-    UNION ALL SELECT e.invoice_id, 2, 0, CAST(NULL AS BIGINT), k.line_no, 'unbilled', CAST(NULL AS BIGINT), r.received, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+    UNION ALL SELECT p.invoice_id, 1, 0, p.line_idx, CAST(NULL AS BIGINT), 'unmatched', p.qty, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM v_pairs AS p JOIN v_eligible AS e ON e.invoice_id = p.invoice_id AND e.stop IS NULL WHERE p.line_no IS NULL
+    UNION ALL SELECT e.invoice_id, 2, 0, CAST(NULL AS BIGINT), k.line_no, 'unbilled', CAST(NULL AS BIGINT), r.received, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
       FROM v_eligible AS e JOIN v_pol AS k ON k.po = e.po LEFT JOIN v_qty AS q ON q.invoice_id = e.invoice_id AND q.line_no = k.line_no LEFT JOIN v_rec AS r ON r.po = k.po AND r.line_no = k.line_no WHERE e.stop IS NULL AND q.line_no IS NULL""",
 )
 job("mt_match_lines", "SELECT invoice_id, kind, line_idx, line_no, outcome, invoice_qty, received, delta FROM v_match_lines")
+
+
+def plain(cents: str) -> str:
+    """SQL for an amount in cents without trailing zeros: 5000 is 50, 5050 is 50.5."""
+    return f"CAST(@div[{cents}; 100] AS STRING) || CASE WHEN {cents} % 100 = 0 THEN '' WHEN {cents} % 10 = 0 THEN '.' || CAST(@div[{cents} % 100; 10] AS STRING) ELSE '.' || lpad(CAST({cents} % 100 AS STRING), 2, '0') END"
+
+
+def places(hundredths: str) -> str:
+    """SQL for a number in hundredths with two places."""
+    return f"CAST(@div[{hundredths}; 100] AS STRING) || '.' || lpad(CAST({hundredths} % 100 AS STRING), 2, '0')"
+
+
+# Each paired line with the numbers that it was judged by and their limits; lines are named by number, never by a vendor's words.
+view(
+    "v_line_verdicts",
+    f"""SELECT l.*, CASE WHEN kind = 0 THEN CAST(line_no AS STRING) || ':' || outcome || CASE outcome
+      WHEN 'price_over' THEN '(' || CASE WHEN po_price = 0 THEN 'n/a' ELSE {places("pct")} || '%' END || ',' || {places("delta")} || ';limit ' || CAST(c.price_pct AS STRING) || '%/' || {plain("c.price_abs")} || ')'
+      WHEN 'qty_over' THEN '(' || CAST(billed AS STRING) || '>' || coalesce(CAST(received AS STRING), 'none') || ';limit ' || CAST(c.qty_over_pct AS STRING) || '%)' ELSE '' END END AS verdict
+    FROM (SELECT *, CASE WHEN po_price <> 0 THEN @div[2 * delta * 10000 + po_price; 2 * po_price] END AS pct FROM v_match_lines) AS l CROSS JOIN v_now AS c""",
+)
 job(
     "au_basis_text",
-    """SELECT m.invoice_id, substr(concat_ws(', ', 'po_number=' || CAST(m.po AS STRING), 'po_lines=' || CAST(o.n AS STRING), 'receipt_lines=' || CAST(coalesce(r.n, 0) AS STRING), 'status=' || p.status, 'config_version=' || m.config_version,
-      'matched=' || CASE WHEN m.matched THEN 'yes' ELSE 'no' END, CASE WHEN m.reasons <> '' THEN 'reasons=' || m.reasons END, 'lines=' || coalesce(l.lines, 'none') || ' ; unmatched=' || CAST(coalesce(l.unmatched, 0) AS STRING) || ' ; unbilled=' || CAST(coalesce(l.unbilled, 0) AS STRING)), 1, 1000) AS basis
-    FROM v_match AS m JOIN v_po AS p ON p.po = m.po JOIN (SELECT po, count(*) AS n FROM v_pol GROUP BY po) AS o ON o.po = m.po LEFT JOIN (SELECT po, count(*) AS n FROM v_rec GROUP BY po) AS r ON r.po = m.po
-    LEFT JOIN (SELECT invoice_id, @list[CASE WHEN kind = 0 THEN CAST(line_no AS STRING) || ':' || outcome || CASE outcome WHEN 'price_over' THEN '(' || CAST(delta AS STRING) || ')' WHEN 'qty_over' THEN '(' || CAST(billed AS STRING) || '>' || coalesce(CAST(received AS STRING), 'none') || ')' ELSE '' END END; first_idx * 100000 + coalesce(line_idx, 0)] AS lines,
-      sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) AS unmatched, sum(CASE WHEN kind = 2 THEN 1 ELSE 0 END) AS unbilled FROM v_match_lines GROUP BY invoice_id) AS l ON l.invoice_id = m.invoice_id""",
+    """SELECT m.invoice_id, substr(CASE WHEN m.po IS NULL THEN concat_ws(', ', 'po_number=none', 'config_version=' || m.config_version, 'route=' || m.route, CASE WHEN m.reasons <> '' THEN 'reasons=' || m.reasons END)
+      ELSE concat_ws(', ', 'po_number=' || CAST(m.po AS STRING), 'po_lines=' || CAST(o.n AS STRING), 'receipt_lines=' || CAST(coalesce(r.n, 0) AS STRING), 'status=' || p.status, 'config_version=' || m.config_version,
+      'matched=' || CASE WHEN m.matched THEN 'yes' ELSE 'no' END, CASE WHEN m.reasons <> '' THEN 'reasons=' || m.reasons END, 'lines=' || coalesce(replace(l.lines, '|', ','), 'none') || ' ; unmatched=' || CAST(coalesce(l.unmatched, 0) AS STRING) || ' ; unbilled=' || CAST(coalesce(l.unbilled, 0) AS STRING)) END, 1, 1000) AS basis
+    FROM v_match AS m LEFT JOIN v_po AS p ON p.po = m.po LEFT JOIN (SELECT po, count(*) AS n FROM v_pol GROUP BY po) AS o ON o.po = m.po LEFT JOIN (SELECT po, count(*) AS n FROM v_rec GROUP BY po) AS r ON r.po = m.po
+    LEFT JOIN (SELECT invoice_id, @list[verdict; first_idx * 100000 + coalesce(line_idx, 0)] AS lines,
+      sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) AS unmatched, sum(CASE WHEN kind = 2 THEN 1 ELSE 0 END) AS unbilled FROM v_line_verdicts GROUP BY invoice_id) AS l ON l.invoice_id = m.invoice_id""",
 )
 # Labels are declared by variant, not derived from the rules that they test.
 view(

@@ -27,6 +27,8 @@ job(
 view("v_digests", "SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_bytes, @sha[coalesce(text, '')] AS sha FROM documents")
 view("v_index", "SELECT d.doc_id, d.source, d.sha, d.n_bytes, f.first_id FROM v_digests AS d JOIN (SELECT sha, min(doc_id) AS first_id FROM v_digests GROUP BY sha) AS f ON f.sha = d.sha")
 job("src_document_index", "SELECT doc_id, source, sha, n_bytes AS n_chars, CASE WHEN first_id <> doc_id THEN first_id END AS duplicate_of FROM v_index")
+# A document may be claimed once: its content's digest is unique, or the later ones are named here.
+job("wf_document_claims", "SELECT sha, count(*) AS claims, min(doc_id) AS first_id, max(doc_id) AS last_id FROM v_digests GROUP BY sha HAVING count(*) > 1")
 job("src_index_summary", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN first_id <> doc_id THEN 1 ELSE 0 END) AS BIGINT) AS extra_copies, count(DISTINCT CASE WHEN first_id <> doc_id THEN sha END) AS duplicated FROM v_index GROUP BY source")
 job("snk_upsert_idempotent", "SELECT n.vendor, n.number_norm, n.invoice_id FROM (SELECT vendor, number_norm, min_by(invoice_id, arrival_seq) AS invoice_id FROM v_entries WHERE arrival_seq >= 5000 GROUP BY vendor, number_norm) AS n ANTI JOIN (SELECT vendor, number_norm FROM v_entries WHERE arrival_seq < 5000) AS o ON o.vendor = n.vendor AND o.number_norm = n.number_norm")
 
@@ -96,7 +98,7 @@ view(
 )
 job(
     "val_input_screen",
-    """SELECT doc_id, CASE WHEN n_bytes = 0 OR n_pages = 0 THEN 'error' WHEN mime IS NULL THEN 'file_type' WHEN mime = 'image/gif' OR n_bytes > 26214400 THEN concat_ws('|', CASE WHEN mime = 'image/gif' THEN 'file_type' END, CASE WHEN n_bytes > 26214400 THEN 'file_size' END) WHEN encrypted THEN 'password_protected' WHEN n_pages > 20 THEN 'page_count' ELSE '' END AS flags FROM v_facts""",
+    """SELECT doc_id, CASE WHEN n_bytes = 0 OR n_pages = 0 THEN 'error' WHEN mime IS NULL THEN 'file_type' WHEN mime = 'image/gif' OR n_bytes > c.max_bytes THEN concat_ws('|', CASE WHEN mime = 'image/gif' THEN 'file_type' END, CASE WHEN n_bytes > c.max_bytes THEN 'file_size' END) WHEN encrypted THEN 'password_protected' WHEN n_pages > c.max_pages THEN 'page_count' ELSE '' END AS flags FROM v_facts CROSS JOIN v_now AS c""",
 )
 # Text spans with a box, a colour and the backdrop's median; off-page is told before near-white.
 view(

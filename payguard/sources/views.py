@@ -10,10 +10,10 @@ from payguard.plans.catalog import view
 view(
     "v_cfg",
     """SELECT * FROM (VALUES
-    ('v1', 2, 5000, 0, 100, 5000, 2, 365, 100, 100, 72, 0, 2, 85, 5, 7, 30),
-    ('v0', 1, 2500, 0, 100, 2500, 1, 180, 100, 100, 48, 0, 2, 90, 5, 7, 30)) AS t(config_version, price_pct, price_abs,
+    ('v1', 2, 5000, 0, 100, 5000, 2, 365, 100, 100, 72, 0, 2, 85, 5, 7, 30, 26214400, 20),
+    ('v0', 1, 2500, 0, 100, 2500, 1, 180, 100, 100, 48, 0, 2, 90, 5, 7, 30, 10485760, 10)) AS t(config_version, price_pct, price_abs,
     qty_over_pct, qty_under_pct, unmatched_abs, unmatched_pct, max_age_days, tax_abs, rounding_abs, refresh_hours,
-    auto_approve_max, max_rematches, number_similarity_pct, amount_tolerance_permille, date_window_days, same_amount_days)""",
+    auto_approve_max, max_rematches, number_similarity_pct, amount_tolerance_permille, date_window_days, same_amount_days, max_bytes, max_pages)""",
 )
 view("v_now", "SELECT * FROM v_cfg WHERE config_version = 'v1'")
 view(
