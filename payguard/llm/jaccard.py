@@ -1,18 +1,23 @@
 """Completion of SimHash links: near copies by exact Jaccard similarity of five-word shingles.
 
 A SimHash within few bits misses most edited copies, and a trie of wider budget compares nearly
-all prefixes. Candidates are therefore texts that share a bucket: ``BANDS`` keys, each of
-``ROWS`` minimum hashes, so that a pair of similarity 0.8 shares none with a chance of 1e-7.
-Every link is confirmed on the shingle sets themselves. Texts that are linked already don't
-meet again. Of the components that a bucket holds, each text outside the largest meets the
-least text of the largest; where that leaves several, all texts outside the then largest meet
-all of other components. So a large group of near copies takes a row a text, and no candidate
-goes unmet.
+all prefixes. Further candidates come in two steps, and each is confirmed on the shingle sets.
+
+First, texts that share a bucket meet the bucket's least text: ``BANDS`` keys, each of ``ROWS``
+minimum hashes, so that a pair of similarity 0.8 shares none with a chance of 1e-7. That links large
+groups of near copies at a row a text and bucket.
+
+Then the texts of buckets that still hold several components (a template, say, filled in anew each
+time) are joined by prefixes, exactly. Shingles are ordered by how many components have them. A
+pair of 0.8 or more has its first common shingle among the first fifth of the larger text and the first ninth
+of the smaller, and far enough ahead in both for the rest to suffice. Shingles of one component only
+are in no key, so members of a component don't meet, and texts that share a template but have more than a
+ninth of their own never do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,14 +66,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-@F.pandas_udf(T.StructType().add("u", T.LongType()).add("n", T.IntegerType()).add("f", T.LongType()).add("keys", T.ArrayType(T.LongType())))
+@F.pandas_udf(T.StructType().add("u", T.BinaryType()).add("n", T.IntegerType()).add("f", T.LongType()).add("keys", T.ArrayType(T.LongType())))
 def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """u: a hash of the shingle set, n: its size, f: the SimHash, keys: the buckets."""
+    """u: a hash of the shingle set, of 128 bits, n: its size, f: the SimHash, keys: the buckets."""
     for texts in batches:
         rows = []
         for hashes in map(shingle_hashes, texts):
             s = np.unique(hashes)
-            rows.append((_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), len(s), majority(hashes), bucket_keys(s)))
+            rows.append((xxhash.xxh3_128_digest(s.tobytes(), SEED), len(s), majority(hashes), bucket_keys(s)))
         yield pd.DataFrame(rows, columns=["u", "n", "f", "keys"])
 
 
@@ -78,48 +83,88 @@ def shingle_sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(t).view(np.int64) for t in texts])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, na, b, nb) -> (a, b), written: those of similarity 0.8 or more, 9 x common >= 4 x (na + nb)."""
-    fit = pairs.filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select("a", "na", "b", "nb").distinct()
-    fit = written(fit, "pairs")
-    nodes = written(fit.select(F.col("a").alias("u")).union(fit.select("b")).distinct(), "nodes")
-    sets = written(texts.join(nodes, "u", "left_semi").select("u", shingle_sets("text").alias("s")), "sets")
-    both = fit.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    found = written(both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
-    for used in (fit, nodes, sets):
-        discard(used)
-    return found
+def fitting(pairs: DataFrame) -> DataFrame:
+    """(a, na, b, nb): distinct pairs whose sizes allow a similarity of 0.8."""
+    return pairs.filter((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))).select("a", "na", "b", "nb").distinct()
 
 
-def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(k, u, n) and links -> k, u, n, c (component), main (the bucket's largest), of buckets that hold several."""
-    roots = written(components(found), "roots")
-    rows = rows.join(roots, F.col("u") == F.col("node"), "left").select("k", "u", "n", F.coalesce("root", "u").alias("c"))
-    rows = written(rows, "rooted")
-    discard(roots)
-    sizes = rows.groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("u", "n")).alias("least"))
-    main = sizes.groupBy("k").agg(F.max(F.struct("m", "c", "least")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    main = written(main.select("k", F.col("x.c").alias("main"), F.col("x.least.u").alias("a"), F.col("x.least.n").alias("na")), "mixed")
-    mixed = written(rows.join(main, "k"), "mixed_rows")
-    discard(rows)
-    return mixed
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, na, b, nb) and (u, n, s) -> (a, b): pairs of similarity 0.8 or more, 9 x common >= 4 x (na + nb)."""
+    side = lambda x: sets.select(F.col("u").alias(x), F.col("s").alias("s" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def bucketed(texts: DataFrame) -> DataFrame:
+    """(u, n, keys) -> (k, u, n, a, na), written: the rows of buckets that several texts share, with the least text of each."""
+    rows = texts.select(F.explode("keys").alias("k"), "u", "n")
+    heads = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("u", "n")).alias("m")).filter("c > 1")
+    heads = written(heads.select("k", F.col("m.u").alias("a"), F.col("m.n").alias("na")), "heads")
+    shared = written(rows.join(heads, "k"), "bucketed")
+    discard(heads)
+    return shared
+
+
+def unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets and (node, root) -> (u, c): texts, with their component, of buckets that hold several components."""
+    at = buckets.select("k", "u").join(roots, F.col("u") == F.col("node"), "left").select("k", "u", F.coalesce("root", "u").alias("c"))
+    mixed = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k")
+    return at.join(mixed, "k").select("u", "c").distinct()
 
 
-def links(buckets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(k, u, n), (u, text), (a, b) -> (a, b): links whose components are those of all similar pairs in buckets.
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """(u, n, c, s) -> (a, na, b, nb): every pair of different components that may be alike to 0.8.
 
-    ``known`` are confirmed links; they are among the result.
+    A shingle's place in a text counts those before it in the common order: by components that
+    have it, then by value. From the first common shingle on, what is left of the shorter rest must suffice.
     """
-    shared = written(buckets.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k"), "heads")
-    several = written(buckets.join(shared, "k"), "bucketed")
-    rows = _rooted(several, known)
-    discard(several)
-    star = rows.filter("c <> main").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
-    first = known.union(confirmed(star, texts))
-    mixed = _rooted(rows.select("k", "u", "n"), first).drop("a", "na")
+    tokens = texts.select("u", "n", "c", F.explode("s").alias("h"))
+    common = tokens.select("h", "c").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    common = written(common, "common")
+    ordered = tokens.join(common, "h").groupBy("u", "n", "c").agg(F.array_sort(F.collect_list(F.struct("m", "h"))).alias("t"))
+    n, own = F.col("n"), F.col("n") - F.size("t")
+    probed, indexed = n - F.ceil(4 * n / 5) + 1, n - F.ceil(8 * n / 9) + 1
+    first = F.slice("t", 1, F.greatest(probed - own, F.lit(0)).cast("int"))
+    rows = ordered.select("u", "n", "c", own.alias("own"), indexed.alias("indexed"), F.posexplode(first).alias("i", "x"))
+    rows = written(rows.select(F.col("x.h").alias("h"), "u", "n", "c", (F.col("own") + F.col("i")).alias("at"), (F.col("own") + F.col("i") < F.col("indexed")).alias("indexed")), "prefixes")
+    small = rows.filter("indexed").select("h", *[F.col(x).alias(f"{x}_a") for x in ("u", "n", "c", "at")])
+    large = rows.select("h", *[F.col(x).alias(f"{x}_b") for x in ("u", "n", "c", "at")])
+    ahead = F.struct("n_a", "u_a") < F.struct("n_b", "u_b")
+    enough = 9 * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
+    met = small.join(large, "h").filter((F.col("c_a") != F.col("c_b")) & ahead & (5 * F.col("n_a") >= 4 * F.col("n_b")) & enough)
+    pairs = written(met.select(F.col("u_a").alias("a"), F.col("n_a").alias("na"), F.col("u_b").alias("b"), F.col("n_b").alias("nb")).distinct(), "pairs")
+    discard(common)
     discard(rows)
-    out = mixed.filter("c <> main").select("k", F.col("u").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    met = mixed.join(out, "k").filter((F.col("c") != F.col("ca")) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("u"))))
-    later = confirmed(met.select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb")), texts)
-    discard(mixed)
-    return first.union(later)
+    return pairs
+
+
+def classes(texts: DataFrame, candidates: DataFrame, set_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, n, keys), candidates (a, na, b, nb) -> (node, root), written: components of all pairs of similarity 0.8 or more.
+
+    ``set_of`` gives the shingle sets (u, n, s) of some texts (u).
+    """
+    buckets = bucketed(texts)
+    star = buckets.select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
+    pairs = written(fitting(candidates.union(star)), "pairs")
+    nodes = buckets.select("u").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = written(set_of(nodes), "sets")
+    found = written(confirmed(pairs, sets), "links")
+    discard(pairs)
+    roots = written(components(found), "roots")
+    discard(found)
+    left = unsettled(buckets, roots)
+    pairs = prefix_pairs(left.join(sets, "u"))
+    later = written(confirmed(pairs, sets), "links")
+    for used in (pairs, sets, buckets):
+        discard(used)
+    if later.isEmpty():
+        return roots
+    named = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias("root_" + x))
+    lifted = later.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = written(components(lifted), "roots")
+    higher = roots.join(above.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(roots, "node", "left_anti")
+    whole = written(higher.union(fresh), "roots")
+    for used in (roots, above, later):
+        discard(used)
+    return whole

@@ -12,7 +12,7 @@ the square of the data. Copies share one fingerprint and take part once.
 
 Links of two bits miss most edited copies: where a corpus is deduplicated (``one_of_each``),
 the trie's links over five-word shingles are confirmed on the shingle sets, and what it misses
-of similarity 0.8 or more is added from buckets of shared minimum hashes (``jaccard.py``).
+of similarity 0.8 or more is added by minimum hashes and a join of prefixes (``jaccard.py``).
 """
 
 from __future__ import annotations
@@ -119,24 +119,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     its text, and of wholly equal rows one. Null and empty texts are one class. An empty table
     stays empty.
     """
-    key = F.xxhash64(F.col("doc_id"), whole("text"))
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), whole("text"))))
     sketched = written(docs.select("doc_id", key.alias("k"), jaccard.sketches(whole("text")).alias("s")).select("doc_id", "k", "s.*"), "sketches")
-    seen = written(sketched.select("doc_id", "k", "u"), "seen")
     # equal sets are one text, that of its least row
-    sets = written(sketched.groupBy("u").agg(F.min(F.struct("k", "n", "f", "keys")).alias("m")).select("u", "m.*"), "distinct")
-    discard(sketched)
-    texts = docs.select(key.alias("k"), whole("text").alias("text")).join(sets.select("k", "u"), "k")
-    texts = written(texts.dropDuplicates(["u"]).select("u", "text"), "texts", compression="zstd")
-    heads = written(sets.groupBy("f").agg(F.min(F.struct("u", "n")).alias("m")).select("f", "m.u", "m.n"), "heads")
-    alike = sets.join(heads.toDF("f", "a", "na"), "f").filter("a <> u").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
+    texts = written(sketched.groupBy("u").agg(F.min(F.struct("k", "n", "f", "keys")).alias("m")).select("u", "m.*"), "distinct")
+    heads = written(texts.groupBy("f").agg(F.min(F.struct("u", "n")).alias("m")).select("f", "m.u", "m.n"), "heads")
+    alike = texts.join(heads.toDF("f", "a", "na"), "f").select("a", "na", F.col("u").alias("b"), F.col("n").alias("nb"))
     near = links(heads.select("f")).distinct()
     near = near.join(heads.toDF("a", "ua", "na"), "a").join(heads.toDF("b", "ub", "nb"), "b").select(F.col("ua").alias("a"), "na", F.col("ub").alias("b"), "nb")
-    close = jaccard.confirmed(alike.union(near), texts)
-    buckets = sets.select(F.explode("keys").alias("k"), "u", "n")
-    found = written(components(jaccard.links(buckets, texts, close)), "found")
-    for used in (sets, texts, heads):
-        discard(used)
-    roots = seen.join(found, F.col("u") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "u").alias("root"))
+
+    def set_of(nodes: DataFrame) -> DataFrame:
+        wanted = texts.join(nodes, "u").select("k", "u", "n")
+        rows = docs.select(key.alias("k"), whole("text").alias("text")).join(wanted, "k")
+        return rows.dropDuplicates(["u"]).select("u", "n", jaccard.shingle_sets("text").alias("s"))
+
+    found = jaccard.classes(texts.select("u", "n", "keys"), alike.union(near), set_of)
+    discard(texts)
+    discard(heads)
+    roots = sketched.select("doc_id", "k", "u").join(found, F.col("u") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "u").alias("root"))
     first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k")).alias("m"))
     keep = first.select(F.col("m.doc_id").alias("keep_id"), F.col("m.k").alias("keep_k"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), key.alias("k"))

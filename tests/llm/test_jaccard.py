@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from payguard.llm import jaccard
 
 
 def shingles(text):
@@ -50,3 +51,58 @@ def test_stage_joins_planted_copies_of_similarity_0_8_and_no_others(spark):
     kept = stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == brute([(d, t or "") for d, t, _, _ in rows])
+
+
+def template_rows(n, own, seed=5):
+    """Texts of one template of 200 words, each with some words of its own: alike to less than 0.8."""
+    rnd = random.Random(seed)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in range(own):
+            words[10 + at] = f"own{i}x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def set_rows(spark, rows, component=lambda i: i):
+    each = [(str(i).zfill(16).encode(), len(shingles(t)), str(component(i)).zfill(16).encode(), [x - 2**63 for x in map(int, jaccard.shingles(t))]) for i, t in rows]
+    return spark.createDataFrame(each, "u binary, n int, c binary, s array<long>")
+
+
+def test_texts_of_one_template_do_not_all_meet(spark):
+    counts = [jaccard.prefix_pairs(set_rows(spark, template_rows(n, own=40))).count() for n in (60, 120)]
+    assert counts == [0, 0]
+    rows = template_rows(80, own=40) + [(100 + i, t + " more") for i, t in template_rows(3, own=40)]
+    got = {tuple(sorted((int(r.a), int(r.b)))) for r in jaccard.prefix_pairs(set_rows(spark, rows)).collect()}
+    assert got == {(0, 100), (1, 101), (2, 102)}
+
+
+def test_no_pair_of_0_8_is_lost_by_prefixes(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(200):
+        base = rows[rnd.randrange(len(rows))][1].split() if rows and rnd.random() < 0.8 else [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 150))]
+        words = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            at = rnd.choice((0, rnd.randrange(len(words) + 1), len(words)))
+            words[at : at + rnd.randrange(2)] = [f"w{rnd.randrange(60)}"] * rnd.randrange(2)
+        rows.append((i, " ".join(words)))
+    sets, seen = {}, set()
+    rows = [(i, t) for i, t in rows if not (frozenset(shingles(t)) in seen or seen.add(frozenset(shingles(t))))]
+    sets = {i: shingles(t) for i, t in rows}
+    component = lambda i: i // 3
+    want = {(a, b) for a in sets for b in sets if a < b and component(a) != component(b) and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    table = set_rows(spark, rows, component)
+    pairs = jaccard.prefix_pairs(table)
+    met = {tuple(sorted((int(r.a), int(r.b)))) for r in pairs.collect()}
+    assert want <= met and len(want) > 20
+    assert {tuple(sorted((int(r.a), int(r.b)))) for r in jaccard.confirmed(pairs, table).collect()} == want
+
+
+def test_stage_on_a_template_and_its_copies(spark):
+    rows = template_rows(90, own=40) + [(200 + i, t + " more words here") for i, t in template_rows(10, own=40)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows] * 2, "doc_id long, text string, lang string, source string")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(90))
