@@ -52,9 +52,9 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page with its host, path, rule, verdict, and the template with the purity that the verdict rests on."""
+    """Every page with its host, path, rule, verdict, and the template with the purity, and its bound, that the verdict rests on."""
     judged = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity", "purity_at_most")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

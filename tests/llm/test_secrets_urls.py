@@ -197,5 +197,13 @@ def test_templates_and_verdicts_equal_brute_force(spark):
     pages = spark.createDataFrame([(n, f"http://{h}{p}", "x", "y", 1) for n, (_, h, p, _) in enumerate(rows)], "page_id long, url string, host string, template string, bad int")
     labels = spark.createDataFrame([(n, 1 - b, 0) for n, (*_, b) in enumerate(rows) if b is not None], "doc_id long, quality int, id int")
     verdicts = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
-    purities = {r.id: r.purity for r in urls.purity(df).collect()}
-    assert all((verdicts[n] == "block") == (purities[n] < 0.75) for n in purities) and set(verdicts.values()) == {"block", "allow"}
+    bounds = {r.id: r.purity + 1.645 * (r.purity * (1 - r.purity) / (r.n_labelled + 11)) ** 0.5 for r in urls.purity(df).collect()}
+    assert all((verdicts[n] == "block") == (bounds[n] < 0.75) for n in bounds) and set(verdicts.values()) == {"block", "allow"}
+
+
+def test_a_template_is_blocked_from_six_bad_labels_on(spark):
+    rows = [(f"h{k}.io", f"/{top}/{i}", bad) for k in (5, 6) for top, n, labels in (("bad", 20, [1] * k), ("good", 500, [0] * 40 + [1])) for i, bad in enumerate(labels + [None] * (n - len(labels)))]
+    pages = spark.createDataFrame([(n, f"http://{h}{p}") for n, (h, p, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, 1 - b) for n, (*_, b) in enumerate(rows) if b is not None], "doc_id long, quality int")
+    got = {(r.host, r.path.split("/")[1]): r.verdict for r in urls.judge(pages, labels).collect()}
+    assert got == {("h5.io", "bad"): "allow", ("h5.io", "good"): "allow", ("h6.io", "bad"): "block", ("h6.io", "good"): "allow"}
