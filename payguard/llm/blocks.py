@@ -389,11 +389,17 @@ def lessons(sample: list[str], layouts: int = 700, seed: int = 7) -> list[list[t
 
 
 def train(pages: DataFrame, most_pages: int = 300, longest: int = 100_000) -> Labeller:
-    """A labeller taught by at most ``most_pages`` pages of up to ``longest`` characters, those whose hashed id and url are lowest."""
+    """A labeller taught by about ``most_pages`` pages of up to ``longest`` characters, those whose hash is low.
+
+    The share of hashes that is taken comes from the count of pages, so that what reaches the driver does not
+    grow with them; twice ``most_pages`` is the most where very many pages are alike.
+    """
     fit = pages.filter(F.length("html").between(1, longest)).select("page_id", "url", "html")
-    rows = fit.orderBy(F.xxhash64("page_id", "url"), F.xxhash64("html")).limit(most_pages).collect()
+    share, steps = most_pages / max(1, fit.count()), 1 << 40
+    low = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(steps)) < int(min(1.0, share) * steps)
+    rows = fit.filter(low).select("html").limit(2 * most_pages).collect()
     labeller = Labeller()
-    labeller.fit(lessons([r.html for r in rows]))
+    labeller.fit(lessons(sorted(r.html for r in rows)))
     return labeller
 
 
