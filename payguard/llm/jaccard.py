@@ -1,12 +1,16 @@
 """Completion of SimHash links: near copies by exact Jaccard similarity of five-word shingles.
 
 A SimHash within few bits misses most edited copies, and a trie of wider budget compares nearly
-all prefixes. Further candidates come in two steps, and each is confirmed on the shingle sets.
+all prefixes. Further candidates come in three steps, and each is confirmed on the shingle sets.
 
 First, texts that share a bucket meet the bucket's least text: ``BANDS`` keys, each of ``ROWS``
 minimum hashes, so that a pair of similarity 0.8 shares none with a chance of 1e-7. That links large
 groups of near copies at a row a text and bucket.
 
+Second, in buckets that still hold several components, all meet the best-linked texts and a few that a
+hash picks: what a group's least text did not reach, as the group has grown away from it. Again
+rows are in proportion to texts and buckets.
+
 Then the texts of buckets that still hold several components (a template, say, filled in anew each
 time) are joined by prefixes, exactly. Shingles are ordered by how many components have them. A
 pair of 0.8 or more has its first common shingle among the first fifth of the larger text and the first ninth
@@ -30,6 +34,8 @@ from .common import discard, written
 from .components import components
 
 WORDS, BANDS, ROWS, SEED = 5, 40, 5, 42
+#: Texts of a bucket that a hash picks for all others to meet.
+CHANCE = 3
 _rnd = np.random.default_rng(SEED)
 _A = _rnd.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rnd.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -138,6 +144,44 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
     return pairs
 
 
+def hub_pairs(buckets: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Buckets, (node, root) and links (a, b) -> (a, na, b, nb): texts with the best-linked text of a bucket that holds several components.
+
+    They meet that text, the best-linked one of its component, and ``CHANCE`` texts of the bucket
+    that a hash picks, so there are a fixed number of rows a text and bucket. A text with many links is near
+    the middle of its group, and one near the rim may be alike to a few others only.
+    """
+    linked = found.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+    named = buckets.select("k", "u", "n").join(roots.select(F.col("node").alias("u"), "root"), "u", "left").join(linked, "u", "left")
+    at = named.select("k", "u", "n", F.coalesce("root", "u").alias("c"), F.coalesce("d", F.lit(0)).alias("d"))
+    best = F.max(F.struct("d", "u", "n"))
+    middle = at.groupBy("c").agg(best.alias("middle"))
+    text = F.struct("d", "u", "n", "c")
+    chance = [F.min_by(text, F.xxhash64("k", "u", F.lit(i))) for i in range(CHANCE)]
+    hubs = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(text).alias("hub"), F.array(*chance).alias("others")).filter("low <> high AND hub.d > 0")
+    hubs = hubs.select("k", "hub", "others", F.col("hub.c").alias("c")).join(middle, "c")
+    centre = F.struct("middle.d", "middle.u", "middle.n", "c")
+    hubs = hubs.select("k", F.array_distinct(F.concat(F.array("hub", centre), "others")).alias("with"))
+    met = at.select("k", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")).join(hubs, "k").select("b", "nb", "cb", F.explode("with").alias("m"))
+    return fitting(met.filter("m.c <> cb").select(F.col("m.u").alias("a"), F.col("m.n").alias("na"), "b", "nb"))
+
+
+def raised(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Written (node, root) and further written links (a, b) -> (node, root), written: components of both; the tables given go."""
+    if links.isEmpty():
+        discard(links)
+        return roots
+    named = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias("root_" + x))
+    lifted = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    above = written(components(lifted), "roots")
+    higher = roots.join(above.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = above.join(roots, "node", "left_anti")
+    both = written(higher.union(fresh), "roots")
+    for used in (roots, above, links):
+        discard(used)
+    return both
+
+
 def classes(texts: DataFrame, candidates: DataFrame, set_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(u, n, keys), candidates (a, na, b, nb) -> (node, root), written: components of all pairs of similarity 0.8 or more.
 
@@ -151,20 +195,12 @@ def classes(texts: DataFrame, candidates: DataFrame, set_of: Callable[[DataFrame
     found = written(confirmed(pairs, sets), "links")
     discard(pairs)
     roots = written(components(found), "roots")
+    pairs = written(hub_pairs(buckets, roots, found), "pairs")
     discard(found)
-    left = unsettled(buckets, roots)
-    pairs = prefix_pairs(left.join(sets, "u"))
+    roots = raised(roots, written(confirmed(pairs, sets), "links"))
+    discard(pairs)
+    pairs = prefix_pairs(unsettled(buckets, roots).join(sets, "u"))
     later = written(confirmed(pairs, sets), "links")
     for used in (pairs, sets, buckets):
         discard(used)
-    if later.isEmpty():
-        return roots
-    named = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias("root_" + x))
-    lifted = later.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    above = written(components(lifted), "roots")
-    higher = roots.join(above.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    fresh = above.join(roots, "node", "left_anti")
-    whole = written(higher.union(fresh), "roots")
-    for used in (roots, above, later):
-        discard(used)
-    return whole
+    return raised(roots, later)

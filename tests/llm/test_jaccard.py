@@ -106,3 +106,45 @@ def test_stage_on_a_template_and_its_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows] * 2, "doc_id long, text string, lang string, source string")
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(90))
+
+
+def group_rows(n, edits=5, seed=8):
+    """One group of near copies: each has some words of a text of 160 words replaced, so many are alike to a few others only."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"g{j}" for j in range(160)]
+        for at in rnd.sample(range(160), edits):
+            words[at] = f"e{rnd.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_stage_on_one_wide_group_of_near_copies(spark, monkeypatch):
+    rows, met, prefix = group_rows(120), [], []
+
+    def counting(of, into):
+        def inner(*given):
+            pairs = of(*given).persist()
+            into.append(pairs.count())
+            return pairs
+
+        return inner
+
+    monkeypatch.setattr(jaccard, "hub_pairs", counting(jaccard.hub_pairs, met))
+    monkeypatch.setattr(jaccard, "prefix_pairs", counting(jaccard.prefix_pairs, prefix))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == brute(rows)
+    assert len(met) == len(prefix) == 1 and met[0] <= len(rows) * jaccard.BANDS * (2 + jaccard.CHANCE)
+
+
+def test_hubs_meet_all_other_components_of_a_bucket_and_no_bucket_of_one(spark):
+    buckets = spark.createDataFrame([(k, bytes([u]), 100) for k, us in ((1, range(1, 7)), (2, (1, 2, 3)), (3, (5, 6))) for u in us], "k long, u binary, n int")
+    links = spark.createDataFrame([(b"\x01", b"\x02"), (b"\x02", b"\x03")], "a binary, b binary")
+    roots = spark.createDataFrame([(bytes([u]), b"\x01") for u in (1, 2, 3)], "node binary, root binary")
+    pairs = {(r.a[0], r.b[0]) for r in jaccard.hub_pairs(buckets, roots, links).collect()}
+    assert {(2, 4), (2, 5), (2, 6)} <= pairs
+    component = lambda u: 1 if u < 4 else u
+    assert all(component(a) != component(b) for a, b in pairs)
+    assert jaccard.hub_pairs(buckets.limit(0), roots, links).count() == 0
