@@ -98,8 +98,3 @@ def top(df: DataFrame, score: str, most: int, *key: str) -> DataFrame:
             return df.filter(taken | edge)
         taken, edge = taken | (edge & (level > at)), edge & (level == at)
     return df.filter(taken)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
