@@ -85,8 +85,8 @@ def occurs(value: Column, text: Column) -> Column:
     return reduce(Column.__or__, [F.coalesce(text.contains(r) | bare.contains(r), F.lit(False)) for r in renderings(value)])
 
 
-#: A run: digits in groups or not, perhaps with decimals, that is no part of a word or a longer run.
-NUMBER = r"(?<![\p{L}\p{N}]|\p{N}[.,])(?:\d{1,3}(?:(?:,\d{2,3})*,\d{3}|(?:\.\d{3})+|(?:['\x{20}\x{a0}\x{202f}\x{2009}]\d{3})+)(?!\d)|\d+)(?:[.,]\d+)?(?![\p{L}\p{N}]|[.,]\p{N})"
+#: A run: digits in groups or not, perhaps with decimals, that is no part of a word, a longer run, or a date or number joined by hyphens or slashes.
+NUMBER = r"(?<![\p{L}\p{N}]|\p{N}[.,]|[\p{L}\p{N}][-/])(?:\d{1,3}(?:(?:,\d{2,3})*,\d{3}|(?:\.\d{3})+|(?:['\x{20}\x{a0}\x{202f}\x{2009}]\d{3})+)(?!\d)|\d+)(?:[.,]\d+)?(?![\p{L}\p{N}]|[.,]\p{N}|[-/][\p{L}\p{N}])"
 
 
 def number_values(run: Column) -> Column:

@@ -78,3 +78,12 @@ def test_occurs_under_any_grouping(spark):
     df = spark.createDataFrame(rows, "v string, value decimal(38,6), t string")
     for r in df.select("v", "t", P.occurs(F.col("value"), F.col("t")).alias("o")).collect():
         assert r.o == occurs(r.v, r.t), (r.v, r.t)
+
+
+def test_parts_of_dates_and_document_numbers_are_no_numbers(spark):
+    """The 09 of 1997-09-06 is not the amount 9, nor is the 560910 of INV-560910-CLN an amount."""
+    pages = spark.createDataFrame([(1, "Invoice INV-560910-CLN Date: 1997-09-06 or 01/02/1999 Tax 9.00 Total 909.70")], "id int, page string")
+    values = spark.createDataFrame([(1, f, f) for f in ("9", "560910", "6", "1997", "1", "1999", "909.7")], "id int, field string, value string")
+    got = {r.field: r.runs for r in P.on_page(values, pages, "id", "page").collect()}
+    assert got == {"9": 1, "560910": 0, "6": 0, "1997": 0, "1": 0, "1999": 0, "909.7": 1}
+
