@@ -5,6 +5,7 @@ Array algebra over regular expressions, so that a page is parsed once, in the en
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,14 @@ def _month(name: Column) -> Column:
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    y = F.when(year < 100, year + 2000).otherwise(year)
-    return F.when(y.between(1, 9999), F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day), "yyyy-MM-dd"))
+    """The date that three numbers make, null where there is none; no text is made or parsed."""
+    possible = year.between(1, 9999) & month.between(1, 12) & (day >= 1)
+    return F.when(possible, F.when(day <= F.day(F.last_day(F.make_date(year, month, F.lit(1)))), F.make_date(year, month, day)))
+
+
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """What a use of x makes, with x worked out once however often it is mentioned."""
+    return F.transform(F.array(x), use)[0]
 
 
 def date_runs(text: Column) -> Column:
@@ -48,26 +55,28 @@ def date_runs(text: Column) -> Column:
             raw = F.regexp_extract(x, pattern, i)
             return _month(raw) if i == month_at else raw.try_cast("int")
 
-        def run(x: Column) -> Column:
-            a, b, y = part(x, first), part(x, second), part(x, year)
+        def parts(x: Column) -> Column:
             separator = F.lit("") if month_at else F.regexp_extract(x, pattern, 2)
-            if kind == "year_first":
-                left = right = _date(y, a, b)
-            elif kind == "numeric":
-                left, right = _date(y, b, a), _date(y, a, b)
-            else:
-                left = right = _date(y, b, a)
-            two = F.lit(kind == "numeric") & separator.isin("/", ".") & (a <= 12) & (b <= 12)
-            return F.struct(x.alias("text"), F.lit(kind).alias("kind"), separator.alias("separator"), left.alias("day_first"), right.alias("month_first"), two.alias("ambiguous"))
-
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+            return F.struct(x.alias("x"), separator.alias("separator"), part(x, first).alias("a"), part(x, second).alias("b"), part(x, year).alias("y"))
+
+        def full(p: Column) -> Column:
+            return p.withField("y", F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"]))
+
+        def run(p: Column) -> Column:
+            a, b, y = p["a"], p["b"], p["y"]
+            left = _date(y, a, b) if kind == "year_first" else _date(y, b, a)
+            right = _date(y, a, b) if kind in ("year_first", "numeric") else left
+            two = F.lit(kind == "numeric") & p["separator"].isin("/", ".") & (a <= 12) & (b <= 12)
+            return F.struct(p["x"].alias("text"), F.lit(kind).alias("kind"), p["separator"].alias("separator"), left.alias("day_first"), right.alias("month_first"), two.alias("ambiguous"))
+
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), parts)
         if month_at:
-            found = F.filter(found, lambda x: _month(F.regexp_extract(x, pattern, month_at)).isNotNull())
-        return F.transform(found, run)
+            found = F.filter(found, lambda p: p["b" if month_at == second else "a"].isNotNull())
+        return F.transform(F.transform(found, full), run)
 
     sure = F.concat(runs(DAY_NAME, "day_name", 1, 2, 3, 2), runs(NAME_DAY, "name_day", 2, 1, 3, 1), runs(YEAR_FIRST, "year_first", 3, 4, 1, None))
-    loose = F.filter(runs(DAY_MONTH, "numeric", 1, 3, 4, None), lambda x: ~F.exists(sure, lambda s: s["text"].contains(x["text"])))
-    return F.concat(sure, loose)
+    loose = runs(DAY_MONTH, "numeric", 1, 3, 4, None)
+    return _bound(sure, lambda s: F.concat(s, F.filter(loose, lambda x: ~F.exists(s, lambda d: d["text"].contains(x["text"])))))
 
 
 def renderings(value: Column) -> list[Column]:

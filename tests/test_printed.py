@@ -87,3 +87,11 @@ def test_parts_of_dates_and_document_numbers_are_no_numbers(spark):
     got = {r.field: r.runs for r in P.on_page(values, pages, "id", "page").collect()}
     assert got == {"9": 1, "560910": 0, "6": 0, "1997": 0, "1": 0, "1999": 0, "909.7": 1}
 
+
+def test_a_date_is_made_once_a_run(spark):
+    """Runs are looked for once a page, not again for each number run; dates are made without a text between."""
+    plan = spark.createDataFrame([("a",)], "t string").select(P.date_runs(F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4 and "format_string" not in plan and "gettimestamp" not in plan
+    text = "0050-01-02 29.02.1999 29.02.2000 31/04/24 00.01.2000 30/13/2001"
+    d = spark.createDataFrame([(text,)], "t string").select(P.date_runs(F.col("t")).alias("d")).first().d
+    assert [str(x.day_first) for x in d] == ["2050-01-02", "None", "2000-02-29", "None", "None", "None"] and [str(x.month_first) for x in d] == ["2050-01-02", *["None"] * 5]
