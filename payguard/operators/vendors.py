@@ -14,8 +14,8 @@ def bare(x: str | Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(x, "[^0-9A-Za-z]", "")), F.lit(""))
 
 
-def resolve(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
-    """invoice_id, vendor_tax_id, vendor_name against vendor, tax_id, display_name -> invoice_id, vendor, basis, candidates.
+def resolve(invoices: DataFrame, vendors: DataFrame, *kept: str) -> DataFrame:
+    """invoice_id, vendor_tax_id, vendor_name against vendor, tax_id, display_name -> invoice_id, vendor, basis, candidates and what is kept of invoices.
 
     The tax id is asked first; hits there, even several, end the search. One hit is the vendor;
     of several the first five by number are candidates. The master is grouped by key before invoices
@@ -31,12 +31,12 @@ def resolve(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
         return whole.select(name, F.struct("n", "some").alias(f"{name}_hit"))
 
     name = lambda x: F.nullif(normalised(F.coalesce(F.col(x), F.lit(""))), F.lit(""))
-    asked = invoices.select("invoice_id", bare("vendor_tax_id").alias("tax"), name("vendor_name").alias("name"))
+    asked = invoices.select("invoice_id", *kept, bare("vendor_tax_id").alias("tax"), name("vendor_name").alias("name"))
     both = asked.join(by(bare("tax_id"), "tax"), "tax", "left").join(by(name("display_name"), "name"), "name", "left")
-    hit = both.select("invoice_id", F.coalesce("tax_hit", "name_hit").alias("h"), F.col("tax_hit").isNotNull().alias("by_tax"))
+    hit = both.select("invoice_id", *kept, F.coalesce("tax_hit", "name_hit").alias("h"), F.col("tax_hit").isNotNull().alias("by_tax"))
     one = F.coalesce(F.col("h.n") == 1, F.lit(False))
     basis = F.when(one & F.col("by_tax"), "tax_id_exact").when(one, "name_exact").otherwise("unresolved")
-    return hit.select("invoice_id", F.when(one, F.col("h.some")[0]).alias("vendor"), basis.alias("basis"), F.coalesce(F.array_join(F.col("h.some").cast("array<string>"), "|"), F.lit("")).alias("candidates"))
+    return hit.select("invoice_id", F.when(one, F.col("h.some")[0]).alias("vendor"), basis.alias("basis"), F.coalesce(F.array_join(F.col("h.some").cast("array<string>"), "|"), F.lit("")).alias("candidates"), *kept)
 
 
 view("v_asked", f"SELECT invoice_id, source_po, nullif(lower(@sub[vendor_tax_id; '[^0-9A-Za-z]'; '']), '') AS tax_norm, nullif({norm('vendor_name')}, '') AS name_norm, remit_to FROM v_inv")
@@ -54,7 +54,9 @@ view(
     """SELECT a.invoice_id, CASE WHEN h.hits = 1 THEN h.vendor END AS vendor, CASE WHEN h.hits = 1 AND h.tier = 1 THEN 'tax_id_exact' WHEN h.hits = 1 THEN 'name_exact' ELSE 'unresolved' END AS basis, coalesce(h.candidates, '') AS candidates
     FROM v_asked AS a LEFT JOIN (SELECT t.* FROM v_hits AS t JOIN (SELECT invoice_id, min(tier) AS tier FROM v_hits GROUP BY invoice_id) AS f ON f.invoice_id = t.invoice_id AND f.tier = t.tier) AS h ON h.invoice_id = a.invoice_id""",
 )
-native("v_resolved", lambda of: resolve(of("v_inv"), of("v_vm")), "v_inv", "v_vm")
+# For Spark the invoices are kept with their vendors, so that no job joins the two.
+native("v_resolved_inv", lambda of: resolve(of("v_inv"), of("v_vm"), *[c for c in of("v_inv").columns if c != "invoice_id"]), "v_inv", "v_vm")
+native("v_resolved", lambda of: of("v_resolved_inv").select("invoice_id", "vendor", "basis", "candidates"), "v_resolved_inv")
 # Three values: no comparison is not a mismatch.
 view(
     "v_remit",

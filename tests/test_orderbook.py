@@ -28,3 +28,19 @@ def test_book_of_odd_orders(spark):
     assert first.subtotal == first.bill_qty * first.bill_price + last.bill_qty * last.bill_price and last.subtotal is None
     assert not loose.po_known and loose.received is None and loose.nothing and loose.honest_qty == 1
     assert sum(r.head for r in got.values()) == 2
+
+
+def test_pairs_deal_lines_out_once(spark, sf):
+    """Lines and order lines meet in one shuffle by order; the vendors that there are come by broadcast."""
+    plan = frame(spark, sf, "v_pairs")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan, plan
+
+
+def test_keys_of_odd_descriptions(spark):
+    """A description's key is made once a part, as ordered and as printed; one without words, or without text, has none."""
+    line = "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string, l_tax double, l_suppkey long"
+    rows = [(po, item, 1.0, "A", "F", 0.0, 1) for po in (4, 6) for item in (7, 8, 9)]
+    part = spark.createDataFrame([(7, "Nut  & Bolt Co", 1.5), (8, "...", 2.0), (9, None, 2.0)], "p_partkey long, p_name string, p_retailprice double")
+    orders = spark.createDataFrame([(4, datetime(2001, 5, 1), "O")], "o_orderkey long, o_orderdate timestamp, o_orderstatus string")
+    got = {(r.po, r.item): (r.desc_key, r.print_key) for r in order_book(spark.createDataFrame(rows, line), part, orders).collect()}
+    assert got == {(po, item): want for po in (4, 6) for item, want in ((7, ("nut bolt", "nut bolt")), (8, (None, None)), (9, (None, None)))}
