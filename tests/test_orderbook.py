@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import payguard.plans.registry  # noqa: F401  the views of all jobs
 from payguard.plans.catalog import frame
 from payguard.sources.orderbook import order_book
 
