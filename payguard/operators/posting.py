@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payguard.operators import matching, vendors  # noqa: F401  their views are read here
-from payguard.plans.catalog import job, native, view
+from payguard.operators.threeway import asking, paired_lines
+from payguard.plans.catalog import VIEWS, job, native, view
+from payguard.sources.orderbook import BOOKED_TO
+from payguard.sources.views import BROUGHT
 
 #: Fixed value: what a ledger takes as a document number.
 DOC_NUMBER = "^[0-9A-Z]{1,21}$"
@@ -19,15 +23,16 @@ def _first(*reasons: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(when, F.lit(False)), name) for name, when in reasons])
 
 
-def bills(records: DataFrame, paired: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+def bills(records: DataFrame, paired: DataFrame, orders: DataFrame, items: DataFrame | None) -> DataFrame:
     """Why an invoice can't become a bill, by its first reason, or the bill's key.
 
     records: invoice_id, extracted, vendor (resolved; null: none), approval_id, po_ref, invoice_number,
     currency, total, tax_total. paired: invoice_id, po, line_idx, line_no (null: unpaired), extended.
-    orders: po, currency. items: po, line_no, item_ref (null: booked to an account).
+    orders: po, currency. items: po, line_no, item_ref (null: booked to an account); not met where paired brings item_ref.
     Returns invoice_id, outcome (``bill`` or the reason), line_idx (the first line that stops it), n_lines, bill_key.
     """
-    lines = paired.join(items.select("po", "line_no", "item_ref"), ["po", "line_no"], "left").groupBy("invoice_id").agg(
+    known = paired if "item_ref" in paired.columns else paired.join(items.select("po", "line_no", "item_ref"), ["po", "line_no"], "left")
+    lines = known.groupBy("invoice_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("extended").alias("lines"), F.min(F.when(F.col("item_ref").isNull(), F.col("line_idx"))).alias("line_idx")
     )
     order = orders.select(F.col("po").alias("order_po"), F.col("currency").alias("order_currency"))
@@ -72,8 +77,10 @@ view(
     """SELECT i.invoice_id, i.source_po, i.source_po % 41 <> 7 AS extracted, r.vendor, CASE WHEN i.source_po % 31 <> 0 THEN i.invoice_id + 7000000000 END AS approval_id, i.po_ref, i.invoice_number, i.currency, i.total, CASE WHEN i.source_po % 2 = 0 THEN CAST(0 AS BIGINT) ELSE i.tax_total END AS tax_total,
     CASE WHEN i.source_po % 2 = 0 THEN i.subtotal ELSE i.total END AS due FROM v_inv AS i JOIN v_resolved AS r ON r.invoice_id = i.invoice_id""",
 )
+view("v_booked_records", VIEWS["v_records"].replace(*BROUGHT).replace("r.vendor", "i.vendor"))
+native("v_records", lambda of: of("v_booked_records"), "v_booked_records")
 view("v_untaxed", "SELECT invoice_id, extracted, vendor, approval_id, po_ref, invoice_number, currency, due AS total, tax_total FROM v_records")
-view("v_items", "SELECT po, line_no, CASE WHEN (po + line_no) % 29 <> 0 THEN item_ref END AS item_ref FROM v_pol")
+view("v_items", f"SELECT po, line_no, {BOOKED_TO} AS item_ref FROM v_pol")
 view(
     "v_approvals",
     """SELECT approval_id, CASE WHEN source_po % 38 = 0 THEN invoice_id + 10 ELSE invoice_id END AS of_invoice, CASE WHEN source_po % 15 = 0 THEN 'rejected' WHEN source_po % 16 = 0 THEN 'pending' ELSE 'approved' END AS status,
@@ -98,7 +105,17 @@ view(
       FROM (SELECT *, upper(regexp_replace(invoice_number, '[^0-9A-Za-z]', '', 'g')) AS number FROM v_untaxed) AS r LEFT JOIN v_po AS p ON p.po = r.po_ref LEFT JOIN (
         SELECT a.invoice_id, count(*) AS n_lines, CAST(sum(a.extended) AS BIGINT) AS lines, min(CASE WHEN i.item_ref IS NULL THEN a.line_idx END) AS line_idx FROM v_pairs AS a LEFT JOIN v_items AS i ON i.po = a.po AND i.line_no = a.line_no GROUP BY a.invoice_id) AS s ON s.invoice_id = r.invoice_id) AS x""",
 )
-native("v_bills", lambda of: bills(of("v_untaxed"), of("v_pairs"), of("v_po"), of("v_items")), "v_untaxed", "v_pairs", "v_po", "v_items")
+
+
+def v_bills(of: Callable[[str], DataFrame]) -> DataFrame:
+    """Lines are paired for what a bill needs of them only; those that name no order are on no order line."""
+    lines = asking(of, "line_idx", "extended")
+    paired = paired_lines(lines, None, of("v_bookable_pol"), None).select("invoice_id", "line_idx", "extended", F.col("hit.booked_to").alias("item_ref"))
+    loose = lines.filter("po_ref is null").select("invoice_id", "line_idx", "extended", F.lit(None).cast("string").alias("item_ref"))
+    return bills(of("v_untaxed"), paired.union(loose), of("v_po"), None)
+
+
+native("v_bills", v_bills, "v_untaxed", "v_asking_inl", "v_asking_inl", "v_bookable_pol", "v_po")
 job("po_bill_for", "SELECT * FROM v_bills")
 view(
     "v_posting",
