@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payguard.functions.text import norm, normalised
-from payguard.plans.catalog import job, native, view
+from payguard.plans.catalog import VIEWS, job, native, view
 
 
 def bare(x: str | Column) -> Column:
@@ -63,6 +63,10 @@ view(
     r"""SELECT r.invoice_id, CASE WHEN m.remit_sha256 IS NOT NULL AND @n[i.ibans] > 0 THEN @every[i.ibans; @sha[@sub[x; '\s'; '']] = m.remit_sha256] END AS remit_matches
     FROM v_resolved AS r JOIN v_vm AS m ON m.vendor = r.vendor LEFT JOIN v_ibans AS i ON i.invoice_id = r.invoice_id""",
 )
+# For Spark the invoices bring their vendors and remittance blocks.
+view("v_booked_ibans", VIEWS["v_ibans"].replace("SELECT invoice_id,", "SELECT invoice_id, vendor,").replace("v_asked WHERE remit_to IS NOT NULL", "v_resolved_inv WHERE vendor IS NOT NULL"))
+view("v_booked_remit", VIEWS["v_remit"].replace("r.invoice_id", "i.invoice_id", 1).replace("v_resolved AS r JOIN v_vm AS m ON m.vendor = r.vendor LEFT JOIN v_ibans AS i ON i.invoice_id = r.invoice_id", "v_booked_ibans AS i JOIN v_vm AS m ON m.vendor = i.vendor"))
+native("v_remit", lambda of: of("v_booked_remit"), "v_booked_remit")
 job("vn_resolve", "SELECT r.*, t.remit_matches FROM v_resolved AS r LEFT JOIN v_remit AS t ON t.invoice_id = r.invoice_id")
 job("fn_remit_matches", "SELECT * FROM v_remit")
 job("fn_remit_fingerprint", "SELECT invoice_id, @sha[upper(@sub[remit_to; '\\s'; ''])] AS fingerprint FROM v_inv")
