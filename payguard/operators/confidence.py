@@ -15,6 +15,8 @@ AGREED, SINGLE, DISAGREED = (1000, 500), (600, 300), (200, 100)
 OPEN_DATE, RESOLVED_DATE, BLURRED_TENTHS = 400, 900, 6
 NAMES_ALIKE = 0.9
 MONEY = ("subtotal", "tax_total", "total")
+#: The columns of an invoice that its readings are made of.
+READ = ("source_po", "vendor_name", "invoice_number", "invoice_date", "currency", *MONEY)
 
 
 def plain_name(x: Column) -> Column:
@@ -32,26 +34,35 @@ def confidence(readings: DataFrame, pages: DataFrame) -> DataFrame:
     (empty: a scan), raw (the date as printed), named, day_first, month_first (its readings), is_day_first,
     is_month_first (the vendor's country; null: unknown). A page's date counts where it is on the page.
     """
-    # what holds for a page is worked out once a page, what several rules ask of a reading once a reading
-    seen = pages.withColumns({
+    return scored(readings.join(seen(pages), "invoice_id"))
+
+
+def seen(pages: DataFrame, *kept: str) -> DataFrame:
+    """What holds for a page, worked out once a page."""
+    return pages.withColumns({
         "has_page": F.col("page") != "", "plain_page": plain_name(F.col("page")), "bare_page": without_grouping(F.col("page")),
         "dates": F.when(F.col("page").contains(F.col("raw")), F.array_compact(F.array("named", "day_first", "month_first"))),
         "open_date": F.col("named").isNull() & F.coalesce(F.col("day_first") != F.col("month_first"), F.lit(False)), "settled": F.coalesce(F.col("is_day_first") | F.col("is_month_first"), F.lit(False)),
-    }).select("invoice_id", "has_page", "plain_page", "bare_page", "dates", "open_date", "settled")
-    r = readings.join(seen, "invoice_id")
+    }).select("invoice_id", "has_page", "plain_page", "bare_page", "dates", "open_date", "settled", *kept)
+
+
+def scored(r: DataFrame) -> DataFrame:
+    """Readings that bring what was seen of their page; what several rules ask of a reading is worked out once a reading."""
     money, date, name = F.col("field").isin(*MONEY), F.col("field") == "invoice_date", F.col("field") == "vendor_name"
     amount = lambda x: F.regexp_replace(x, ",", "").try_cast("decimal(38,6)")
     reads_as = lambda x: F.coalesce(F.array_contains("dates", x.try_cast("date")), F.lit(False))
     r = r.withColumns({"left": F.when(~(money | date), plain_name(F.col("a"))), "right": F.when(name & F.col("has_b"), plain_name(F.col("b"))), "a_reads": date & reads_as(F.col("a"))})
     left, right = F.col("left"), F.col("right")
+    shortest = F.regexp_replace(F.col("a"), r"(\.\d*?)0+$", "$1")
+    shortest = F.regexp_replace(shortest, r"\.$", "")
+    on_page = F.when(date, F.col("a_reads")).when(money, F.col("bare_page").contains(shortest)).otherwise((left != "") & F.col("plain_page").contains(left))
+    # a page's text is done with here, so that it isn't kept for each reading while names are compared
+    r = r.withColumn("grounded", F.col("has_page") & F.coalesce(on_page, F.lit(False))).drop("plain_page", "bare_page")
     worth = name & F.col("has_b") & (left != right) & (ratio_bound(left, right) >= NAMES_ALIKE)
     r = r.withColumn("alike", similarity(F.when(worth, left), F.when(worth, right)))
     same_date = (F.col("a") == F.col("b")) | (F.col("a_reads") & reads_as(F.col("b")))
     agree = F.when(date, same_date).when(name, (left == right) | (F.col("alike") >= NAMES_ALIKE)).when(money, amount(F.col("a")) == amount(F.col("b"))).otherwise(F.col("a") == F.col("b"))
-    shortest = F.regexp_replace(F.col("a"), r"(\.\d*?)0+$", "$1")
-    shortest = F.regexp_replace(shortest, r"\.$", "")
-    on_page = F.when(date, F.col("a_reads")).when(money, F.col("bare_page").contains(shortest)).otherwise((left != "") & F.col("plain_page").contains(left))
-    r = r.withColumns({"agreed": F.when(F.col("has_b"), F.coalesce(agree, F.lit(False))), "grounded": F.col("has_page") & F.coalesce(on_page, F.lit(False)), "two_ways": F.col("a_reads") & F.col("open_date")})
+    r = r.withColumns({"agreed": F.when(F.col("has_b"), F.coalesce(agree, F.lit(False))), "two_ways": F.col("a_reads") & F.col("open_date")})
     two_ways, settled = F.col("two_ways"), F.col("settled")
     note = F.when(two_ways, F.when(settled, "date_resolved_from_locale").otherwise("ambiguous_date_unknown_locale"))
     base = lambda s: F.when(F.col("grounded"), s[0]).otherwise(s[1])
@@ -65,8 +76,14 @@ def confidence(readings: DataFrame, pages: DataFrame) -> DataFrame:
     return r.select("invoice_id", "field", "load_bearing", "agreed", "grounded", score.alias("score_thousandths"), why.alias("reason"))
 
 
+def v_seen_pages(view: Callable[[str], DataFrame]) -> DataFrame:
+    return seen(view("v_booked_pages"), *READ)
+
+
 def v_confidence(view: Callable[[str], DataFrame]) -> DataFrame:
-    return confidence(view("v_readings"), view("v_page_dates"))
+    """The readings of the accounts-payable views; a page brings its own, so the two are not joined."""
+    return scored(view("v_seen_readings"))
 
 
-native("v_confidence", v_confidence, "v_readings", "v_page_dates")
+native("v_seen_pages", v_seen_pages, "v_booked_pages")
+native("v_confidence", v_confidence, "v_seen_readings")
