@@ -17,7 +17,7 @@ def test_readings_meet_no_page(spark, sf):
 
 
 def test_routes_read_invoices_with_their_vendor():
-    for name in ("wf_route",):
+    for name in ("wf_route", "rep_five_numbers"):
         uses = _uses(SPARK_JOBS.get(name) or JOBS[name])
         assert uses["v_inv"] == 1 and uses["v_resolved_inv"] > 1, name
 
