@@ -16,6 +16,11 @@ def test_readings_meet_no_page(spark, sf):
     assert keys and not any("invoice_id" in k for k in keys), keys
 
 
+def test_claims_ask_for_early_gates_only():
+    uses = _uses(SPARK_JOBS["wf_number_claims"])
+    assert "v_match" not in uses and "v_held_duplicates" not in uses and uses["v_resolved_inv"] > 1
+
+
 def test_routes_read_invoices_with_their_vendor():
     for name in ("wf_route", "rep_five_numbers"):
         uses = _uses(SPARK_JOBS.get(name) or JOBS[name])
